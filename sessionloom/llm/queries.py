@@ -5,12 +5,67 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secret_scan import BASE, secret_spans, span_text
+
+    found = secret_spans(_table(spark, sf_dir, "documents"))
+    base = span_text(F.filter("spans", lambda x: x["kind"] < len(BASE)))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(base, 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
+def _op5_sql() -> str:
+    """Every kind's matches and the texts between them by regular expression; links by comparing parts of a document."""
+    from .secret_scan import BASE, KINDS, SCOPE, WEAK
+
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    hits = []
+    for i, (_, pattern, least) in enumerate((*BASE, *WEAK)):
+        text = "coalesce(text, '')"
+        value = f"regexp_extract_all({text}, {quote(pattern)}, {2 if KINDS[i] == 'assign' else 0})"
+        ok = "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')" if KINDS[i] == "secret" else f"length(v) >= {least}"
+        hits.append(
+            f"SELECT doc_id, {i} AS kind, i, g, m, {ok} AS ok FROM (SELECT doc_id, unnest(range(len(ms))) AS i, unnest(list_slice(gs, 1, len(ms))) AS g, unnest(ms) AS m, unnest(vs) AS v FROM "
+            f"(SELECT doc_id, regexp_split_to_array({text}, {quote(pattern)}) AS gs, regexp_extract_all({text}, {quote(pattern)}, 0) AS ms, {value} AS vs FROM documents))"
+        )
+    n = len(BASE)
+    names = ", ".join(quote(k) for k in KINDS)
+    return f"""
+WITH hits AS ({" UNION ALL ".join(hits)}),
+parts AS (
+  SELECT doc_id, kind, e - length(m) AS s, e FROM (
+    SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM hits) WHERE ok
+), roles AS (
+  SELECT *, CASE WHEN kind IN (1, 3) THEN 'i' WHEN kind IN (0, 2, 4) THEN 's' ELSE 'e' END AS role FROM parts
+), near AS (
+  SELECT a.doc_id, a.kind, a.s, a.e, a.role,
+    bool_or(b.role = 'i' AND b.e >= a.s - {SCOPE} AND b.s <= a.e + {SCOPE}) AS near_i,
+    bool_or(b.role = 's' AND b.e >= a.s - {SCOPE} AND b.s <= a.e + {SCOPE}) AS near_s,
+    bool_or(b.kind < {n} AND b.s < a.e AND b.e > a.s) AS covered
+  FROM roles a JOIN roles b ON a.doc_id = b.doc_id AND NOT (a.kind = b.kind AND a.s = b.s) WHERE a.kind >= {n} GROUP BY ALL
+), spans AS (
+  SELECT doc_id, kind, s, e FROM parts WHERE kind < {n}
+  UNION ALL
+  SELECT doc_id, kind, s, e FROM near WHERE NOT covered AND CASE role WHEN 'i' THEN near_s WHEN 's' THEN near_i ELSE near_i AND near_s END
+), told AS (
+  SELECT *, list_extract([{names}], kind + 1) || ':' || s::bigint || ':' || e::bigint AS t FROM spans
+), per AS (
+  SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+    string_agg(t, ',' ORDER BY s, kind) FILTER (WHERE kind < {n}) AS base, string_agg(t, ',' ORDER BY s, kind) AS spans
+  FROM told GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents d LEFT JOIN per USING (doc_id)
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -46,10 +101,12 @@ GROUP BY l.doc_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_secret_scan": op5_secret_scan,
     "op8_simhash": op8_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op5_secret_scan": _op5_sql(),
     "op10_line_dedup": OP10_SQL,
 }
 

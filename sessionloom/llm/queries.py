@@ -12,6 +12,72 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_report
+
+    report = quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op2_sql(alpha: float = 0.005, delta: float = 0.05) -> str:
+    """Words and lines as rows; the exact binomial bound by the gamma function."""
+    from .quality_rules import GOOD_WEIGHT, RULES
+
+    fails = lambda rule, cut: f"(100 * {RULES[rule][0]} {'>' if RULES[rule][2] else '<'} ({cut}) * {RULES[rule][1]})"
+    rungs = ", ".join(f"('{r}', {i}, {c})" for r, (*_, ladder) in RULES.items() for i, c in enumerate(ladder))
+    case = lambda cut: "CASE rule " + " ".join(f"WHEN '{r}' THEN {fails(r, cut)}" for r in RULES) + " END"
+    return rf"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS w FROM docs)
+), windows AS (
+  SELECT doc_id, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS k FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), repeated AS (
+  SELECT doc_id, i FROM windows WHERE k IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1
+), places AS (
+  SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS place FROM repeated
+), lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs
+), per_line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id
+), feats AS (
+  SELECT d.doc_id, d.stratum, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM docs d
+  LEFT JOIN (SELECT doc_id, count(*) AS n_words, sum(length(word))::bigint AS word_chars FROM words GROUP BY doc_id) USING (doc_id)
+  LEFT JOIN per_line USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n_repeat_words FROM places GROUP BY doc_id) USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM feats
+), rungs(rule, rung, cut) AS (VALUES {rungs}),
+known AS (
+  SELECT j.*, quality FROM judged j
+  JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed
+), strata AS (
+  SELECT stratum, count(*) FILTER (WHERE quality = 1) AS n, {delta} / (count(*) OVER () * {len(RULES)}) AS level FROM known GROUP BY stratum
+), bounds AS (
+  SELECT stratum, n, level, k, sum(exp(lgamma(n + 1) - (CASE WHEN k = 0 THEN 0 ELSE lgamma(k + 1) END) - (CASE WHEN n = k THEN 0 ELSE lgamma(n - k + 1) END) + k * ln({alpha}) + (n - k) * ln(1 - {alpha}))) OVER (PARTITION BY stratum ORDER BY k) AS cdf
+  FROM (SELECT *, unnest(range(0, floor(n * {alpha})::bigint + 1)) AS k FROM strata WHERE n > 0)
+), most AS (
+  SELECT stratum, coalesce(max(k) FILTER (WHERE cdf <= level), -1) AS most FROM bounds GROUP BY stratum
+), tried AS (
+  SELECT stratum, rule, rung, cut, count(*) FILTER (WHERE quality = 0 AND {case("cut")}) AS bad, count(*) FILTER (WHERE quality = 1 AND {case("cut")}) AS good
+  FROM known, rungs GROUP BY ALL
+), chosen AS (
+  SELECT stratum, rule, arg_max(cut, (bad - {GOOD_WEIGHT} * good) * 1000 - rung) AS cut
+  FROM tried JOIN most USING (stratum) WHERE good <= most AND bad > {GOOD_WEIGHT} * good GROUP BY stratum, rule
+), rejected AS (
+  SELECT DISTINCT doc_id FROM judged JOIN chosen USING (stratum) WHERE {case("cut")}
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM judged
+"""
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import BASE, secret_spans, span_text
 
@@ -101,11 +167,13 @@ GROUP BY l.doc_id
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op5_secret_scan": op5_secret_scan,
     "op8_simhash": op8_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": _op2_sql(),
     "op5_secret_scan": _op5_sql(),
     "op10_line_dedup": OP10_SQL,
 }

@@ -30,7 +30,8 @@ def _op2_sql(alpha: float = 0.005, delta: float = 0.05) -> str:
 WITH docs AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 words AS (
   SELECT doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word
-  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ 	-]+'), lambda x: x <> '') AS w FROM docs)
+  FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ 	-
+]+'), lambda x: x <> '') AS w FROM docs)
 ), windows AS (
   SELECT doc_id, i, word || ' ' || lead(word, 1) OVER o || ' ' || lead(word, 2) OVER o AS k FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
 ), repeated AS (
@@ -41,7 +42,8 @@ words AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs
 ), per_line AS (
   SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
-  FROM lines WHERE regexp_matches(line, '[^ 	-]') GROUP BY doc_id
+  FROM lines WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY doc_id
 ), feats AS (
   SELECT d.doc_id, d.stratum, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
@@ -132,6 +134,14 @@ FROM documents d LEFT JOIN per USING (doc_id)
 """
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -169,6 +179,7 @@ GROUP BY l.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_secret_scan": op5_secret_scan,
+    "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,
     "op10_line_dedup": op10_line_dedup,
 }

@@ -80,6 +80,15 @@ FROM judged
 """
 
 
+def op4_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .piece_tokens import piece_tokens
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import BASE, secret_spans, span_text
 
@@ -178,6 +187,7 @@ GROUP BY l.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_piece_tokens": op4_piece_tokens,
     "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
     "op8_simhash": op8_simhash,

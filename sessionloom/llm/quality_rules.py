@@ -167,9 +167,12 @@ def quality_filter(docs: DataFrame, labels: DataFrame, alpha: float = 0.005, del
     Features are computed once more in the filtering pass, which costs less
     than to shuffle all texts to meet their verdicts.
     """
-    cuts = materialize(certified_cutoffs(_features(docs, id_col, text_col, stratum_col), labels, alpha, delta))
+    feats = materialize(_features(docs, id_col, text_col, stratum_col))
+    cuts = materialize(certified_cutoffs(feats, labels, alpha, delta))
     names = fresh(docs, *(f"qr_in_{i}" for i in range(len(docs.columns))))
     held, text, stratum = docs.toDF(*names), names[docs.columns.index(text_col)], names[docs.columns.index(stratum_col)]
-    (key,) = fresh(held, "qr_key")
-    judged = _verdict(with_features(held.withColumn(key, F.coalesce(F.col(stratum).cast("string"), F.lit(""))), text), cuts, key)
-    return judged.filter("kept").select(*(F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)))
+    key, order = fresh(held, "qr_key", "qr_order")
+    # a filter isn't pushed below a column that isn't deterministic: else its features would be evaluated again inside it
+    judged = with_features(held.withColumn(key, F.coalesce(F.col(stratum).cast("string"), F.lit(""))), text).withColumn(order, F.monotonically_increasing_id())
+    judged = _verdict(judged, cuts, key).filter(F.col("kept") & (F.col(order) >= 0))
+    return judged.select(*(F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)))

@@ -151,6 +151,25 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import vector_groups
+
+    return vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::double[] AS e, sqrt(list_dot_product(embedding::double[], embedding::double[])) AS n FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+deg AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM comp LEFT JOIN deg USING (vec_id)
+"""
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_groups
 
@@ -190,12 +209,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_piece_tokens": op4_piece_tokens,
     "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_simhash": op8_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _op2_sql(),
     "op5_secret_scan": _op5_sql(),
+    "op7_vector_dedup": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
 }
 

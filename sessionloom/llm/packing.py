@@ -14,6 +14,7 @@ within their length, counted in salted groups so that no length is one task.
 from __future__ import annotations
 
 import array
+import sys
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,8 +29,8 @@ from ._common import materialize
 
 CAPACITY = 1024
 END_ID = 2
-#: Words a worker remembers; the memory starts anew beyond.
-MEMO = 600_000
+#: Characters of the first text of each Arrow batch that both libraries encode.
+CHECKED = 2000
 #: Pieces of one length that one group ranks.
 RANK_ROWS = 20_000
 #: Solutions of the program, each of what the one before left; fewer pieces than ``TAIL`` are packed by best fit at once.
@@ -40,59 +41,46 @@ TAIL = 200
 # -- tokens -----------------------------------------------------------------
 
 
-class _Words(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of words as the tokenizer's own splitting yields them."""
+class _Encoder:
+    """Ids of texts by byte-pair merges of a tokenizer file of the ``tokenizers`` library.
+
+    The merges run in tiktoken, made from the vocabulary of that same file
+    (its ids are the ranks of the merges); ``check`` holds texts against the
+    ``tokenizers`` library itself.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
+        import json
+
         import public_tokenizers
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path)
-        self.encode.encode_special_tokens = True
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[word] = array.array("I", self.encode.encode(word, add_special_tokens=False).ids).tobytes()
-        return out
-
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file shows as the character of that number; the others follow from 256
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
+        self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-class _Chunks(dict):
-    """The same of what follows a single space, up to the next one."""
+    def __call__(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit bytes."""
+        ids = array.array("I", self.encode(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    def __init__(self, words: _Words) -> None:
-        super().__init__()
-        self.words = words
-
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        out = self[chunk] = b"".join(map(self.words.__getitem__, self.words.split(" " + chunk)))
-        return out
+    def check(self, text: str) -> None:
+        if self.library.encode(text, add_special_tokens=False).ids != self.encode(text):
+            raise RuntimeError("the two libraries' ids differ")
 
 
 @lru_cache(1)
-def _encoder(path: str):
-    import re
-
-    words = _Words(path)
-    chunks = _Chunks(words)
-    odd = re.compile(r" (?:\s|\Z)").search
-
-    def ids(text: str) -> bytes:
-        """A token never holds a space but at its start, so a text without odd spaces can be cut before each of them."""
-        if not text:
-            return b""
-        if odd(text):
-            return b"".join(map(words.__getitem__, words.split(text)))
-        first, *rest = text.split(" ")
-        head = b"".join(map(words.__getitem__, words.split(first))) if first else b""
-        return head + b"".join(map(chunks.__getitem__, rest))
-
-    return ids
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -106,6 +94,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
         ids = _encoder(tokenizer)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
+            if batch.num_rows:
+                ids.check((batch.column(1)[0].as_py() or "")[:CHECKED])
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = memoryview(ids(text.as_py() or "") + end)

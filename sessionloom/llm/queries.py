@@ -86,6 +86,36 @@ FROM judged
 """
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP3_SQL = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+strings AS (
+  SELECT doc_id, at, md5(substr(x, 2 * at + 1, 400)) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS at FROM docs WHERE length(x) >= 400)
+), repeated AS (
+  SELECT doc_id, at FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)
+), islands AS (
+  SELECT doc_id, min(at) AS lo, max(at) + 200 AS hi
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY at) AS island FROM
+    (SELECT *, CASE WHEN at > lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 200 THEN 1 ELSE 0 END AS fresh FROM repeated))
+  GROUP BY doc_id, island
+), pieces AS (
+  SELECT i.doc_id, lo, hi, substr(x, 2 * coalesce(lag(hi) OVER w, 0) + 1, 2 * (lo - coalesce(lag(hi) OVER w, 0))) AS kept
+  FROM islands i JOIN docs USING (doc_id) WINDOW w AS (PARTITION BY i.doc_id ORDER BY lo)
+), per AS (
+  SELECT doc_id, sum(hi - lo)::bigint AS n_removed, count(*) AS n_spans, string_agg(kept, '' ORDER BY lo) AS head, max(hi) AS last FROM pieces GROUP BY doc_id
+)
+SELECT d.doc_id, length(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM docs d LEFT JOIN per USING (doc_id)
+"""
+
+
 def op4_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -219,6 +249,7 @@ GROUP BY l.doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_quality_rules": op2_quality_rules,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_piece_tokens": op4_piece_tokens,
     "op5_secret_scan": op5_secret_scan,
     "op6_packing": op6_packing,
@@ -229,6 +260,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _op2_sql(),
+    "op3_suffix_dedup": OP3_SQL,
     "op5_secret_scan": _op5_sql(),
     "op7_vector_dedup": OP7_SQL,
     "op10_line_dedup": OP10_SQL,

@@ -96,13 +96,13 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP3_SQL = """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 strings AS (
-  SELECT doc_id, at, md5(substr(x, 2 * at + 1, 400)) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS at FROM docs WHERE length(x) >= 400)
+  SELECT doc_id, p, md5(substr(x, 2 * p + 1, 400)) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS p FROM docs WHERE length(x) >= 400)
 ), repeated AS (
-  SELECT doc_id, at FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)
+  SELECT doc_id, p FROM strings WHERE s IN (SELECT s FROM strings GROUP BY s HAVING count(*) > 1)
 ), islands AS (
-  SELECT doc_id, min(at) AS lo, max(at) + 200 AS hi
-  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY at) AS island FROM
-    (SELECT *, CASE WHEN at > lag(at) OVER (PARTITION BY doc_id ORDER BY at) + 200 THEN 1 ELSE 0 END AS fresh FROM repeated))
+  SELECT doc_id, min(p) AS lo, max(p) + 200 AS hi
+  FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS island FROM
+    (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 1 ELSE 0 END AS fresh FROM repeated))
   GROUP BY doc_id, island
 ), pieces AS (
   SELECT i.doc_id, lo, hi, substr(x, 2 * coalesce(lag(hi) OVER w, 0) + 1, 2 * (lo - coalesce(lag(hi) OVER w, 0))) AS kept

@@ -14,7 +14,7 @@ MAX_BLOB = 50 << 20
 
 def transcript_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, raw) of JSON-lines transcripts below ``path``, line order kept within each file."""
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     return whole.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
 
 

@@ -31,5 +31,5 @@ def drain_spool(spark: SparkSession, spool: str, out: str, checkpoint: str, line
         batch.filter("problem IS NOT NULL").select("file", "problem").write.mode("append").parquet(out + "_quarantine")
         batch.unpersist()
 
-    files = spark.readStream.option("wholetext", not line_payloads).option("pathGlobFilter", "*.txt" if line_payloads else "*.json").text(spool).select("value", F.col("_metadata.file_name").alias("file"))
+    files = spark.readStream.option("pathGlobFilter", "*.txt" if line_payloads else "*.json").text(spool, wholetext=not line_payloads).select("value", F.col("_metadata.file_name").alias("file"))
     payloads(files).writeStream.foreachBatch(process).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -94,3 +94,22 @@ def numbered(df: DataFrame, group: str, order: list[str], text: str, out: str) -
     parts = F.arrays_zip(F.split(text, MARK, -1).alias("g"), F.regexp_extract_all(F.col(text), F.lit(MARK), F.lit(0)).alias("m"))
     whole = F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(F.when(x["m"].isNotNull(), F.element_at("_numbers", x["m"])), F.lit("")))), "")
     return joined.withColumn(out, F.when(F.col("_numbers").isNull(), F.col(text)).otherwise(whole)).drop("_group", "_numbers")
+
+
+def redact_metadata(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``redact``; a non-blank value that no pass touches is a secret as a whole (times, revisions, branches of a session)."""
+    done = redact(df, text, out)
+    whole = (F.col(out) == F.col(text)) & (trim_space(F.col(text)) != "") & ~F.col(text).contains("[REDACTED_")
+    return done.withColumn(out, F.when(whole, marker("SECRET", F.col(text))).otherwise(F.col(out)))
+
+
+def summary(df: DataFrame, group: str, order: list[str], text: str) -> DataFrame:
+    """(group, kind, field order..., finding, placeholders): one finding per field and kind, secrets before paths, numbered over the group.
+
+    ``placeholders`` are the field's distinct ones, sorted and comma-joined.
+    """
+    found = df.select(group, *order, F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\[REDACTED_(?:SECRET|PATH)_[0-9a-f]+\]"), F.lit(0))).alias("placeholder"))
+    rank = F.when(F.col("placeholder").startswith("[REDACTED_SECRET"), 0).otherwise(1)
+    per = found.withColumn("rank", rank).groupBy(group, *order, "rank").agg(F.array_join(F.array_sort(F.collect_set("placeholder")), ",").alias("placeholders"), F.count("*").alias("replacements"))
+    number = F.row_number().over(W.partitionBy(group).orderBy(*order, "rank"))
+    return per.select(group, *order, F.when(F.col("rank") == 0, "secret").otherwise("path").alias("kind"), number.alias("finding"), "replacements", "placeholders")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values.
 FILE_TOOLS = ("read", "write", "edit", "multiedit", "notebookedit")
@@ -31,3 +35,31 @@ def json_lines(ordered: DataFrame) -> DataFrame:
     per = ordered.groupBy("session_id").agg(F.array_sort(F.collect_list(record)).alias("records"))
     body = F.struct(F.col("session_id").alias("id"), F.transform("records", lambda x: x["r"]).alias("content"), F.struct(F.lit("1.1.0").alias("version"), F.lit("corpus").alias("data_class")).alias("details"))
     return per.select("session_id", F.to_json(body).alias("line"))
+
+
+def _allowed(value: object) -> object:
+    if isinstance(value, dict):
+        return {k: _allowed(v) for k, v in value.items() if k.strip().lower() in ALLOWED_KEYS}
+    return [_allowed(v) for v in value] if isinstance(value, list) else value
+
+
+@F.pandas_udf(T.StringType())
+def _allow_keys(inputs: pd.Series) -> pd.Series:
+    """Objects with only the allowed keys, at every depth; keys sorted. Values that aren't JSON objects become empty ones."""
+
+    def one(x: str | None) -> str:
+        try:
+            value = json.loads(x or "{}")
+        except ValueError:
+            value = {}
+        return json.dumps(_allowed(value) if isinstance(value, dict) else {}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+    return inputs.map(one)
+
+
+def kwargs(name: Column, call_input: Column) -> Column:
+    """Arguments of an exported call: file tools keep their path only (null without one), others the allowed keys."""
+    path = lambda k: F.nullif(F.get_json_object(call_input, f"$.{k}"), F.lit(""))
+    file_path, plain = path("file_path"), path("path")
+    only = F.when(file_path.isNotNull(), F.to_json(F.struct(file_path.alias("file_path")))).when(plain.isNotNull(), F.to_json(F.struct(plain.alias("path"))))
+    return F.when(F.lower(F.trim(name)).isin(*FILE_TOOLS), only).otherwise(_allow_keys(F.coalesce(call_input, F.lit("{}"))))

@@ -53,3 +53,9 @@ def leaks(texts: DataFrame, markers: DataFrame, text_id: str, text: str, marker_
 def may_flow(source: str, target: str) -> bool:
     """Whether data of one class may become the other's without review: never from closed to more open unchecked, so ranks must not fall."""
     return LATTICE[target] >= LATTICE[source]
+
+
+def scorecard(checks: DataFrame) -> DataFrame:
+    """``checks`` (dimension, blocking, failures) with ``state``: green without failures, else red if blocking, amber if not."""
+    state = F.when(F.col("failures") == 0, "green").when(F.col("blocking"), "red").otherwise("amber")
+    return checks.withColumn("state", state)

@@ -14,7 +14,7 @@ from .functions import redaction, text
 from .functions.diff import line_diff
 from .operators import matching
 from .plans import activity as A
-from .plans import export, findings, quality, vault
+from .plans import export, findings, quality, report, vault
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,6 +265,23 @@ def artifact_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.activity(spark, sf_dir).groupBy("session_id").agg(n.alias("n_present"), F.when(n == 5, "skip").when(n == 1, "process").otherwise("error").alias("state"))
 
 
+_CARD = ORACLES["review_cards"]
+
+
+def _escaped(c: str) -> str:
+    quotes = (("'", "&#39;"), ('"', "&#34;"))
+    for plain, escaped in quotes:
+        c = "replace({}, '{}', '{}')".format(c, plain.replace("'", "''"), escaped)
+    return c
+
+
+@_query(f"""SELECT session_id, sha256('<!doctype html><title>' || session_id || '</title><table>' || t || '</table><ul>' || array_to_string(list_transform(string_split(ev, chr(10)), lambda e: '<li>' || e || '</li>'), '') || '</ul>') AS page_sha256 FROM (
+  SELECT session_id, '<tr><th>Verdict</th><td>' || verdict || '</td></tr><tr><th>Main finding</th><td>' || {_escaped("main_finding")} || '</td></tr><tr><th>Next habit</th><td>' || {_escaped("suggested_next_habit")}
+    || '</td></tr><tr><th>Skill</th><td>' || coalesce(suggested_skill, 'not recorded') || '</td></tr>' AS t, {_escaped("evidence")} AS ev FROM ({_CARD}))""")
+def report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.pages(review_cards(spark, sf_dir)).select("session_id", F.sha2("page", 256).alias("page_sha256"))
+
+
 # -- matching and export --------------------------------------------------------
 
 
@@ -454,6 +471,27 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
 
 
+@_query("""SELECT dimension, blocking, failures, CASE WHEN failures = 0 THEN 'green' WHEN blocking THEN 'red' ELSE 'amber' END AS state FROM (
+  SELECT 'D01' AS dimension, true AS blocking, (SELECT count(*) FROM documents d JOIN benchmark b ON contains(d.text, b.text)) AS failures
+  UNION ALL SELECT 'D02', true, (SELECT count(*) FROM events WHERE NOT json_valid(props) OR json_type(props, '$.k') NOT IN ('BIGINT', 'UBIGINT'))
+  UNION ALL SELECT 'D03', false, (SELECT count(*) - count(DISTINCT text) FROM documents))""")
+def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Executed checks: benchmark passages in documents, broken event contracts, repeated contents."""
+    bad = json_contract_check(spark, sf_dir).filter("NOT valid_json OR missing_key OR wrong_type")
+    n = F.count("*").alias("failures")
+    repeats = (F.count("*") - F.count_distinct("text")).alias("failures")
+    checks = [("D01", True, leak_scan(spark, sf_dir).agg(n)), ("D02", True, bad.agg(n)), ("D03", False, _table(spark, sf_dir, "documents").agg(repeats))]
+    rows = [df.select(F.lit(d).alias("dimension"), F.lit(b).alias("blocking"), "failures") for d, b, df in checks]
+    return quality.scorecard(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+
+
+@_query()
+def redaction_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One finding per turn and kind, with the conversation's placeholders."""
+    done = redaction.redact(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "redacted")
+    return redaction.summary(redaction.numbered(done, "conv_id", ["turn"], "redacted", "shown"), "conv_id", ["turn"], "shown")
+
+
 @_query()
 def turn_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as lines against the turn of the same role before it."""

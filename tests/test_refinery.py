@@ -229,3 +229,30 @@ def test_contract_check(spark):
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
     out = check_document(df, "d", {"k": "integer"}).orderBy("i").collect()
     assert [(r.valid_json, r.missing_key, r.wrong_type, r.extra_key) for r in out] == [(True, False, False, False), (True, False, False, False), (True, False, True, False), (True, True, False, False), (True, False, False, True), (False,) * 4, (False,) * 4]
+
+
+def test_export_arguments(spark):
+    from sessionloom.plans.export import kwargs
+
+    rows = [("Edit", '{"file_path": "a", "old": "x"}', '{"file_path":"a"}'), ("read", '{"path": "b"}', '{"path":"b"}'), ("Write", "{}", None), ("Bash", '{"command": "ls", "env": {"K": 1}, "query": [{"url": 1, "z": 2}]}', '{"command":"ls","query":[{"url":1}]}'), ("Other", None, "{}"), ("Other", "[1]", "{}")]
+    df = spark.createDataFrame(rows, "name string, input string, want string")
+    for r in df.select("want", kwargs(F.col("name"), F.col("input")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_metadata_and_summary(spark):
+    from sessionloom.functions.redaction import numbered, redact_metadata, summary
+
+    df = spark.createDataFrame([("s", 0, "main"), ("s", 1, "/home/a/b token abc"), ("s", 2, ""), ("s", 3, None), ("s", 4, "main")], "g string, i int, t string")
+    done = numbered(redact_metadata(df, "t", "o"), "g", ["i"], "o", "s")
+    assert [r.s for r in done.orderBy("i").collect()] == ["[REDACTED_SECRET_001]", "[REDACTED_PATH_001] token [REDACTED_SECRET_002]", "", None, "[REDACTED_SECRET_001]"]
+    found = summary(done, "g", ["i"], "s").orderBy("finding").collect()
+    assert [(r.i, r.kind, r.placeholders) for r in found] == [(0, "secret", "[REDACTED_SECRET_001]"), (1, "secret", "[REDACTED_SECRET_002]"), (1, "path", "[REDACTED_PATH_001]"), (4, "secret", "[REDACTED_SECRET_001]")]
+
+
+def test_scorecard(spark):
+    from sessionloom.plans.quality import may_flow, scorecard
+
+    df = spark.createDataFrame([("a", True, 0), ("b", True, 1), ("c", False, 1)], "dimension string, blocking boolean, failures long")
+    assert [r.state for r in scorecard(df).orderBy("dimension").collect()] == ["green", "red", "amber"]
+    assert may_flow("raw", "redacted") and not may_flow("corpus", "raw")

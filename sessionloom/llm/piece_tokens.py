@@ -3,7 +3,7 @@
 A text's symbols start as its characters; an agenda holds the adjacent pairs
 whose concatenation is in the vocabulary, ordered by score and then by place.
 The best pair is merged, its new neighbours enter the agenda, stale entries
-are skipped. Characters outside the vocabulary become byte pieces. No piece
+are skipped. The agendas of many short chunks advance together as rows of an array. Characters outside the vocabulary become byte pieces. No piece
 but runs of the space mark holds that mark after its start, so no merge
 crosses into a following space mark, and the agenda runs once per distinct
 chunk (space marks and what follows them). Every batch is encoded and decoded
@@ -12,11 +12,13 @@ by the sentencepiece library too: a row says whether both agree.
 
 from __future__ import annotations
 
+import array
 import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +29,14 @@ from ._common import fresh
 #: The space mark.
 MARK = "▁"
 #: Chunks a worker remembers; the memory starts anew beyond.
-MEMO = 600_000
+MEMO = 1_000_000
+#: Characters of chunks whose agendas run together in arrays; longer ones have a heap each.
+SHORT = 24
+NEVER = np.iinfo(np.int32).max
 
 
 class PieceTokenizer(dict):
-    """Encoder and decoder of one model; as a dict, the memory of chunk -> ids."""
+    """Encoder and decoder of one model; as a dict, the memory of chunk -> ids (bytes of 32-bit integers)."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -44,7 +49,8 @@ class PieceTokenizer(dict):
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.pieces[i]: i for i in plain}
-        self.scores = {self.pieces[i]: sp.get_score(i) for i in plain}
+        order = {s: r for r, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
+        self.ranks = {self.pieces[i]: order[sp.get_score(i)] for i in plain}  # the agenda's order: highest score first
         self.bytes = {int(self.pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown, self.end = sp.unk_id(), sp.eos_id()
@@ -52,56 +58,133 @@ class PieceTokenizer(dict):
         self.shown = [p.replace(MARK, " ") for p in self.pieces]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary has pieces with the space mark after other characters")
+        self._pair_table()
+        # marks that no piece holds after a letter: no merge joins them to the word before
+        self.apart = {c for c in ".,;:!?" if not any(x.isalpha() and y == c for p in self.ids for x, y in zip(p, p[1:], strict=False))}
         self.chunks = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
 
     def agenda(self, chunk: str) -> list[str]:
         """Pieces of ``chunk`` after all merges."""
-        sym: list[str] = list(chunk)
+        sym = list(chunk)
         n = len(sym)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        scores = self.scores
-        heap: list[tuple[float, int, int, str]] = []
-
-        def offer(a: int, b: int) -> None:
-            if a >= 0 and b >= 0 and (both := sym[a] + sym[b]) in scores:
-                heapq.heappush(heap, (-scores[both], a, b, both))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        rank = self.ranks.get
+        heap = [(r, i, i + 1, both) for i, both in enumerate(map(str.__add__, sym, sym[1:])) if (r := rank(both)) is not None]
+        heapq.heapify(heap)
         while heap:
             _, a, b, both = heapq.heappop(heap)
-            if not sym[a] or not sym[b] or after[a] != b or sym[a] + sym[b] != both:
+            if not sym[a] or after[a] != b or sym[a] + sym[b] != both:
                 continue  # a part has been merged since
             sym[a], sym[b] = both, ""
-            after[a] = after[b]
-            if after[b] >= 0:
-                before[after[b]] = a
-            offer(before[a], a)
-            offer(a, after[a])
+            left, right = before[a], after[b]
+            after[a] = right
+            if right >= 0:
+                before[right] = a
+                wide = both + sym[right]
+                if (r := rank(wide)) is not None:
+                    heapq.heappush(heap, (r, a, right, wide))
+            if left >= 0:
+                wide = sym[left] + both
+                if (r := rank(wide)) is not None:
+                    heapq.heappush(heap, (r, left, a, wide))
         return [s for s in sym if s]
 
-    def __missing__(self, chunk: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.agenda(chunk):
+    def _pair_table(self) -> None:
+        """Pairs of symbols that merge: sorted keys, ranks and merged ids. A symbol is a piece's id, or for other characters ``n`` + code point."""
+        n = len(self.pieces)
+        self.other, self.wide = n, n + 0x110000
+        self.symbol = np.arange(n, self.wide, dtype=np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
+        found = {}
+        for piece, r in self.ranks.items():
+            for k in range(1, len(piece)):
+                parts = [self.ids.get(x, n + ord(x) if len(x) == 1 else None) for x in (piece[:k], piece[k:])]
+                if None not in parts:
+                    found[parts[0] * self.wide + parts[1]] = (r, self.ids[piece])
+        keys = sorted(found)
+        self.pair_keys = np.array([*keys, np.iinfo(np.int64).max])
+        self.pair_ranks = np.array([*(found[k][0] for k in keys), NEVER], np.int32)
+        self.pair_ids = np.array([*(found[k][1] for k in keys), -1], np.int32)
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Place of each pair in the table, its last place if the pair doesn't merge."""
+        key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * self.wide + b, -1)
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, at, len(self.pair_keys) - 1)
+
+    def agendas(self, chunks: list[str]) -> Iterator[tuple[bytes, bool]]:
+        """Symbols of many short chunks after all merges, and whether all are pieces: a row of ranks is a chunk's agenda, and all chunks take their best pair together."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        width = int(size.max())
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), "<u4")
+        s = np.full((len(chunks), width), -1, np.int32)
+        s[np.arange(width) < size[:, None]] = self.symbol[codes]
+        r = np.full(s.shape, NEVER, np.int32)
+        r[:, :-1] = self.pair_ranks[self._pairs(s[:, :-1], s[:, 1:])]
+        out, live, col = np.empty_like(s), np.arange(len(chunks)), np.arange(width)
+        while len(live):
+            at = r.argmin(axis=1)  # the first of the best: ties go to the left
+            on = r[np.arange(len(live)), at] < NEVER
+            if not on.all():
+                out[live[~on]] = s[~on]
+                live, at, s, r = live[on], at[on], s[on], r[on]
+            row, right = np.arange(len(live)), np.minimum(at + 1, width - 1)
+            both = self.pair_ids[self._pairs(s[row, at], s[row, right])]
+            shift = np.minimum(col + (col > at[:, None]), width - 1)
+            s, r = np.take_along_axis(s, shift, 1), np.take_along_axis(r, shift, 1)
+            s[:, -1], r[:, -1] = -1, NEVER
+            s[row, at] = both
+            r[row, at] = self.pair_ranks[self._pairs(both, np.where(at + 1 < width, s[row, right], -1))]
+            left = np.flatnonzero(at > 0)
+            r[left, at[left] - 1] = self.pair_ranks[self._pairs(s[left, at[left] - 1], both[left])]
+        flat, stride = out.tobytes(), 4 * width
+        for i, n, plain in zip(range(0, len(flat), stride), (out >= 0).sum(axis=1).tolist(), (out < self.other).all(axis=1).tolist(), strict=True):
+            yield flat[i : i + 4 * n], plain
+
+    def learn(self, chunks: set[str]) -> None:
+        """Remember what the short ones among ``chunks`` become; ``__missing__`` sees to the others."""
+        if len(self) + len(chunks) > MEMO:
+            self.clear()
+        new = {c[:-1] if c[-1] in self.apart and c[-2:-1].isalpha() else c for c in chunks if c not in self}
+        short = sorted((c for c in new if 1 < len(c) <= SHORT and c not in self), key=len)
+        for lo in range(0, len(short), 8192):
+            part = short[lo : lo + 8192]
+            for chunk, (symbols, plain) in zip(part, self.agendas(part), strict=True):
+                self[chunk] = symbols if plain else self._fallback([self.pieces[x] if x < self.other else chr(x - self.other) for x in array.array("i", symbols)])
+
+    def _fallback(self, pieces: list[str]) -> bytes:
+        """Ids of pieces, byte pieces for characters outside the vocabulary."""
+        out = array.array("i")
+        for piece in pieces:
             if piece in self.ids:
                 out.append(self.ids[piece])
             elif self.bytes:
-                out += [self.bytes[b] for b in piece.encode()]
+                out.extend(self.bytes[b] for b in piece.encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
+        return out.tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk[-1] in self.apart and chunk[-2:-1].isalpha():
+            return self[chunk[:-1]] + self[chunk[-1]]
+        out = self._fallback(self.agenda(chunk))
         if len(self) >= MEMO:
             self.clear()
         self[chunk] = out
         return out
 
+    def packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text with the end id, as native 32-bit integers; chunks not seen before run their agendas together."""
+        split = [self.chunks(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        self.learn(set().union(*split))
+        end = array.array("i", [self.end]).tobytes()
+        return [b"".join(map(self.__getitem__, s)) + end for s in split]
+
     def encode(self, text: str) -> list[int]:
         """Ids with the end id; the text is prefixed with a space mark unless empty."""
-        out: list[int] = []
-        if text:
-            for chunk in self.chunks(MARK + text.replace(" ", MARK)):
-                out += self[chunk]
-        out.append(self.end)
-        return out
+        return array.array("i", self.packed([text])[0]).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: the first space is the prefix; runs of byte pieces are read as UTF-8."""
@@ -154,15 +237,12 @@ def piece_tokens(docs: DataFrame, model: str, text_col: str = "text", with_ids:
             for lo in range(0, whole.num_rows, 512):  # few rows at a time: ids take more room than the text
                 batch = whole.slice(lo, 512)
                 out: dict[str, list] = {c: [] for c in made}
-                for text in batch.column(raw):
-                    text = text.as_py() or ""
-                    ids = tok.encode(text)
-                    decoded = tok.decode(ids)
-                    lib = tok.library.encode(text, add_eos=True)
-                    lib_decoded = tok.library.decode(lib)
-                    agrees = ids == lib and decoded == lib_decoded
-                    if not agrees:
-                        ids, decoded = lib, lib_decoded
+                texts = [x.as_py() or "" for x in batch.column(raw)]
+                for text, own in zip(texts, tok.packed(texts), strict=True):
+                    ids = tok.library.encode(text, add_eos=True)
+                    agrees = array.array("i", ids).tobytes() == own
+                    decoded = tok.library.decode(ids)
+                    agrees = agrees and tok.decode(ids) == decoded
                     row = {"token_ids": ids, "n_tokens": len(ids), "ids_sha256": sha(" ".join(map(str, ids))), "decoded_sha256": sha(decoded), "agrees": agrees}
                     for c in made:
                         out[c].append(row[c])

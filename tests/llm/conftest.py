@@ -1,5 +1,9 @@
+import os
+
 import pytest
 
+SF = "/root/testdata/sf0.001"
+
 LONG = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore "
 
 
@@ -26,3 +30,13 @@ def odd_docs(spark):
 @pytest.fixture(scope="session")
 def no_docs(odd_docs):
     return odd_docs.filter("1 = 0")
+
+
+@pytest.fixture(scope="session", params=["odd", "table"])
+def some_docs(request, spark, odd_docs):
+    """The odd documents, and the smallest of the given tables as the registered queries read it."""
+    if request.param == "odd":
+        return odd_docs
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    return spark.read.parquet(f"{SF}/documents.parquet")

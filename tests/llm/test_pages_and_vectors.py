@@ -1,8 +1,13 @@
 """HTML extraction and vector groups."""
 
 import math
+import os
+import re
 
 import numpy as np
+import pytest
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_main_text(spark):
@@ -35,6 +40,21 @@ def test_main_text(spark):
     assert main_text(pages.filter("1 = 0")).count() == 0
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_op1_on_its_table(spark):
+    import html
+
+    from sessionloom.llm.queries import queries
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    out = queries()["op1_html_extract"](spark, SF).collect()
+    assert len(out) == len(pages)
+    for r in out:
+        article = re.search("<article>(.*)</article>", pages[r.page_id], re.S)[1]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>", " ", x)).split()) for x in re.split("</?(?:p|h1)>", article))
+        assert r.text == "\n".join(filter(None, blocks))
+
+
 def test_wrappers_are_union_free():
     from sessionloom.llm.html_extract import align, expression, fold, parse
 

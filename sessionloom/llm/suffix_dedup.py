@@ -16,7 +16,8 @@ extensions of neighbours are verified on the bytes. Two contexts share the
 string that begins ``i`` bytes before the anchor if both orders put them into
 one run of extensions that long, which settles every string exactly. Anchors of
 more than ``HOT`` rows don't meet in one shard: their strings are dealt by
-128-bit hashes of their own, and equal strings of a block are still one row.
+128-bit hashes of their own, equal strings of a block are still one row, and
+a string repeats if its rows of all blocks hold two or more copies.
 """
 
 from __future__ import annotations
@@ -259,7 +260,7 @@ def _row_id(doc: object, text: bytes) -> int:
     return xxhash.xxh3_64_intdigest(text, xxhash.xxh3_64_intdigest(repr(doc).encode())) - (1 << 63)
 
 
-_CONTEXT = pa.schema([("shard", pa.int32()), ("h", pa.int64()), ("h2", pa.int64()), ("nearest", pa.int32()), ("before", pa.binary()), ("after", pa.binary()), ("blk", pa.int32()), ("places", pa.binary())])
+_CONTEXT = pa.schema([("shard", pa.int32()), ("h", pa.int64()), ("h2", pa.int64()), ("nearest", pa.int32()), ("before", pa.binary()), ("after", pa.binary()), ("whole", pa.bool_()), ("blk", pa.int32()), ("places", pa.binary())])
 
 
 def _contexts(ident: str, raw: str, length: int, gram: int, shards: int):
@@ -278,20 +279,20 @@ def _contexts(ident: str, raw: str, length: int, gram: int, shards: int):
             ok = np.flatnonzero((at < len(repeat)) & (repeat[np.minimum(at, len(repeat) - 1)] == h))
             for r, a, q, lo, hi in zip(*(x[ok].tolist() for x in (row, h, p, first, last)), strict=True):
                 text = texts[r]
-                if a in hot:  # each string is an anchor with nothing around it
+                if a in hot:  # each string is a row of its own, told apart by its hashes alone
                     strings = ((x, text[x : x + length]) for x in range(lo, hi + 1))
-                    keyed = [((digest(w) - (1 << 63), digest(w, 1) - (1 << 63), 0, b"", b""), x) for x, w in strings]
+                    keyed = [((digest(w) - (1 << 63), digest(w, 1) - (1 << 63), 0, b"", b"", True), x) for x, w in strings]
                 else:
-                    keyed = [((a, digest(text[q : q + gram]) - (1 << 63), q - hi, text[lo:q], text[q + gram : hi + length]), q)]
+                    keyed = [((a, digest(text[q : q + gram]) - (1 << 63), q - hi, text[lo:q], text[q + gram : hi + length], False), q)]
                 for key, place in keyed:
                     got = found.get(key)
                     if got is None:
                         found[key] = [names[r], place]
                     else:
                         got += (names[r], place)
-        cols = list(zip(*found, strict=True)) or [()] * 5
+        cols = list(zip(*found, strict=True)) or [()] * 6
         shard = (np.array(cols[0], np.int64).view(np.uint64) % np.uint64(shards)).astype(np.int32)
-        return pa.table([pa.array(shard), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)), pa.array([blk] * len(found), pa.int32()), pa.array([np.array(v, np.int64).tobytes() for v in found.values()], pa.binary())], schema=_CONTEXT)
+        return pa.table([pa.array(shard), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)), pa.array([blk] * len(found), pa.int32()), pa.array([np.array(v, np.int64).tobytes() for v in found.values()], pa.binary())], schema=_CONTEXT)
 
     return run
 
@@ -301,14 +302,19 @@ _SPAN = pa.schema([("blk", pa.int32()), ("row_id", pa.int64()), ("start", pa.int
 
 def _settle(length: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
-        h, h2 = table.column("h").to_numpy(), table.column("h2").to_numpy()
-        by = np.lexsort((h2, h))
+        whole, h, h2 = (table.column(c).to_numpy() for c in ("whole", "h", "h2"))
+        by = np.lexsort((h2, h, whole))  # whole strings last
         table = table.take(pa.array(by))
-        h, h2 = h[by], h2[by]
-        group = np.cumsum(np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]))
+        whole, h, h2 = whole[by], h[by], h2[by]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (h2[1:] != h2[:-1]) | (whole[1:] != whole[:-1])])
+        group = np.cumsum(new)
         places = [np.frombuffer(x.as_py(), np.int64).reshape(-1, 2) for x in table.column("places")]
         copies = np.fromiter(map(len, places), np.int64, len(places))
-        hit = repeated_offsets(group, table.column("before").to_pylist(), table.column("after").to_pylist(), table.column("nearest").to_numpy(), copies, length, gram)
+        n = int(np.count_nonzero(~whole))
+        parts = table.slice(0, n)
+        hit = np.zeros((len(group), length - gram + 1), bool)
+        hit[:n] = repeated_offsets(group[:n], parts.column("before").to_pylist(), parts.column("after").to_pylist(), parts.column("nearest").to_numpy(), copies[:n], length, gram)
+        hit[n:, 0] = (np.add.reduceat(copies, np.flatnonzero(new)) >= 2)[group[n:] - 1]  # a whole string repeats by its copies over all blocks
         edge = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         ctx, lo = np.nonzero(edge == 1)
         hi = np.nonzero(edge == -1)[1] - 1  # in the same order, run by run
@@ -379,7 +385,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int | None = Non
     hashes = dealt.mapInArrow(_hashes(raw, block, length, gram), "blk int, h long, n long")
     counts = hashes.groupBy("h").agg(F.sum("n").alias("n_all"), F.count("*").alias("n_rows")).filter("n_all > 1").select(F.col("h").alias("h_all"), (F.col("n_rows") > HOT).alias("hot"))
     wanted = hashes.join(counts, F.col("h") == F.col("h_all")).select("blk", "h", "hot")
-    contexts = wanted.groupBy("blk").cogroup(dealt.groupBy(block)).applyInArrow(_contexts(id_col, raw, length, gram, shards), "shard int, h long, h2 long, nearest int, before binary, after binary, blk int, places binary")
+    contexts = wanted.groupBy("blk").cogroup(dealt.groupBy(block)).applyInArrow(_contexts(id_col, raw, length, gram, shards), "shard int, h long, h2 long, nearest int, before binary, after binary, whole boolean, blk int, places binary")
     spans = contexts.groupBy("shard").applyInArrow(_settle(length, gram), "blk int, row_id long, start long, stop long")
     spans = spans.select(F.col("blk").alias("s_blk"), "row_id", "start", "stop")
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_bytes", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in made[1:4]), T.StructField("kept_sha256", T.StringType())])

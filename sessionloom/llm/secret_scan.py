@@ -11,7 +11,8 @@ Positions come from the lengths of the texts between the matches. The parts
 of a document are joined by interval: each part is dealt to the stretches of
 ``STRETCH`` code points that its scope touches, and within a stretch the
 nearest complementary part before and after is found by running maxima and
-minima, so that no pairs are made and no group is larger than a stretch.
+minima, so that no pairs are made and no group is larger than a stretch. What
+a part meets in any of its stretches counts.
 """
 
 from __future__ import annotations
@@ -77,8 +78,9 @@ def _linked(parts: DataFrame, key: list[str], scope: int) -> DataFrame:
     covered = F.coalesce(F.max(F.when(base, F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(F.min(F.when(base, F.col("start"))).over(after) < F.col("end"), F.lit(False))
     seen = dealt.select("*", near(F.col("role") == "i").alias("near_i"), near(F.col("role") == "s").alias("near_s"), covered.alias("covered"))
     wanted = F.when(F.col("role") == "i", F.col("near_s")).when(F.col("role") == "s", F.col("near_i")).otherwise(F.col("near_i") & F.col("near_s"))
-    home = F.col("stretch") == F.floor(F.col("start") / STRETCH)
-    return seen.filter(home & (base | (wanted & ~F.col("covered")))).select(*key, "kind", "start", "end")
+    # a part may meet its complement, or a base span that covers it, in any of its stretches
+    judged = seen.groupBy(*key, "kind", "start", "end", "role").agg(*(F.bool_or(c).alias(c) for c in ("near_i", "near_s", "covered")))
+    return judged.filter(base | (wanted & ~F.col("covered"))).select(*key, "kind", "start", "end")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, h1: str, h2: str) -> DataFrame:

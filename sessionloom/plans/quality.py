@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Data classes from least to most open.
 LATTICE = {"raw": 0, "redacted": 1, "review": 2, "corpus": 3, "published": 4}
+#: Blocks of leak markers without an inner word.
+SHORT_BLOCKS = 16
 
 
 def check_document(df: DataFrame, json: str, required: dict[str, str], allowed: list[str] | None = None) -> DataFrame:
@@ -37,17 +39,24 @@ def check_document(df: DataFrame, json: str, required: dict[str, str], allowed:
 def leaks(texts: DataFrame, markers: DataFrame, text_id: str, text: str, marker_id: str, marker: str, width: int = 24) -> DataFrame:
     """(text_id, marker_id) of texts that contain a whole marker.
 
-    Candidates share the marker's rarest-looking word (its longest), so that
-    texts and markers meet by an equi-join; containment is then exact.
+    Candidates share the marker's rarest-looking word (its longest inner one),
+    so that texts and markers meet by an equi-join of words and ids; the texts
+    are fetched for candidates only, and containment is then exact. Markers
+    without an inner word (of one or two words, or of white space) are looked
+    for in every text, in ``SHORT_BLOCKS`` blocks.
     """
     words = lambda c: F.filter(F.split(c, r"[\x20\x09-\x0D]+"), lambda x: x != "")
     inner = F.slice(words(F.col(marker)), 2, F.greatest(F.size(words(F.col(marker))) - 2, F.lit(0)))  # words at the ends may be cut by the text around
     longest = F.aggregate(inner, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     marks = markers.select(F.col(marker_id).alias("m_id"), F.col(marker).alias("m_text"), longest.alias("m_word")).filter("m_text <> ''")
     base = texts.select(F.col(text_id).alias("t_id"), F.col(text).alias("t_text"))
-    seen = base.select("t_id", "t_text", F.explode(F.array_distinct(words(F.col("t_text")))).alias("t_word"))
-    keyed = seen.join(marks.filter("m_word <> ''"), F.col("t_word") == F.col("m_word")).filter(F.col("t_text").contains(F.col("m_text")))
-    return keyed.select(F.col("t_id").alias(text_id), F.col("m_id").alias(marker_id)).distinct()
+    seen = base.select("t_id", F.explode(F.array_distinct(words(F.col("t_text")))).alias("t_word"))
+    pairs = seen.join(marks.filter("m_word <> ''").select("m_id", "m_word").distinct(), F.col("t_word") == F.col("m_word")).select(F.col("t_id").alias("c_t"), F.col("m_id").alias("c_m")).distinct()
+    long = marks.filter("m_word <> ''").select("m_id", "m_text")
+    held = pairs.join(long, F.col("c_m").eqNullSafe(F.col("m_id"))).join(base, F.col("c_t").eqNullSafe(F.col("t_id"))).filter(F.col("t_text").contains(F.col("m_text")))
+    short = marks.filter("m_word = ''").groupBy(F.pmod(F.xxhash64("m_text"), F.lit(SHORT_BLOCKS)).alias("m_block")).agg(F.collect_list(F.struct("m_id", "m_text")).alias("m"))
+    scanned = base.crossJoin(short).select("t_id", F.explode(F.filter("m", lambda x: F.col("t_text").contains(x["m_text"]))).alias("m")).select("t_id", "m.m_id")
+    return held.select("t_id", "m_id").unionAll(scanned).select(F.col("t_id").alias(text_id), F.col("m_id").alias(marker_id)).distinct()
 
 
 def may_flow(source: str, target: str) -> bool:

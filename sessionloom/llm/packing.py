@@ -29,8 +29,8 @@ from ._common import materialize
 
 CAPACITY = 1024
 END_ID = 2
-#: Characters of the first text of each Arrow batch that both libraries encode.
-CHECKED = 2000
+#: Characters of texts that one call of the library encodes.
+ENCODED = 1 << 20
 #: Pieces of one length that one group ranks.
 RANK_ROWS = 20_000
 #: Solutions of the program, each of what the one before left; fewer pieces than ``TAIL`` are packed by best fit at once.
@@ -42,40 +42,32 @@ TAIL = 200
 
 
 class _Encoder:
-    """Ids of texts by byte-pair merges of a tokenizer file of the ``tokenizers`` library.
-
-    The merges run in tiktoken, made from the vocabulary of that same file
-    (its ids are the ranks of the merges); ``check`` holds texts against the
-    ``tokenizers`` library itself.
-    """
+    """Ids of texts by the ``tokenizers`` library with its default settings: added tokens of the file are found inside texts, none are put around them."""
 
     def __init__(self, path: str) -> None:
-        import json
+        import os
 
-        import public_tokenizers
-        import tiktoken
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file shows as the character of that number; the others follow from 256
-        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        special = {t.content for t in self.library.get_added_tokens_decoder().values()}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items() if token not in special}
-        self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def __call__(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit bytes."""
-        ids = array.array("I", self.encode(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def check(self, text: str) -> None:
-        if self.library.encode(text, add_special_tokens=False).ids != self.encode(text):
-            raise RuntimeError("the two libraries' ids differ")
+
+    def __call__(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit bytes, ``ENCODED`` characters or one text at a time."""
+        lo = size = 0
+        for hi, text in enumerate(texts):
+            if size and size + len(text) > ENCODED:
+                yield from self._encode(texts[lo:hi])
+                lo, size = hi, 0
+            size += len(text)
+        yield from self._encode(texts[lo:])
+
+    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+        for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
+            ids = array.array("I", found.ids)
+            if sys.byteorder == "big":
+                ids.byteswap()
+            yield ids.tobytes()
 
 
 @lru_cache(1)
@@ -94,11 +86,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
         ids = _encoder(tokenizer)
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
-            if batch.num_rows:
-                ids.check((batch.column(1)[0].as_py() or "")[:CHECKED])
+            texts = [x.as_py() or "" for x in batch.column(1)]
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                tokens = memoryview(ids(text.as_py() or "") + end)
+            for doc, own in zip(batch.column(0).to_pylist(), ids(texts), strict=True):
+                tokens = memoryview(own + end)
                 n = len(tokens) // 4
                 cut = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):

@@ -3,11 +3,15 @@
 A text's symbols start as its characters; an agenda holds the adjacent pairs
 whose concatenation is in the vocabulary, ordered by score and then by place.
 The best pair is merged, its new neighbours enter the agenda, stale entries
-are skipped. The agendas of many short chunks advance together as rows of an array. Characters outside the vocabulary become byte pieces. No piece
-but runs of the space mark holds that mark after its start, so no merge
-crosses into a following space mark, and the agenda runs once per distinct
-chunk (space marks and what follows them). Every batch is encoded and decoded
-by the sentencepiece library too: a row says whether both agree.
+are skipped. The agendas of many short chunks advance together as rows of an
+array. Characters outside the vocabulary become byte pieces. No piece but runs
+of the space mark holds that mark after its start, and none holds a line feed,
+so no merge crosses them, and the agenda runs once per distinct chunk (space
+marks and what follows them up to the next mark or line feed). What a chunk
+becomes is remembered as ids, as their decimal text and as decoded text, and a
+text is the concatenation of its chunks. Ids and text of every row come from
+the agenda; the sentencepiece library encodes and decodes every batch too, and
+a difference is an error.
 """
 
 from __future__ import annotations
@@ -35,8 +39,12 @@ SHORT = 24
 NEVER = np.iinfo(np.int32).max
 
 
+#: What a chunk becomes: ids (bytes of native 32-bit integers), their decimals each followed by a space, the decoded text.
+Made = tuple[bytes, str, str]
+
+
 class PieceTokenizer(dict):
-    """Encoder and decoder of one model; as a dict, the memory of chunk -> ids (bytes of 32-bit integers)."""
+    """Encoder and decoder of one model; as a dict, the memory of chunks and what they become."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -55,13 +63,15 @@ class PieceTokenizer(dict):
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown, self.end = sp.unk_id(), sp.eos_id()
         self.silent = {i for i in range(n) if sp.is_control(i)}
-        self.shown = [p.replace(MARK, " ") for p in self.pieces]
+        self.shown = ["" if i in self.silent else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
+        self.decimals = [f"{i} " for i in range(n)]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("the vocabulary has pieces with the space mark after other characters")
         self._pair_table()
         # marks that no piece holds after a letter: no merge joins them to the word before
         self.apart = {c for c in ".,;:!?" if not any(x.isalpha() and y == c for p in self.ids for x, y in zip(p, p[1:], strict=False))}
-        self.chunks = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+").findall
+        cut = "" if any("\n" in p for p in self.ids) else "\n"
+        self.chunks = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+" + (f"|{cut}+" if cut else "")).findall
 
     def agenda(self, chunk: str) -> list[str]:
         """Pieces of ``chunk`` after all merges."""
@@ -144,17 +154,25 @@ class PieceTokenizer(dict):
             yield flat[i : i + 4 * n], plain
 
     def learn(self, chunks: set[str]) -> None:
-        """Remember what the short ones among ``chunks`` become; ``__missing__`` sees to the others."""
+        """Remember what the short ones among ``chunks``, none known yet, become; ``__missing__`` sees to the others."""
         if len(self) + len(chunks) > MEMO:
             self.clear()
-        new = {c[:-1] if c[-1] in self.apart and c[-2:-1].isalpha() else c for c in chunks if c not in self}
+        new = {c[:-1] if c[-1] in self.apart and c[-2:-1].isalpha() else c for c in chunks}
         short = sorted((c for c in new if 1 < len(c) <= SHORT and c not in self), key=len)
+        decimal, shown = self.decimals.__getitem__, self.shown.__getitem__
         for lo in range(0, len(short), 8192):
             part = short[lo : lo + 8192]
             for chunk, (symbols, plain) in zip(part, self.agendas(part), strict=True):
-                self[chunk] = symbols if plain else self._fallback([self.pieces[x] if x < self.other else chr(x - self.other) for x in array.array("i", symbols)])
+                ids = array.array("i", symbols)
+                if plain:
+                    self[chunk] = (symbols, "".join(map(decimal, ids)), "".join(map(shown, ids)))
+                else:
+                    self[chunk] = self._made(self._fallback([self.pieces[x] if x < self.other else chr(x - self.other) for x in ids]))
 
-    def _fallback(self, pieces: list[str]) -> bytes:
+    def _made(self, ids: array.array) -> Made:
+        return ids.tobytes(), "".join(map(self.decimals.__getitem__, ids)), self._shown(ids)
+
+    def _fallback(self, pieces: list[str]) -> array.array:
         """Ids of pieces, byte pieces for characters outside the vocabulary."""
         out = array.array("i")
         for piece in pieces:
@@ -164,60 +182,81 @@ class PieceTokenizer(dict):
                 out.extend(self.bytes[b] for b in piece.encode())
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
-        return out.tobytes()
+        return out
 
-    def __missing__(self, chunk: str) -> bytes:
+    def __missing__(self, chunk: str) -> Made:
         if chunk[-1] in self.apart and chunk[-2:-1].isalpha():
-            return self[chunk[:-1]] + self[chunk[-1]]
-        out = self._fallback(self.agenda(chunk))
+            word, mark = self[chunk[:-1]], self[chunk[-1]]
+            out = (word[0] + mark[0], word[1] + mark[1], word[2] + mark[2])
+        else:
+            out = self._made(self._fallback(self.agenda(chunk)))
         if len(self) >= MEMO:
             self.clear()
         self[chunk] = out
         return out
 
-    def packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text with the end id, as native 32-bit integers; chunks not seen before run their agendas together."""
+    def made(self, texts: list[str]) -> list[Made]:
+        """Ids of each text with the end id, their decimals joined by spaces, and the decoded text; chunks not seen before run their agendas together."""
         split = [self.chunks(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn(set().union(*split))
-        end = array.array("i", [self.end]).tobytes()
-        return [b"".join(map(self.__getitem__, s)) + end for s in split]
+        known = [list(map(self.get, s)) for s in split]
+        new: set[str] = set()
+        for s, found in zip(split, known, strict=True):
+            if None in found:
+                new.update(c for c, x in zip(s, found, strict=True) if x is None)
+        self.learn(new)
+        end, out = array.array("i", [self.end]).tobytes(), []
+        for s, found in zip(split, known, strict=True):
+            if None in found:
+                found = [self[c] if x is None else x for c, x in zip(s, found, strict=True)]
+            ids, shown, text = zip(*found, strict=True) if found else ((), (), ())
+            text = "".join(text)
+            out.append((b"".join(ids) + end, "".join(shown) + str(self.end), text[1:] if text[:1] == " " else text))
+        return out
 
     def encode(self, text: str) -> list[int]:
         """Ids with the end id; the text is prefixed with a space mark unless empty."""
-        return array.array("i", self.packed([text])[0]).tolist()
+        return array.array("i", self.made([text])[0][0]).tolist()
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ``ids``: the first space is the prefix; runs of byte pieces are read as UTF-8."""
+    def _shown(self, ids: list[int] | array.array) -> str:
+        """The pieces' text; runs of byte pieces are read as UTF-8."""
         shown, byte_of = self.shown, self.byte_of
         if byte_of.keys().isdisjoint(ids):
-            text = "".join([shown[i] for i in ids if i not in self.silent])
-        else:
-            parts, run = [], bytearray()
-            for i in ids:
-                if i in byte_of:
-                    run.append(byte_of[i])
-                    continue
-                if run:
-                    parts.append(run.decode("utf-8", "replace"))
-                    run = bytearray()
-                if i not in self.silent:
-                    parts.append(shown[i])
-            parts.append(run.decode("utf-8", "replace"))
-            text = "".join(parts)
+            return "".join(map(shown.__getitem__, ids))
+        parts, run = [], bytearray()
+        for i in ids:
+            if i in byte_of:
+                run.append(byte_of[i])
+                continue
+            if run:
+                parts.append(run.decode("utf-8", "replace"))
+                run = bytearray()
+            parts.append(shown[i])
+        parts.append(run.decode("utf-8", "replace"))
+        return "".join(parts)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ``ids``; the first space is the prefix."""
+        text = self._shown(ids)
         return text[1:] if text[:1] == " " else text
 
+    def agreed(self, texts: list[str], made: list[Made]) -> list[bool]:
+        """Whether the library makes the same ids of each text, and the same text of those ids."""
+        theirs = self.library.encode(texts, add_eos=True, num_threads=1)
+        back = self.library.decode(theirs, num_threads=1)
+        return [array.array("i", ids).tobytes() == own and text == shown for ids, text, (own, _, shown) in zip(theirs, back, made, strict=True)]
+
 
 @lru_cache(1)
 def _tokenizer(path: str) -> PieceTokenizer:
     return PieceTokenizer(path)
 
 
-def piece_tokens(docs: DataFrame, model: str, text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def piece_tokens(docs: DataFrame, model: str, text_col: str = "text", with_ids: bool = True, strict: bool = True) -> DataFrame:
     """Columns of ``docs`` and ``token_ids`` (if ``with_ids``), ``n_tokens``, ``ids_sha256``, ``decoded_sha256``, ``agrees``.
 
-    ``agrees`` says that the library's ids and decoded text are the same; a
-    row on which it disagrees carries the library's result. Input columns of
-    these names are replaced.
+    ``agrees`` says that the library's ids and decoded text are the same as
+    the agenda's, which the row carries. With ``strict``, a row on which they
+    differ fails the job. Input columns of these names are replaced.
 
     A null text is encoded as the empty string: the end id alone. Rows are
     independent, so ties and repeated rows need no care. An empty table gives
@@ -228,24 +267,37 @@ def piece_tokens(docs: DataFrame, model: str, text_col: str = "text", with_ids:
     (raw,) = fresh(docs, "pt_text")
     names = docs.columns
     types = {"token_ids": T.ArrayType(T.IntegerType()), "n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "agrees": T.BooleanType()}
-    arrow = {"token_ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "agrees": pa.bool_()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(model)
         sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):  # few rows at a time: ids take more room than the text
-                batch = whole.slice(lo, 512)
-                out: dict[str, list] = {c: [] for c in made}
-                texts = [x.as_py() or "" for x in batch.column(raw)]
-                for text, own in zip(texts, tok.packed(texts), strict=True):
-                    ids = tok.library.encode(text, add_eos=True)
-                    agrees = array.array("i", ids).tobytes() == own
-                    decoded = tok.library.decode(ids)
-                    agrees = agrees and tok.decode(ids) == decoded
-                    row = {"token_ids": ids, "n_tokens": len(ids), "ids_sha256": sha(" ".join(map(str, ids))), "decoded_sha256": sha(decoded), "agrees": agrees}
-                    for c in made:
-                        out[c].append(row[c])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(out[c], arrow[c]) for c in made)], names=[*names, *made])
+            for batch in _parts(whole, raw):
+                texts = [x or "" for x in batch.column(raw).to_pylist()]
+                own = tok.made(texts)
+                agrees = tok.agreed(texts, own)
+                if strict and not all(agrees):
+                    raise ValueError(f"the library encodes or decodes otherwise: {texts[agrees.index(False)][:200]!r}")
+                out = {
+                    "n_tokens": pa.array([len(x[0]) // 4 for x in own], pa.int64()),
+                    "ids_sha256": pa.array([sha(x[1]) for x in own], pa.string()),
+                    "decoded_sha256": pa.array([sha(x[2]) for x in own], pa.string()),
+                    "agrees": pa.array(agrees, pa.bool_()),
+                }
+                if with_ids:
+                    at = np.concatenate([[0], np.cumsum(out["n_tokens"].to_numpy())])
+                    out["token_ids"] = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.frombuffer(b"".join(x[0] for x in own), np.int32)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(out[c] for c in made)], names=[*names, *made])
 
     return docs.withColumn(raw, F.col(text_col)).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(c, types[c]) for c in made)]))
+
+
+def _parts(batch: pa.RecordBatch, text: str, rows: int = 256, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of few rows and little text, as ids take more room than the text; a long text is a slice of its own."""
+    sizes = np.array([len(x) if (x := v.as_py()) else 0 for v in batch.column(text)], np.int64)
+    lo = 0
+    while lo < len(sizes):
+        fits = int(np.searchsorted(np.cumsum(sizes[lo : lo + rows]), chars, "right"))
+        hi = lo + max(1, fits)
+        yield batch.slice(lo, hi - lo)
+        lo = hi

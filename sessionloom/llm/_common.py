@@ -13,6 +13,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,18 +56,45 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def in_blocks(docs: DataFrame, block: str, id_col: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def n_blocks(docs: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
+    return max(1, -(-text_bytes(docs, text) // block_bytes))
+
+
+def in_blocks(docs: DataFrame, block: str, id_col: str = "doc_id", text: str = "text", blocks: int | None = None) -> DataFrame:
     """``docs`` with a column ``block``, hash partitioned by it.
 
     The block is a hash of id and text, so a hot source or null ids spread
     evenly. Plans that use the result twice share one exchange.
     """
     spark = docs.sparkSession
-    n = max(1, -(-text_bytes(docs, text) // block_bytes))
+    n = blocks or n_blocks(docs, text)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 2))
     return docs.withColumn(block, F.pmod(F.xxhash64(F.col(id_col), F.col(text)), F.lit(n)).cast("int")).repartition(parts, F.col(block))
 
 
+class Forest:
+    """Union-find over 0..n-1 that takes arrays of links."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Hook roots to smaller ones until every link lies within a tree."""
+        while len(a):
+            ra, rb = self.find(a), self.find(b)
+            on = ra != rb
+            a, b, ra, rb = a[on], b[on], ra[on], rb[on]
+            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        r = self.root[x]
+        while True:
+            up = self.root[r]
+            if (up == r).all():
+                return r
+            self.root[x] = r = up
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star (neighbours above the node) or small-star (at or below it) step on edges (a > b)."""
     if large:

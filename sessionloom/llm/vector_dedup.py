@@ -4,12 +4,19 @@ Equal vectors are one node with a count. The distinct vectors are dealt to
 shards; each shard builds a hierarchical navigable small-world graph, and
 every vector queries every shard. Searches run for many queries at once: the
 beams of a block of queries are arrays, and a step expands the best open
-entries of all of them. A shard's beam is widened until an audit on queries
-drawn by hash, held against brute force in the shard, finds at least
-``recall`` of the links; the widest beam takes in the whole shard, so the
-audit always ends. Every reported link is verified by cosine in double
-precision. Counts are summed and components settled by star contractions on
-Spark.
+entries of all of them. A query whose beam is full of links searches again,
+wider, and in the end meets the whole shard. The first beam of a shard is
+widened until an audit finds at least ``recall`` of the links that brute force
+finds in the shard: audited are queries drawn by hash (the query itself does
+not count) and planted ones, made to lie at the threshold from a node of the
+shard, so that no audit is empty. The widest beam takes in the whole shard, so
+the audit always ends; its outcome is a table of its own.
+
+Links are verified by cosine in double precision. Queries with few links in a
+shard send them as pairs; of queries that met the whole shard only the number
+of their links and a spanning forest leave the task, so a cluster of mutually
+near vectors is never written out as all its pairs. Counts are summed and
+components settled by star contractions on Spark.
 """
 
 from __future__ import annotations
@@ -21,20 +28,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import connected_components, materialize
+from ._common import Forest, connected_components, materialize
 
-#: Vectors a shard holds; the number of shards is at least ``MIN_SHARDS``.
-SHARD_ROWS = 100_000
-#: Queries that one task puts to one shard's graph.
-QUERY_ROWS = 200_000
+#: Bytes of vectors (in double precision) a shard holds; the number of shards is at least ``MIN_SHARDS``.
+SHARD_BYTES = 64 << 20
+#: Bytes of the queries that one task puts to one shard's graph.
+QUERY_BYTES = 64 << 20
 MIN_SHARDS = 6
 #: Neighbours kept at each level (twice as many at the lowest).
 DEGREE = 12
 BUILD_BEAM = 32
 FIRST_BEAM = 16
-#: Audited queries of each shard and query block.
+#: Audited queries of each shard and query block, and as many planted ones.
 AUDIT = 64
+#: How far above the threshold planted queries lie.
+PLANTED = 0.01
 BLOCK = 1024
+#: A query meets the whole shard instead of a beam beyond this part of it.
+SCAN_PART = 16
+#: Numbers in one block of a scan's cosines.
+SCAN_CELLS = 1 << 23
 #: One in so many nodes of a level is also on the next.
 _LEVEL_BASE = 16
 
@@ -168,45 +181,75 @@ def _search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, start: np.nda
     return ids, sims
 
 
-def _near(graph: Graph, queries: np.ndarray, threshold: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (query, node) of cosine near or above ``threshold``, by beams wide enough for the audit."""
-    n = len(graph.x)
-    low = threshold - 1e-4  # float32; the caller verifies in double
-    drawn = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = (queries[drawn] @ graph.x.T) >= low
-    beam = min(FIRST_BEAM, n)
-    while beam < n:
-        ids, sims = graph.search(queries[drawn], beam)
-        if ((sims >= low) & (ids >= 0)).sum() >= recall * truth.sum():
-            break
-        beam = min(2 * beam, n)
-    qs, nodes = [], []
+def _found(graph: Graph, x: np.ndarray, queries: np.ndarray, threshold: float, beam: int):
+    """Links of all queries by beams, widened while they are full of links.
+
+    Yields (queries, nodes, False) as index pairs, and (queries, cosines,
+    True) for blocks of queries that meet the whole shard ``x``. ``queries``
+    and ``x`` are unit vectors in double precision.
+    """
+    n = len(x)
+    narrow = queries.astype(np.float32)
     left = np.arange(len(queries))
     while len(left):
-        wide = beam >= n
+        if beam * SCAN_PART >= n:
+            rows = max(1, SCAN_CELLS // n)
+            for lo in range(0, len(left), rows):
+                part = left[lo : lo + rows]
+                yield part, queries[part] @ x.T, True
+            return
         full = []
         for lo in range(0, len(left), BLOCK):
             part = left[lo : lo + BLOCK]
-            if wide:
-                a, b = np.nonzero(queries[part] @ graph.x.T >= low)
-                qs.append(part[a])
-                nodes.append(b)
-                continue
-            ids, sims = graph.search(queries[part], beam)
-            ok = (sims >= low) & (ids >= 0)
-            more = ok.all(axis=1)  # a beam full of links may hide others: such queries search again, wider
-            a, b = np.nonzero(ok & ~more[:, None])
-            qs.append(part[a])
-            nodes.append(ids[a, b])
+            ids, sims = graph.search(narrow[part], beam)
+            ok = (sims >= threshold - 1e-4) & (ids >= 0)  # float32; verified below
+            more = ok.all(axis=1)  # a beam full of links may hide others
             full.append(part[more])
-        left = np.concatenate(full) if full else left[:0]
-        beam = min(4 * beam, n)
-    return (np.concatenate(qs), np.concatenate(nodes)) if qs else (np.empty(0, int), np.empty(0, int))
+            a, b = np.nonzero(ok & ~more[:, None])
+            a, b = part[a], ids[a, b]
+            for at in range(0, len(a), BLOCK):
+                q, v = a[at : at + BLOCK], b[at : at + BLOCK]
+                sure = np.einsum("nd,nd->n", queries[q], x[v]) >= threshold
+                yield q[sure], v[sure], False
+        left = np.concatenate(full)
+        beam *= 4
+
+
+def _planted(x: np.ndarray, threshold: float, most: int) -> np.ndarray:
+    """Unit vectors whose cosine with a node of ``x`` is a little above ``threshold``; nodes come in hashed order."""
+    near = x[np.unique(np.linspace(0, len(x) - 1, min(most, len(x))).astype(int))]
+    aside = np.random.default_rng(11).normal(size=near.shape)
+    aside -= np.einsum("nd,nd->n", aside, near)[:, None] * near
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    cos = min(1.0, threshold + PLANTED)
+    out = cos * near + np.sqrt(1 - cos * cos) * np.divide(aside, length, out=np.zeros_like(aside), where=length > 0)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def _audit(graph: Graph, x: np.ndarray, names: np.ndarray, queries: np.ndarray, asking: np.ndarray, threshold: float, recall: float) -> tuple[int, int, int]:
+    """(first beam that passes, links by brute force, links found with it)."""
+    drawn = np.argsort(asking)[: min(AUDIT, len(asking))]
+    asked = np.concatenate([queries[drawn], _planted(x, threshold, AUDIT)])
+    truth = asked @ x.T >= threshold
+    truth[: len(drawn)] &= asking[drawn][:, None] != names  # a vector's own node is no link
+    beam = FIRST_BEAM
+    while True:
+        found = np.zeros_like(truth)
+        for part, other, whole in _found(graph, x, asked, threshold, beam):
+            if whole:
+                found[part] |= other >= threshold
+            else:
+                found[part, other] = True
+        total, hit = int(truth.sum()), int((found & truth).sum())
+        if hit >= recall * total or beam * SCAN_PART >= len(x):
+            return beam, total, hit
+        beam *= 2
 
 
 def _unit(vectors: pa.ChunkedArray) -> np.ndarray:
     flat = np.asarray(vectors.combine_chunks().flatten() if isinstance(vectors, pa.ChunkedArray) else vectors.flatten(), np.float64)
     x = flat.reshape(len(vectors), -1) if len(vectors) else np.empty((0, 0))
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square over- or underflows
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -215,62 +258,100 @@ _GRAPH = "shard int, dim int, graph binary"
 
 def _build(shard: pa.Table) -> pa.Table:
     order = np.argsort(shard.column("node").to_numpy())  # the order in which rows arrive doesn't matter
-    x, names = _unit(shard.column("vec"))[order], shard.column("node").to_numpy()[order]
-    blob = pickle.dumps((x, names, Graph(x.astype(np.float32))), protocol=5)
+    x, names, copies = _unit(shard.column("vec"))[order], shard.column("node").to_numpy()[order], shard.column("copies").to_numpy()[order]
+    blob = pickle.dumps((x, names, copies, Graph(x.astype(np.float32))), protocol=5)
     return pa.table({"shard": pa.array([shard.column("shard")[0].as_py()], pa.int32()), "dim": pa.array([x.shape[1]], pa.int32()), "graph": pa.array([blob], pa.binary())})
 
 
+#: Rows of a probe. PAIR: query a, node b and their copies. MANY: query a has n_b linked rows in the shard. TREE: a and b belong together. AUDITED: beam a, b links, n_b of them found.
+PAIR, MANY, TREE, AUDITED = range(4)
+_FOUND = "kind int, shard int, a long, b long, n_a long, n_b long"
+
+
 def _probe(threshold: float, recall: float):
     def run(shard: pa.Table, asked: pa.Table) -> pa.Table:
-        out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), *((c, pa.int64()) for c in ("a", "b", "n_a", "n_b"))])
         if not shard.num_rows or not asked.num_rows:
-            return out.empty_table()
-        x, names, graph = pickle.loads(shard.column("graph")[0].as_py())
-        q, asking = _unit(asked.column("q_vec")), asked.column("q_node").to_numpy()
-        a, b = _near(graph, q.astype(np.float32), threshold, recall)
-        ok = np.concatenate([np.einsum("nd,nd->n", q[a[i : i + 65536]], x[b[i : i + 65536]]) >= threshold for i in range(0, len(a), 65536)] or [np.zeros(0, bool)])
-        a, b = asking[a[ok]], names[b[ok]]
-        return pa.table({"a": a[a != b], "b": b[a != b]}, out)
+            return schema.empty_table()
+        x, names, copies, graph = pickle.loads(shard.column("graph")[0].as_py())
+        queries, asking, own = _unit(asked.column("q_vec")), asked.column("q_node").to_numpy(), asked.column("q_copies").to_numpy()
+        beam, total, hit = _audit(graph, x, names, queries, asking, threshold, recall)
+        zero = np.zeros(1, np.int64)
+        rows = [(AUDITED, zero + beam, zero + total, zero, zero + hit)]
+        at = {v: i for i, v in enumerate(names.tolist())}
+        self_at = np.array([at.get(v, -1) for v in asking.tolist()], np.int64)
+        # trees over nodes and, behind them, queries; a query that is a node of the shard is that node
+        place = np.where(self_at >= 0, self_at, len(names) + np.arange(len(asking)))
+        forest, labels, many = Forest(len(names) + len(asking)), np.concatenate([names, asking]), False
+        for part, other, whole in _found(graph, x, queries, threshold, beam):
+            if not whole:
+                a, b = part[asking[part] != names[other]], other[asking[part] != names[other]]
+                rows.append((PAIR, asking[a], names[b], own[a], copies[b]))
+                continue
+            near = other >= threshold
+            inside = self_at[part] >= 0
+            near[np.flatnonzero(inside), self_at[part][inside]] = False
+            n = near @ copies
+            linked = n > 0
+            rows.append((MANY, asking[part][linked], np.zeros(int(linked.sum()), np.int64), own[part][linked], n[linked]))
+            a, b = np.nonzero(near)
+            forest.link(place[part[a]], b)
+            many = True
+        if many:
+            root = forest.find(np.arange(len(labels)))
+            leaf = np.flatnonzero(root != np.arange(len(labels)))
+            rows.append((TREE, labels[leaf], labels[root[leaf]], np.zeros(len(leaf), np.int64), np.zeros(len(leaf), np.int64)))
+        kinds = np.repeat([r[0] for r in rows], [len(r[1]) for r in rows]).astype(np.int32)
+        number = shard.column("shard")[0].as_py()
+        return pa.table([pa.array(kinds), pa.array(np.full(len(kinds), number, np.int32)), *(pa.array(np.concatenate([r[i] for r in rows]).astype(np.int64)) for i in range(1, 5))], schema=schema)
 
     return run
 
 
-def vector_groups(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.99, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Per row: ``vec_id``, ``n_links``, ``component_id``, ``kept``.
-
-    ``n_links`` counts the other rows linked directly, copies included;
-    ``component_id`` is the smallest id reachable; ``kept`` says that it is
-    the row's own. Vectors that are null, zero, empty or have null or
-    non-finite components link with nothing. Vectors of different lengths
-    never link. Rows that repeat an id are rows of their own which link if
-    their vectors do. Null ids are below all others and never kept. Columns
-    other than the two are not used. An empty table gives an empty result.
-    """
+def audited_groups(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.99, id_col: str = "vec_id", vec_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``vector_groups``, and the audits: (shard, beam, links, found) of each shard and block of queries."""
     plain = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)  # null with a null component
-    sound = F.coalesce((norm > 0) & (norm < float("inf")), F.lit(False))  # NaN is above infinity here
+    finite = F.forall("vec", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))  # NaN is above infinity here
+    sound = F.coalesce(finite & F.exists("vec", lambda x: x != 0), F.lit(False))
     plain = plain.withColumn("vec", F.when(sound, F.col("vec")))
     # copies: one node, named by a hash of the vector; the vector itself is the grouping key
     classes = materialize(plain.filter("vec IS NOT NULL").groupBy("vec").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")).withColumn("node", F.xxhash64("vec")))
-    n = classes.count()
-    shards = max(MIN_SHARDS, -(-n // SHARD_ROWS))
-    dealt = classes.select("node", "vec", F.size("vec").alias("dim"), F.pmod(F.hash("node"), F.lit(shards)).alias("shard"))
+    size = 8 * (classes.agg(F.sum(F.size("vec").cast("long"))).first()[0] or 0)
+    shards, blocks = max(MIN_SHARDS, -(-size // SHARD_BYTES)), max(1, -(-size // QUERY_BYTES))
+    shard_of = lambda c: F.pmod(F.hash(c), F.lit(shards))
+    dealt = classes.select("node", "vec", "copies", F.size("vec").alias("dim"), shard_of("node").alias("shard"))
     graphs = materialize(dealt.groupBy("shard", "dim").applyInArrow(_build, _GRAPH))
     # every query goes to every shard; a task takes one block of queries and one shard's graph
-    blocks = max(1, -(-n // QUERY_ROWS))
     graphs = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("q_shard")
-    asked = dealt.select(F.col("node").alias("q_node"), F.col("vec").alias("q_vec"), F.col("dim").alias("q_dim"), F.pmod(F.hash("node", F.lit(1)), F.lit(blocks)).alias("q_block"), each)
-    found = graphs.groupBy("shard", "dim", "block").cogroup(asked.groupBy("q_shard", "q_dim", "q_block")).applyInArrow(_probe(threshold, recall), "a long, b long")
-    links = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    sizes = classes.select(F.col("node").alias("s_node"), F.col("copies").alias("s_copies"))
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(sizes, F.col("b") == F.col("s_node")).groupBy(F.col("a").alias("l_node")).agg(F.sum("s_copies").alias("l_links"))
-    parts_of = connected_components(links)
+    asked = dealt.select(F.col("node").alias("q_node"), F.col("vec").alias("q_vec"), F.col("copies").alias("q_copies"), F.col("dim").alias("q_dim"), F.pmod(F.hash("node", F.lit(1)), F.lit(blocks)).alias("q_block"), each)
+    found = materialize(graphs.groupBy("shard", "dim", "block").cogroup(asked.groupBy("q_shard", "q_dim", "q_block")).applyInArrow(_probe(threshold, recall), _FOUND))
+    pairs = found.filter(F.col("kind") == PAIR)
+    # a pair counts for both its ends, once, unless the end has counted the other's whole shard
+    ends = pairs.select("a", "b", "shard", F.col("n_b").alias("n")).unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), shard_of("a").alias("shard"), F.col("n_a").alias("n"))).distinct()
+    many = found.filter(F.col("kind") == MANY).select("a", "shard", F.col("n_b").alias("n"))
+    counted = ends.join(many.select("a", "shard"), ["a", "shard"], "left_anti").select("a", "n").unionAll(many.select("a", "n"))
+    linked = counted.groupBy(F.col("a").alias("l_node")).agg(F.sum("n").alias("l_links"))
+    parts_of = connected_components(found.filter(F.col("kind").isin(PAIR, TREE)).select("a", "b"))
     of = classes.join(parts_of.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node"), "left").withColumn("root", F.coalesce("component", "node"))
     named = of.groupBy(F.col("root").alias("n_root")).agg(F.min("least").alias("component_id"))
     info = of.join(named, F.col("root") == F.col("n_root")).join(linked, F.col("node") == F.col("l_node"), "left").select("node", "component_id", (F.col("copies") - 1 + F.coalesce("l_links", F.lit(0))).alias("n_links"))
     rows = plain.select("vec_id", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")).alias("r_node"))
     out = rows.join(info, F.col("r_node") == F.col("node"), "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return out, found.filter(F.col("kind") == AUDITED).select("shard", F.col("a").alias("beam"), F.col("b").alias("links"), F.col("n_b").alias("found"))
+
+
+def vector_groups(vectors: DataFrame, threshold: float = 0.9, recall: float = 0.99, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Per row: ``vec_id``, ``n_links``, ``component_id``, ``kept``.
+
+    ``n_links`` counts the other rows linked directly, copies included;
+    ``component_id`` is the smallest id reachable; ``kept`` says that it is
+    the row's own. Vectors that are null, zero, empty or have null or
+    non-finite components link with nothing. Vectors of different lengths
+    never link. Rows that repeat an id are rows of their own which link if
+    their vectors do. Null ids are below all others and never kept. Columns
+    other than the two are not used. An empty table gives an empty result.
+    """
+    return audited_groups(vectors, threshold, recall, id_col, vec_col)[0]

@@ -6,6 +6,8 @@ value first; ``numbered`` turns them into running numbers per group.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,9 +77,27 @@ def redact(df: DataFrame, text: str, out: str) -> DataFrame:
     return df
 
 
+#: What a text must hold, in lower case, for a pattern to match: any of these.
+NEEDED = {
+    "private_key": ("-----begin ",),
+    "credential_url": ("://",),
+    "api_key": ("sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox"),
+    "ssh_remote": ("git@",),
+    "assignment": ("key", "token", "secret", "password", "passwd", "jwt"),
+    "space_value": ("key", "token", "password", "passwd", "jwt"),
+    "posix_path": ("/users/", "/home/", "/tmp/", "/private/", "/var/", "/opt/", "/volumes/"),
+    "secret_path": ("~/", "./"),
+    "windows_path": (":\\",),
+}
+
+
 def hits(text: Column, name: str) -> Column:
-    """Matches of a pass's pattern on the text as it stands."""
-    return F.when(text.rlike(PATTERN[name]), F.size(F.regexp_extract_all(text, F.lit(PATTERN[name]), F.lit(0)))).otherwise(0)
+    """Matches of a pass's pattern on the text as it stands; the pattern is tried only where its key words are."""
+    found = F.regexp_count(text, F.lit(PATTERN[name]))
+    if name not in NEEDED:
+        return found
+    low = F.lower(text)
+    return F.when(reduce(lambda a, b: a | b, (low.contains(x) for x in NEEDED[name])), found).otherwise(0)
 
 
 def placeholders(df: DataFrame, group: str, order: list[str], text: str) -> DataFrame:

@@ -62,9 +62,14 @@ def multiset_minus(left: DataFrame, right: DataFrame, keys: list[str], order: li
 
 
 def first_writer(rows: DataFrame, key: str, order: list[str], out: str = "outcome") -> DataFrame:
-    """``copied`` for the first row of a key, ``deduped`` for the others."""
-    n = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return rows.withColumn(out, F.when(n == 1, "copied").otherwise("deduped"))
+    """``copied`` for the first row of a key, ``deduped`` for the others; ``order`` tells a key's rows apart.
+
+    The first is an aggregate with partial sums, and rows are then joined with
+    one row a key, so a key that many rows share is no group.
+    """
+    first = rows.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct(*order)).alias("_first"))
+    joined = rows.join(first, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumn(out, F.when(F.struct(*order).eqNullSafe(F.col("_first")), "copied").otherwise("deduped")).select(*rows.columns, out)
 
 
 def collision_suffix(rows: DataFrame, key: str, order: list[str], out: str) -> DataFrame:

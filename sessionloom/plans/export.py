@@ -10,6 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.timeparse import lenient, order_key
+from ..operators.matching import multiset_minus
+
 # Fixed values.
 FILE_TOOLS = ("read", "write", "edit", "multiedit", "notebookedit")
 ALLOWED_KEYS = ("command", "description", "file_path", "path", "pattern", "query", "url", "limit", "offset")
@@ -29,6 +32,34 @@ def activity_records(changes: DataFrame, commands: DataFrame) -> DataFrame:
     return calls.unionByName(code).unionByName(seen)
 
 
+def full_trajectory(turns: DataFrame, calls: DataFrame, commands: DataFrame) -> DataFrame:
+    """(file, position, class, source, content) of whole sessions, from normalized rows.
+
+    Turns are observations by user or agent, shell calls code actions, other
+    calls actions of their name with the arguments that may leave; a result
+    (text, time or outcome) is an observation by the environment. Commands
+    beyond those of shell calls, time and text equal, follow with their output.
+    Calls and commands without a text are left out. Order: time, what has none
+    last, then turns, calls, commands as they came.
+    """
+    shell = F.lower("name") == "bash"
+    code = F.nullif(F.trim(F.get_json_object("input", "$.command")), F.lit(""))
+    at = lambda c: lenient(F.col(c))
+    row = lambda df, part, place, step, cls, source, content, time: df.select("file", order_key(F.col(time)).alias("t"), F.lit(part).alias("part"), F.col(place).cast("long").alias("place"), F.lit(step).alias("step"), cls.alias("class"), source.alias("source"), content.alias("content"), at(time).isNull().alias("untimed"))
+    said = F.lit("TextObservation")
+    talk = row(turns, 1, "line_no", 0, said, F.when(F.col("role") == "user", "user").otherwise("agent"), F.col("text"), "at")
+    acts = row(calls.filter(~shell | code.isNotNull()), 2, "position", 0, F.when(shell, "CodeAction").otherwise("ApiAction"), F.when(shell, "shell").otherwise(F.col("name")), F.when(shell, code).otherwise(kwargs(F.col("name"), F.col("input"))), "at")
+    seen = calls.filter(F.coalesce("result", F.lit("")).isin("") == F.lit(False)).unionByName(calls.filter((F.coalesce("result", F.lit("")) == "") & (F.col("success").isNotNull() | F.col("result_at").isNotNull())))
+    answers = row(seen, 2, "position", 1, said, F.lit("environment"), F.coalesce("result", F.lit("")), "result_at")
+    used = calls.filter(shell).select("file", "at", code.alias("command"))
+    rest = multiset_minus(commands, used, ["file", "at", "command"], ["position"]).filter("command <> ''")
+    more = row(rest, 3, "position", 0, F.lit("CodeAction"), F.lit("shell"), F.col("command"), "at")
+    out = row(rest.filter("output <> '' OR success IS NOT NULL"), 3, "position", 1, said, F.lit("environment"), F.coalesce("output", F.lit("")), "at")
+    whole = talk.unionByName(acts).unionByName(answers).unionByName(more).unionByName(out)
+    place = F.row_number().over(W.partitionBy("file").orderBy("untimed", "t", "part", "place", "step"))
+    return whole.select("file", place.alias("position"), "class", "source", "content")
+
+
 def json_lines(ordered: DataFrame) -> DataFrame:
     """One JSON line per session."""
     record = F.struct("position", F.struct(F.col("class").alias("class_"), "content").alias("r"))

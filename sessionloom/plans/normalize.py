@@ -15,9 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.commands import is_test
 from ..functions.text import trim_space
 from ..functions.timeparse import lenient, seconds_between
 from ..operators.matching import pair_by_id, pair_first_in_first_out
+from ..sources.tables import written
 
 MAX_LINE = 10 << 20
 KNOWN = ("session_start", "session_end", "user", "assistant", "tool_use", "tool_result")
@@ -75,8 +77,10 @@ def sessions(records: DataFrame) -> DataFrame:
     kind, at = text_at(v, "$.type"), text_at(v, "$.timestamp")
     at = F.when(lenient(at).isNotNull(), at)
     df = records.withColumns({"type": kind, "at": at, "sid": text_at(v, "$.session_id", "$.sessionId"), "model": text_at(v, "$.message.model", "$.model"), "workspace_id": text_at(v, "$.workspace_id"), "repo_id": text_at(v, "$.repo_id"), "cwd": text_at(v, "$.cwd", "$.workspace.cwd")})
-    git = {k: text_at(v, f"$.git.{k}", *flat) for k, flat in {"remote": ("$.git_remote",), "branch": ("$.gitBranch", "$.git_branch"), "head_sha": ("$.git_head_sha",)}.items()}
-    df = df.withColumns({f"git_{k}": c for k, c in git.items()})
+    kind_of_git = F.schema_of_variant(F.try_variant_get(v, "$.git", "variant"))
+    sound = kind_of_git.isNull() | (kind_of_git == "VOID") | kind_of_git.startswith("OBJECT")  # a git of another type hides the line's flat fields
+    git = {k: text_at(v, f"$.git.{k}", *flat) for k, flat in {"remote": ("$.git_remote",), "branch": ("$.git_branch",), "head_sha": ("$.git_head_sha", "$.head_sha")}.items()}
+    df = df.withColumns({f"git_{k}": F.when(sound, c) for k, c in git.items()})
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no"))).alias(c)
     of = lambda t, pick: pick("at", F.when((F.col("type") == t) & F.col("at").isNotNull(), F.col("line_no")))
@@ -121,16 +125,20 @@ def tool_calls(records: DataFrame) -> DataFrame:
 
     A result takes the open call of its id, else the oldest open call of its
     tool's name among results without a usable id, else it is a call of its
-    own named ``ToolResult``.
+    own. ``position`` counts calls, results that are calls of their own
+    included; calls without an id are named by it.
     """
     b = F.col("b")
     w = W.partitionBy("file").orderBy("line_no", "block_no")
-    parts = blocks(records).filter(F.col("kind").isin("tool_use", "tool_result"))
-    parts = parts.withColumns({"n": F.row_number().over(w), "given_id": text_at(b, "$.tool_call_id", "$.tool_use_id", "$.id"), "name": text_at(b, "$.name", "$.tool_name")})
-    uses = parts.filter("kind = 'tool_use'").select("file", "n", F.coalesce("given_id", F.format_string("tool_%04d", "n")).alias("call_id"), F.coalesce("name", F.lit("unknown_tool")).alias("name"), F.to_json(F.coalesce(F.try_variant_get(b, "$.input", "variant"), F.parse_json(F.lit("{}")))).alias("input"), "at")
+    parts = blocks(records).filter((F.col("kind") == "tool_result") | (F.col("kind") == "tool_use") & (F.col("role") == "assistant"))
+    parts = parts.withColumns({"n": F.row_number().over(w), "call_id": text_at(b, "$.tool_call_id", "$.tool_use_id", "$.id"), "name": text_at(b, "$.name")})
+    call_input = F.to_json(F.coalesce(F.try_variant_get(b, "$.input", "variant"), F.parse_json(F.lit("{}"))))
     error = bool_at(b, "$.is_error")
-    results = parts.filter("kind = 'tool_result'").select("file", "n", F.col("given_id").alias("call_id"), "name", F.coalesce(content_text(b, "$.content"), content_text(b, "$.output")).alias("result"), F.coalesce(bool_at(b, "$.success"), ~error).alias("success"), "at")
-    by_id = pair_by_id(uses, results.filter("call_id IS NOT NULL"), ["file", "call_id"], ["n"])
+    text = F.coalesce(F.nullif(content_text(b, "$.content"), F.lit("")), content_text(b, "$.output"))
+    parts = written(parts.select("file", "n", "kind", "call_id", "name", call_input.alias("input"), text.alias("result"), F.coalesce(bool_at(b, "$.success"), ~error).alias("success"), "at"))  # read many times below
+    uses = parts.filter("kind = 'tool_use'").select("file", "n", "call_id", F.coalesce("name", F.lit("unknown_tool")).alias("name"), "input", "at")
+    results = parts.filter("kind = 'tool_result'").select("file", "n", "call_id", "name", "result", "success", "at")
+    by_id = pair_by_id(uses.filter("call_id IS NOT NULL"), results.filter("call_id IS NOT NULL"), ["file", "call_id"], ["n"])
     hit = by_id.filter("use_n IS NOT NULL").select("file", F.col("use_n").alias("use_n"), "n", "result", "success", "at")
     left_uses = uses.join(hit.select("file", F.col("use_n").alias("n")), ["file", "n"], "left_anti")
     left_results = by_id.filter("use_n IS NULL").select(*results.columns).unionByName(results.filter("call_id IS NULL"))
@@ -138,11 +146,38 @@ def tool_calls(records: DataFrame) -> DataFrame:
     paired = pair_first_in_first_out(queue, ["file", "name"], ["n"], "is_use").filter("pair IS NOT NULL")
     both = paired.filter("is_use").select("file", "name", "pair", F.col("n").alias("use_n")).join(paired.filter("NOT is_use").select("file", "name", "pair", "n"), ["file", "name", "pair"]).select("file", "use_n", "n")
     hit = hit.unionByName(left_results.join(both, ["file", "n"]).select("file", "use_n", "n", "result", "success", "at"))
-    answers = hit.select(F.col("file").alias("a_file"), "use_n", "result", "success", F.col("at").alias("result_at"), F.col("n").alias("result_n"))
-    calls = uses.join(answers, (F.col("file") == F.col("a_file")) & (F.col("n") == F.col("use_n")), "left").select("file", F.col("n").alias("position"), "call_id", "name", "input", "at", "result", "success", "result_at", F.lit(True).alias("matched"))
+    answers = hit.select(F.col("file").alias("a_file"), "use_n", "result", "success", F.col("at").alias("result_at"))
+    calls = uses.join(answers, (F.col("file") == F.col("a_file")) & (F.col("n") == F.col("use_n")), "left").select("file", "n", "call_id", "name", "input", "at", "result", "success", "result_at", F.lit(True).alias("matched"))
     alone = left_results.join(both.select("file", "n"), ["file", "n"], "left_anti")
-    made = alone.select("file", F.col("n").alias("position"), F.coalesce("call_id", F.format_string("tool_result_%04d", "n")).alias("call_id"), F.lit("ToolResult").alias("name"), F.lit("{}").alias("input"), "at", "result", "success", F.col("at").alias("result_at"), F.lit(False).alias("matched"))
-    return calls.unionByName(made)
+    made = alone.select("file", "n", "call_id", F.coalesce("name", F.lit("ToolResult")).alias("name"), F.lit("{}").alias("input"), F.lit(None).cast("string").alias("at"), "result", "success", F.col("at").alias("result_at"), F.lit(False).alias("matched"))
+    placed = calls.unionByName(made).withColumn("position", F.row_number().over(W.partitionBy("file").orderBy("n")))
+    given = F.when(F.col("matched"), F.format_string("tool_%04d", "position")).otherwise(F.format_string("tool_result_%04d", "position"))
+    return placed.select("file", "position", F.coalesce("call_id", given).alias("call_id"), "name", "input", "at", "result", "success", "result_at", "matched")
+
+
+def documents(records: DataFrame, hook_ids: DataFrame | None = None) -> DataFrame:
+    """Sound sessions as one row each: ids, times, context and the counts of turns, calls, changes, commands and tests.
+
+    ``hook_ids`` (file, hook_session_id, event_type, event_at) overrides a
+    transcript's own id, which is then kept as ``source_transcript_session_id``;
+    the time of a ``session_end`` event without one is the transcript's end.
+    """
+    base = sessions(records).filter("problem IS NULL")
+    if hook_ids is not None:
+        base = base.join(hook_ids.withColumnRenamed("file", "h_file"), F.col("file") == F.col("h_file"), "left").drop("h_file")
+    else:
+        base = base.withColumns({c: F.lit(None).cast("string") for c in ("hook_session_id", "event_type", "event_at")})
+    session_id = F.coalesce("hook_session_id", "transcript_session_id")
+    base = base.withColumns({
+        "session_id": session_id,
+        "source_transcript_session_id": F.when(F.col("transcript_session_id") != session_id, F.col("transcript_session_id")),
+        "event_at": F.coalesce("event_at", F.when(F.col("event_type") == "session_end", F.col("ended_at"))),
+    }).filter("session_id IS NOT NULL")
+    calls = tool_calls(records)
+    counts = {"turns": turns(records), "tool_calls": calls, "file_changes": file_changes(calls), "commands": commands(calls), "tests": commands(calls).filter(is_test(F.col("command")))}
+    for name, rows in counts.items():
+        base = base.join(rows.groupBy(F.col("file").alias("n_file")).agg(F.count("*").alias(name)), F.col("file") == F.col("n_file"), "left").drop("n_file").fillna(0, [name])
+    return base.drop("n_ids", "n_records", "problem")
 
 
 def commands(calls: DataFrame) -> DataFrame:

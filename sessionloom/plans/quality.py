@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,17 +14,17 @@ LATTICE = {"raw": 0, "redacted": 1, "review": 2, "corpus": 3, "published": 4}
 SHORT_BLOCKS = 16
 
 
-def check_document(df: DataFrame, json: str, required: dict[str, str], allowed: list[str] | None = None) -> DataFrame:
-    """``df`` with ``valid_json``, ``missing_key``, ``wrong_type`` and ``extra_key`` of an object in column ``json``.
+def check_document(df: DataFrame, column: str, required: dict[str, str], allowed: list[str] | None = None) -> DataFrame:
+    """``df`` with ``valid_json``, ``missing_key``, ``wrong_type`` and ``extra_key`` of an object in ``column``.
 
     ``required`` maps keys to integer, number, string, boolean, array or
     object; an integer may be written as 1.0.
     """
     patterns = {"integer": r"^-?[0-9]+(\.0+)?$", "number": r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$", "boolean": "^(true|false)$", "array": r"^\[", "object": r"^\{"}
-    doc = F.try_parse_json(json)
+    doc = F.try_parse_json(column)
     shape = F.schema_of_variant(doc)
     valid = doc.isNotNull() & F.coalesce(shape.startswith("OBJECT"), F.lit(False))
-    get = lambda k: F.get_json_object(json, f"$.{k}")
+    get = lambda k: F.get_json_object(column, f"$.{k}")
     missing = reduce(lambda a, b: a | b, [get(k).isNull() for k in required])
 
     def wrong(k: str, t: str) -> Column:
@@ -31,11 +32,86 @@ def check_document(df: DataFrame, json: str, required: dict[str, str], allowed:
         return F.coalesce(kind != "STRING", F.lit(False)) if t == "string" else F.coalesce(~get(k).rlike(patterns[t]) | (kind == "STRING"), F.lit(False))
 
     wrongs = reduce(lambda a, b: a | b, [wrong(k, t) for k, t in required.items()])
-    extra = F.size(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, allowed if allowed is not None else required)))) > 0
+    extra = F.size(F.array_except(F.json_object_keys(column), F.array(*map(F.lit, allowed if allowed is not None else required)))) > 0
     no = F.lit(False)
     return df.withColumns({"valid_json": F.coalesce(valid, no), "missing_key": F.coalesce(valid & missing, no), "wrong_type": F.coalesce(valid & wrongs, no), "extra_key": F.coalesce(valid & extra, no)})
 
 
+_JSON_TYPES = {"object": "OBJECT", "array": "ARRAY", "string": "STRING", "boolean": "BOOLEAN", "null": "VOID"}
+
+
+def schema_violations(v: Column, schema: dict, at: str = "$") -> Column:
+    """Array of what a variant breaks of a JSON schema: type, const, enum, required, properties, additionalProperties and items.
+
+    Each is ``path: rule``; ``[]`` stands for any item of an array. Numbers
+    are compared by value and 1.0 is an integer. What a value of another type
+    holds is not looked at.
+    """
+    kind = F.schema_of_variant(v)
+    number = F.try_variant_get(v, "$", "double")
+    numeric = F.coalesce(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
+    whole = numeric & (number == F.floor(number))
+    none = F.array().cast("array<string>")
+    broken = lambda ok, rule: F.when(~F.coalesce(ok, F.lit(False)), F.array(F.lit(f"{at}: {rule}"))).otherwise(none)
+
+    def is_type(name: str) -> Column:
+        return whole if name == "integer" else numeric if name == "number" else F.coalesce(kind.startswith(_JSON_TYPES[name]), F.lit(False))
+
+    def equals(value: object) -> Column:
+        if isinstance(value, (int, float)) and not isinstance(value, bool):
+            return numeric & (number == F.lit(float(value)))
+        return F.coalesce(F.to_json(v) == F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), F.lit(False))
+
+    parts = []
+    if "type" in schema:
+        names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        parts.append(broken(reduce(lambda a, b: a | b, map(is_type, names)), "type"))
+    if "const" in schema:
+        parts.append(broken(equals(schema["const"]), "const"))
+    if "enum" in schema:
+        parts.append(broken(reduce(lambda a, b: a | b, map(equals, schema["enum"])), "enum"))
+    an_object, an_array = is_type("object"), is_type("array")
+    get = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
+    for k in schema.get("required", ()):
+        parts.append(F.when(an_object & get(k).isNull(), F.array(F.lit(f"{at}.{k}: required"))).otherwise(none))
+    for k, inner in schema.get("properties", {}).items():
+        parts.append(F.when(an_object & get(k).isNotNull(), schema_violations(get(k), inner, f"{at}.{k}")).otherwise(none))
+    if schema.get("additionalProperties") is False:
+        extra = F.array_except(F.json_object_keys(F.to_json(v)), F.array(*map(F.lit, schema.get("properties", {"": 0}))))
+        parts.append(F.when(an_object, F.transform(extra, lambda k: F.concat(F.lit(f"{at}."), k, F.lit(": additional")))).otherwise(none))
+    if "items" in schema:
+        items = F.try_variant_get(v, "$", "array<variant>")
+        parts.append(F.when(an_array, F.flatten(F.transform(items, lambda x: schema_violations(x, schema["items"], f"{at}[]")))).otherwise(none))
+    return F.concat(*parts) if parts else none
+
+
+def session_problem(version: str, source: str) -> Column:
+    """The first thing wrong with a session row (schema_version, session_id, source, turns, tool_calls, file_changes, commands), null if none."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    bad = lambda array, on: F.array_position(F.transform(array, lambda x: F.coalesce(on(x), F.lit(True))), True) - 1
+    out = F.when(F.trim(F.coalesce("schema_version", F.lit(""))) != version, "unsupported schema_version").when(blank(F.col("session_id")), "missing session_id").when(F.trim(F.coalesce("source", F.lit(""))) != source, "unsupported source")
+    for c in ("turns", "tool_calls", "file_changes", "commands"):
+        out = out.when(F.col(c).isNull(), f"missing {c}")
+    role = bad("turns", lambda x: ~x["role"].isin("user", "assistant"))
+    out = out.when(role >= 0, F.concat(F.lit("unsupported turns["), role.cast("string"), F.lit("].role")))
+    gaps = F.transform("tool_calls", lambda x: F.when(blank(x["tool_call_id"]), "tool_call_id").when(blank(x["name"]), "name").when(x["input"].isNull(), "input"))
+    first = F.array_position(F.transform(gaps, lambda x: x.isNotNull()), True)
+    return out.when(first > 0, F.concat(F.lit("missing tool_calls["), (first - 1).cast("string"), F.lit("]."), F.get(gaps, (first - 1).cast("int"))))
+
+
+def card_problem(version: str) -> Column:
+    """The first thing wrong with a review card row, null if none."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    out = F.when(F.trim(F.coalesce("schema_version", F.lit(""))) != version, "unsupported schema_version").when(blank("session_id"), "missing session_id").when(~F.coalesce(F.col("verdict").isin("clean", "needs_attention"), F.lit(False)), "unsupported verdict")
+    return out.when(blank("main_finding"), "missing main_finding").when(F.col("evidence").isNull(), "missing evidence").when(blank("suggested_next_habit"), "missing suggested_next_habit").when(F.col("warnings").isNull(), "missing warnings")
+
+
+def finding_problem(types: list[str]) -> Column:
+    """The first thing wrong with a finding row (finding_id, type, title, summary), null if none."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return F.when(blank("finding_id"), "missing finding_id").when(~F.coalesce(F.col("type").isin(*types), F.lit(False)), "unsupported type").when(blank("title"), "missing title").when(blank("summary"), "missing summary")
+
+
 def leaks(texts: DataFrame, markers: DataFrame, text_id: str, text: str, marker_id: str, marker: str, width: int = 24) -> DataFrame:
     """(text_id, marker_id) of texts that contain a whole marker.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,6 +14,7 @@ from .functions.diff import line_diff
 from .operators import matching
 from .plans import activity as A
 from .plans import export, findings, quality, report, vault
+from .sources.tables import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,10 +32,14 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import registry_sessions  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import registry_sessions  # noqa: F401
+
     return dict(ORACLES)
 
 
@@ -48,7 +52,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = A.activity(spark, sf_dir)
+    rows = written(A.activity(spark, sf_dir))
     return A.changes(rows), A.commands(rows)
 
 
@@ -56,6 +60,13 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.session_facts(*_both(spark, sf_dir))
 
 
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Changes, commands, facts and finding rows; the events are read once."""
+    changes, commands = _both(spark, sf_dir)
+    facts = written(findings.session_facts(changes, commands))
+    return changes, commands, facts, written(findings.finding_rows(changes, commands, facts))
+
+
 # -- SQL shared by the oracles ------------------------------------------------
 
 _ACT = """
@@ -109,7 +120,7 @@ WITH act AS (
     UNION ALL SELECT session_id, 4, 0, 'missing_final_verification', 'No successful verification command ran after the final file change at ' || edit_at || '.', 'successful verification command after ' || edit_at FROM facts WHERE edit_ts IS NOT NULL AND NOT coalesce(success_ts > edit_ts, false)
     UNION ALL SELECT session_id, 5, 0, 'final_edit_after_last_test', edit_path || ' changed via edit at ' || edit_at || ' after the last test command at ' || test_at || '.', NULL FROM facts WHERE edit_ts > test_ts
     UNION ALL SELECT session_id, 6, 0, 'broad_file_change', files_changed || ' files changed in this session and no successful verification command covered the result.', 'successful verification command covering this broad change' FROM facts WHERE files_changed >= 8 AND (success_ts IS NULL OR only_failed OR final_failed)
-    UNION ALL SELECT session_id, 7, first_idx, 'repeated_failing_command', 'Command "' || command || '" failed ' || failures || ' times in this session.', NULL FROM repeated
+    UNION ALL SELECT session_id, 7, first_idx, 'repeated_failing_command', '"' || command || '" failed ' || failures || ' times in this session.', NULL FROM repeated
     UNION ALL SELECT c.session_id, 8, idx, 'network_call_without_need', 'Network or install command "' || command || '" ran at ' || "at" || ' with no package or dependency file change in this session.', NULL FROM commands c JOIN facts f ON f.session_id = c.session_id WHERE command LIKE 'curl%' AND manifests = 0
     UNION ALL SELECT session_id, 9, 0, 'source_changed_without_test_change', source_changes || ' source file change(s) recorded in this session, but no test files changed.', 'test file change in the same session' FROM facts WHERE source_changes > 0 AND test_files = 0)
 ), cards AS (
@@ -194,7 +205,8 @@ _CONFIDENCE = "CASE WHEN type IN ('broad_file_change', 'network_call_without_nee
 
 @_query(_ACT + f"SELECT session_id, seq, printf('%s.%04d', type, seq) AS finding_id, type, {_SEVERITY} AS severity, {_CONFIDENCE} AS confidence, summary, missing FROM found")
 def findings_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.findings(*_both(spark, sf_dir))
+    changes, commands = _both(spark, sf_dir)
+    return findings.findings(changes, commands, written(findings.session_facts(changes, commands)))
 
 
 @_query(_ACT + f"SELECT type, {_SEVERITY} AS severity, count(*) AS n_findings, count(DISTINCT session_id) AS n_sessions FROM found GROUP BY ALL")
@@ -215,7 +227,7 @@ FROM cards c JOIN facts f ON f.session_id = c.session_id LEFT JOIN (
     QUALIFY row_number() OVER (PARTITION BY session_id, line ORDER BY seq, part) = 1) GROUP BY session_id) l ON l.session_id = c.session_id""")
 def review_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes, commands = _both(spark, sf_dir)
-    facts = findings.session_facts(changes, commands)
+    facts = written(findings.session_facts(changes, commands))
     return findings.review_cards(facts, findings.findings(changes, commands, facts))
 
 
@@ -384,7 +396,7 @@ def backup_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- redaction and text -----------------------------------------------------------
 
-_GO_SPACE = r"[\t\n\f\r ]"
+# The passes' patterns as DuckDB writes them.
 _HIT_SQL = {
     "private_key": r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----",
     "credential_url": r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"''<>@:/]+:[^\s"''<>@]+@[^\s"''<>]+""",
@@ -479,7 +491,7 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Executed checks: benchmark passages in documents, broken event contracts, repeated contents."""
     bad = json_contract_check(spark, sf_dir).filter("NOT valid_json OR missing_key OR wrong_type")
     n = F.count("*").alias("failures")
-    repeats = (F.count("*") - F.count_distinct("text")).alias("failures")
+    repeats = (F.count("*") - F.count_distinct(F.sha2("text", 256))).alias("failures")
     checks = [("D01", True, leak_scan(spark, sf_dir).agg(n)), ("D02", True, bad.agg(n)), ("D03", False, _table(spark, sf_dir, "documents").agg(repeats))]
     rows = [df.select(F.lit(d).alias("dimension"), F.lit(b).alias("blocking"), "failures") for d, b, df in checks]
     return quality.scorecard(rows[0].unionByName(rows[1]).unionByName(rows[2]))
@@ -506,8 +518,7 @@ def spool_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as hook payloads in a spool, drained by a stream and read back."""
     from .streaming.drain import drain_spool
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-spool-")
-    base = f"{shared.rstrip('/')}/spool-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
     path = F.concat(F.lit("talk/"), F.min("turn").cast("string"), F.lit(".jsonl"))
     payload = F.to_json(F.struct(F.col("conv_id").cast("string").alias("session_id"), F.col("path").alias("transcript_path"), F.lit("SessionEnd").alias("hook_event_name")))
     _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(path.alias("path")).select(payload.alias("value")).write.text(f"{base}/in")

@@ -3,12 +3,15 @@
 Only the histogram of piece lengths (at most ``capacity`` rows) reaches the
 driver. The configuration program (fewest sequences whose multisets of
 lengths cover the histogram) is solved by multiplicative weights: each length
-has a price that falls as its demand is covered, a knapsack dynamic program
-finds the dearest configurations at these prices, and a step of each is added.
-The fractional solution is rounded, what it leaves is solved again, and the
-last few pieces are packed by best fit. The plan is a table of slots,
-bounded by the number of configurations. Pieces find their slot by their rank
-within their length, counted in salted groups so that no length is one task.
+has a price, a knapsack dynamic program finds the dearest configurations at
+these prices, and the weights of the lengths these cover fall. The best prices
+seen, single or averaged, prove a lower bound on the number of sequences. The
+configurations that are worth a sequence at these prices, or nearly so, are
+then added while weights fall with what is covered. The fractional solution is
+rounded, what it leaves is solved again, and the last few pieces are packed by
+best fit. The plan is a table of slots, bounded by the number of
+configurations. Pieces find their slot by their rank within their length,
+counted in salted groups so that no length is one task.
 """
 
 from __future__ import annotations
@@ -29,28 +32,57 @@ from ._common import materialize
 
 CAPACITY = 1024
 END_ID = 2
-#: Characters of texts that one call of the library encodes.
+#: Where the library cuts words, for texts of ``SURE`` characters only: there letters are word characters without digits and the low line, and numbers are decimal digits.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Inside of a character class: ASCII without the separators 1C to 1F, Latin-1 without next line and numbers, Latin, Greek and Cyrillic letters, dashes and quotes, the euro, kana, Han, Hangul.
+SURE = "\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+#: Words a worker remembers, and their greatest length; the memory starts anew beyond.
+MEMO, REMEMBERED = 1_500_000, 64
+#: Characters of texts that are encoded together.
 ENCODED = 1 << 20
 #: Pieces of one length that one group ranks.
 RANK_ROWS = 20_000
 #: Solutions of the program, each of what the one before left; fewer pieces than ``TAIL`` are packed by best fit at once.
-ROUNDS = 12
+ROUNDS = 8
 TAIL = 200
+#: Steps of the weights, and the gap between bound and plan at which they end.
+PASSES, GAP = 300, 0.002
+#: What a configuration may lack of a sequence's worth, doubled with each solution.
+SLACK = 0.002
 
 
 # -- tokens -----------------------------------------------------------------
 
 
-class _Encoder:
-    """Ids of texts by the ``tokenizers`` library with its default settings: added tokens of the file are found inside texts, none are put around them."""
+class _Encoder(dict):
+    """Ids of texts by the ``tokenizers`` library with its default settings: added tokens of the file are found inside texts, none are put around them.
+
+    The library first cuts a text into words and encodes each by itself, so
+    words are encoded once and remembered: as a dict, the memory of words and
+    their ids (little-endian unsigned 32-bit bytes). Texts whose cuts this
+    class doesn't know for certain go to the library whole: those with an added
+    token, and those with characters beyond ``SURE``. So do all texts if the
+    file cuts otherwise than at its bytes' words.
+    """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
+        import json
         import os
+        import re
+        from pathlib import Path
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        made = json.loads(Path(path).read_text(encoding="utf-8"))
+        cut = made.get("pre_tokenizer") or {}
+        self.cuts = made.get("normalizer") is None and made.get("post_processor") is None and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex")) == ("ByteLevel", False, True)
+        self.words = re.compile(WORDS).findall
+        self.odd = re.compile(f"[^{SURE}]").search
+        added = [t["content"] for t in made.get("added_tokens", ())]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes, ``ENCODED`` characters or one text at a time."""
@@ -63,11 +95,35 @@ class _Encoder:
         yield from self._encode(texts[lo:])
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
-        for found in self.library.encode_batch_fast(texts, add_special_tokens=False):
-            ids = array.array("I", found.ids)
-            if sys.byteorder == "big":
-                ids.byteswap()
-            yield ids.tobytes()
+        known: list[list[bytes | None] | None] = []
+        new: set[str] = set()
+        split: list[list[str]] = []
+        for text in texts:
+            whole = not self.cuts or self.odd(text) is not None or self.added(text) is not None
+            split.append([] if whole else self.words(text))
+            known.append(None if whole else list(map(self.get, split[-1])))
+            if not whole and None in known[-1]:
+                new.update(w for w, x in zip(split[-1], known[-1], strict=True) if x is None)
+        fresh_ = dict(zip(new, self._by_library(list(new)), strict=True))
+        others = self._by_library([t for t, own in zip(texts, known, strict=True) if own is None])
+        for words, own in zip(split, known, strict=True):
+            if own is None:
+                yield next(others)
+            elif None in own:
+                yield b"".join([fresh_[w] if x is None else x for w, x in zip(words, own, strict=True)])
+            else:
+                yield b"".join(own)
+        if len(self) + len(fresh_) > MEMO:
+            self.clear()
+        self.update((w, x) for w, x in fresh_.items() if len(w) <= REMEMBERED)
+
+    def _by_library(self, texts: list[str]) -> Iterator[bytes]:
+        for lo in range(0, len(texts), 4096):
+            for found in self.library.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False):
+                ids = array.array("I", found.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                yield ids.tobytes()
 
 
 @lru_cache(1)
@@ -130,10 +186,48 @@ def _configuration(j: int, lengths: np.ndarray, took: np.ndarray, most: np.ndarr
     return copies
 
 
-def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, rate: float = 1.0, passes: int = 8) -> dict[tuple[tuple[int, int], ...], float]:
+def dual_prices(lengths: np.ndarray, demand: np.ndarray, capacity: int, passes: int = PASSES, goal: float = np.inf) -> tuple[np.ndarray, float]:
+    """Prices of the lengths at which no configuration is worth more than 1, and the bound they prove: the demand's worth.
+
+    Starts at a length's share of a sequence. In each step the dearest
+    configurations around every length are found by one knapsack table, and the
+    weights of the lengths fall exponentially by how much of their demand these
+    cover. Any prices, divided by the dearest configuration's, prove a bound;
+    those of single steps and their averages are tried. Ends within ``GAP`` of
+    ``goal``.
+    """
+    d = demand.astype(float)
+    logw = np.log(lengths / capacity)
+    total, bound, prices = np.zeros(len(lengths)), -1.0, logw
+    for t in range(passes):
+        y = np.exp(logw - logw.max())
+        y /= d @ y
+        best, took = _price_table(lengths, y, capacity)
+        total += y
+        tried = [(y, best)]
+        if t % 5 == 4:
+            tried.append((total, _price_table(lengths, total, capacity)[0]))
+        for p, table in tried:
+            if (worth := float(d @ p / table[capacity])) > bound:
+                bound, prices = worth, p / table[capacity]
+        if bound >= goal * (1 - GAP):
+            break
+        if t in (19, 59, 139):  # the first steps' prices are far off
+            total[:] = 0
+        around = y + best[capacity - lengths]
+        gain = np.zeros(len(lengths))
+        for j in np.flatnonzero(around >= 0.98 * best[capacity]):
+            copies = _configuration(int(j), lengths, took, demand, capacity)
+            i, m = np.fromiter(copies, np.int64), np.fromiter(copies.values(), float)
+            gain[i] += m / d[i] * (d[i] / m).min()
+        logw -= 0.5 / np.sqrt(1 + t / 4) * gain / gain.max()
+    return prices, bound
+
+
+def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, prices: np.ndarray, rate: float = 1.0, passes: int = 8) -> dict[tuple[tuple[int, int], ...], float]:
     """Fractional counts of configurations ((index, copies), ...) that cover ``demand``.
 
-    A length's price is its share of a sequence times a weight that falls
+    A length's price is that of ``prices`` times a weight that falls
     exponentially as its demand is covered. One knapsack table prices the
     best configuration around every length; each is added by as much as its
     scarcest length allows, and the weights are multiplied anew.
@@ -144,8 +238,9 @@ def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int,
         covered = 1 - left / demand
         if covered.min() > 0.995:
             break
-        _, took = _price_table(lengths, lengths / capacity * np.exp(-covered), capacity)
-        for j in range(len(lengths) - 1, -1, -1):
+        weighed = prices * np.exp(-covered)
+        best, took = _price_table(lengths, weighed, capacity)
+        for j in np.argsort(-(weighed + best[capacity - lengths]), kind="stable").tolist():
             if left[j] < 0.02 * demand[j]:
                 continue
             copies = _configuration(j, lengths, took, demand, capacity)
@@ -158,22 +253,29 @@ def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int,
     return found
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
-    """(configuration as (length, copies), number of sequences) for all pieces of ``histogram``."""
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, passes: int = PASSES) -> tuple[list[tuple[list[tuple[int, int]], int]], float]:
+    """(configuration as (length, copies), number of sequences) for all pieces of ``histogram``, and a number of sequences that no plan can undercut.
+
+    With ``passes`` 1 prices stay at the lengths' shares of a sequence.
+    """
     left = {k: v for k, v in histogram.items() if v > 0}
+    whole = [([(capacity, 1)], left.pop(capacity))] if capacity in left else []
+    full = sum(n for _, n in whole)
+    plain = _best_fit(left, capacity)
     plan: list[tuple[list[tuple[int, int]], int]] = []
-    if capacity in left:
-        plan.append(([(capacity, 1)], left.pop(capacity)))
-    for _ in range(ROUNDS):
+    bound = 0.0
+    for r in range(ROUNDS):
         before = sum(left.values())
-        if before <= TAIL:
+        if before <= (TAIL if r else 0):
             break
         lengths = np.array(sorted(left), np.int64)
         rest = np.array([left[int(x)] for x in lengths], np.int64)
-        found = solve_configurations(lengths, rest.copy(), capacity)
-        waste = lambda key: capacity - sum(int(lengths[i]) * m for i, m in key)  # noqa: B023, E731
-        for key, x in sorted(found.items(), key=lambda kx: (waste(kx[0]), -kx[1])):
-            if waste(key) > 0:  # pieces of configurations with gaps wait for the next solution
+        prices, least = dual_prices(lengths, rest, capacity, passes, sum(n for _, n in plain) if r == 0 else np.inf if passes == 1 else float(rest @ lengths) / capacity)
+        bound = bound or least
+        found = solve_configurations(lengths, rest.copy(), capacity, prices)
+        lack = {key: 1 - sum(prices[i] * m for i, m in key) for key in found}
+        for key, x in sorted(found.items(), key=lambda kx: (round(lack[kx[0]], 6), -kx[1])):
+            if lack[key] > SLACK * 2**r:  # pieces of configurations not worth a sequence wait for the next solution
                 break
             n = min([int(np.ceil(x - 1e-9)), *(int(rest[i]) // m for i, m in key)])  # rounded up, within what is left
             if n > 0:
@@ -183,7 +285,10 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[
         left = {int(k): int(v) for k, v in zip(lengths, rest, strict=True) if v}
         if rest.sum() > 0.95 * before:
             break
-    return plan + _best_fit(left, capacity)
+    plan += _best_fit(left, capacity)
+    if sum(n for _, n in plan) > sum(n for _, n in plain):
+        plan = plain
+    return whole + plan, full + bound
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -235,7 +340,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     pieces = materialize(pieces)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    table = slots(plan_sequences(histogram, capacity))
+    table = slots(plan_sequences(histogram, capacity)[0])
     sizes = sorted(histogram)
     start = dict(zip(sizes, np.concatenate([[0], np.cumsum([histogram[x] for x in sizes])[:-1]]).astype(int).tolist() if sizes else [], strict=True))
     bins = spark.createDataFrame([(x, start[x], -(-histogram[x] // RANK_ROWS)) for x in sizes], "b_length long, b_start long, b_salts long")

@@ -116,6 +116,31 @@ def numbered(df: DataFrame, group: str, order: list[str], text: str, out: str) -
     return joined.withColumn(out, F.when(F.col("_numbers").isNull(), F.col(text)).otherwise(whole)).drop("_group", "_numbers")
 
 
+#: A string of a JSON text, keys included.
+JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def redact_json(df: DataFrame, key: list[str], json: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the JSON text of ``json`` with every string in it redacted, at any depth, keys included; other values stay.
+
+    ``key`` tells rows apart. Strings are rows of their own while passes work
+    on them, and go back to their places; as markers name their values,
+    different keys stay different. Nulls stay null.
+    """
+    held = df.select(*key, F.col(json).alias("_json"))
+    each = held.select(*key, F.posexplode(F.regexp_extract_all("_json", F.lit(JSON_STRING), F.lit(0))).alias("_pos", "_token"))
+    plain = each.withColumn("_plain", F.from_json(F.concat(F.lit("["), "_token", F.lit("]")), "array<string>")[0])
+    done = redact(plain, "_plain", "_done")
+    quoted = F.expr("substring(to_json(array(_done)), 2, length(to_json(array(_done))) - 2)")
+    token = F.when(F.col("_done").eqNullSafe(F.col("_plain")), F.col("_token")).otherwise(quoted)
+    tokens = done.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", token.alias("t")))).alias("_tokens"))
+    tokens = tokens.select(*(F.col(k).alias(f"_k_{k}") for k in key), F.transform("_tokens", lambda x: x["t"]).alias("_tokens"))
+    joined = df.join(tokens, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key], "left")
+    parts = F.arrays_zip(F.split(json, JSON_STRING, -1).alias("g"), F.coalesce("_tokens", F.array().cast("array<string>")).alias("m"))
+    whole = F.array_join(F.transform(parts, lambda x: F.concat(F.coalesce(x["g"], F.lit("")), F.coalesce(x["m"], F.lit("")))), "")
+    return joined.withColumn(out, F.when(F.col(json).isNotNull(), whole)).drop("_tokens", *(f"_k_{k}" for k in key))
+
+
 def redact_metadata(df: DataFrame, text: str, out: str) -> DataFrame:
     """``redact``; a non-blank value that no pass touches is a secret as a whole (times, revisions, branches of a session)."""
     done = redact(df, text, out)

@@ -437,11 +437,17 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.size(F.regexp_extract_all("redacted", F.lit(redaction.MARK), F.lit(0))).alias("n_placeholders"), F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
+def _redacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as sessions whose fields are their lines, redacted and numbered over the document."""
+    lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    return redaction.numbered(written(redaction.redact(lines, "text", "redacted")), "doc_id", ["line"], "redacted", "shown")
+
+
 @_query()
 def redaction_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholders numbered over each conversation's turns."""
-    done = redaction.redact(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "redacted")
-    return redaction.numbered(done, "conv_id", ["turn"], "redacted", "shown").select("conv_id", "turn", F.sha2("shown", 256).alias("shown_sha256"))
+    """Placeholders numbered over each document's lines, for the lines that have any."""
+    found = _redacted_lines(spark, sf_dir).filter(F.col("shown").contains("[REDACTED_"))
+    return found.select("doc_id", F.col("line").cast("long").alias("line"), F.sha2("shown", 256).alias("shown_sha256"))
 
 
 @_query(rf"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_HIT_SQL["high_entropy"]}')) AS token FROM documents),
@@ -499,9 +505,23 @@ def scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def redaction_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One finding per turn and kind, with the conversation's placeholders."""
-    done = redaction.redact(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "redacted")
-    return redaction.summary(redaction.numbered(done, "conv_id", ["turn"], "redacted", "shown"), "conv_id", ["turn"], "shown")
+    """One finding per line and kind, with the document's placeholders."""
+    return redaction.summary(_redacted_lines(spark, sf_dir), "doc_id", ["line"], "shown")
+
+
+@_query()
+def redacted_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as nested tool inputs, every string redacted in its place."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.to_json(F.struct(F.struct(F.split("text", "\n").alias("lines")).alias("args"), F.lit("run").alias("name"), F.lit(1).alias("n"))).alias("input"))
+    done = redaction.redact_json(docs, ["doc_id"], "input", "shown").filter(F.col("shown") != F.col("input"))
+    return done.select("doc_id", F.size(F.regexp_extract_all("shown", F.lit(redaction.MARK), F.lit(0))).cast("long").alias("n_placeholders"), F.sha2("shown", 256).alias("shown_sha256"))
+
+
+@_query()
+def redacted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page addresses as metadata: a value that no pass touches is a secret as a whole."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return redaction.redact_metadata(pages, "url", "shown").select("page_id", "shown")
 
 
 @_query()

@@ -34,11 +34,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder shared by driver and executors; a temporary one only where none is set (tests)."""
+    """The folder shared by driver and executors; a temporary one only on a local master where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
         path = spark.sparkContext.getCheckpointDir()
     return path
@@ -73,18 +75,22 @@ def in_blocks(docs: DataFrame, block: str, id_col: str = "doc_id", text: str = "
 
 
 class Forest:
-    """Union-find over 0..n-1 that takes arrays of links."""
+    """Union-find over 0..n-1 that takes arrays of links; ``edges`` are links that made two trees one, a spanning forest of all."""
 
     def __init__(self, n: int) -> None:
         self.root = np.arange(n)
+        self.edges: list[tuple[np.ndarray, np.ndarray]] = []
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
         """Hook roots to smaller ones until every link lies within a tree."""
         while len(a):
             ra, rb = self.find(a), self.find(b)
             on = ra != rb
-            a, b, ra, rb = a[on], b[on], ra[on], rb[on]
-            np.minimum.at(self.root, np.maximum(ra, rb), np.minimum(ra, rb))
+            a, b, high, low = a[on], b[on], np.maximum(ra, rb)[on], np.minimum(ra, rb)[on]
+            by = np.lexsort((low, high))
+            first = by[np.flatnonzero(np.concatenate([[True], np.diff(high[by]) != 0]))] if len(by) else by
+            self.root[high[first]] = low[first]
+            self.edges.append((a[first], b[first]))
 
     def find(self, x: np.ndarray) -> np.ndarray:
         r = self.root[x]
@@ -94,6 +100,10 @@ class Forest:
                 return r
             self.root[x] = r = up
 
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        """The spanning forest as two arrays."""
+        return tuple(np.concatenate([np.empty(0, np.int64), *(e[i] for e in self.edges)]) for i in (0, 1))
+
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star (neighbours above the node) or small-star (at or below it) step on edges (a > b)."""

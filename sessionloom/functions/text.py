@@ -36,11 +36,18 @@ def html_escape(c: Column) -> Column:
     return c
 
 
+# Control characters with an escape of their own.
+_NAMED = {"\a": "\\a", "\b": "\\b", "\f": "\\f", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\v": "\\v"}
+
+
 def quoted(c: Column) -> Column:
-    """Double-quoted with backslash escapes for quotes, backslashes and the named control characters."""
-    for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\t", "\\t"), ("\r", "\\r")):
-        c = F.replace(c, F.lit(plain), F.lit(escaped))
-    return F.concat(F.lit('"'), c, F.lit('"'))
+    """Double-quoted with backslash escapes for quotes, backslashes and ASCII control characters, named ones by letter, others as ``\\x..``."""
+    for plain in ("\\", '"'):
+        c = F.replace(c, F.lit(plain), F.lit("\\" + plain))
+    odd = c
+    for code in (*range(32), 127):
+        odd = F.replace(odd, F.lit(chr(code)), F.lit(_NAMED.get(chr(code), f"\\x{code:02x}")))
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1f\x7f]"), odd).otherwise(c), F.lit('"'))
 
 
 def blank_to(c: Column, other: str) -> Column:

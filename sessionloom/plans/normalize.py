@@ -8,6 +8,7 @@ unknown types are ignored; lines that don't parse are quarantined by
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -155,6 +156,14 @@ def tool_calls(records: DataFrame) -> DataFrame:
     return placed.select("file", "position", F.coalesce("call_id", given).alias("call_id"), "name", "input", "at", "result", "success", "result_at", "matched")
 
 
+def of_repo(rows: DataFrame, value: str) -> DataFrame:
+    """Sessions whose repository, folder, remote, branch or revision is ``value``; all if it is blank."""
+    if not value.strip():
+        return rows
+    same = reduce(lambda a, b: a | b, (F.coalesce(F.col(c) == value.strip(), F.lit(False)) for c in ("repo_id", "cwd", "git_remote", "git_branch", "git_head_sha") if c in rows.columns))
+    return rows.filter(same)
+
+
 def documents(records: DataFrame, hook_ids: DataFrame | None = None) -> DataFrame:
     """Sound sessions as one row each: ids, times, context and the counts of turns, calls, changes, commands and tests.
 

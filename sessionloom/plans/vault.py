@@ -73,6 +73,11 @@ def tallies(archived: DataFrame, group: str) -> DataFrame:
     return archived.groupBy(group).agg(*(count(o) for o in ("copied", "deduped", "missing", "failed")), F.coalesce(F.sum(F.when(F.col("outcome") == "deduped", F.col("size"))), F.lit(0)).alias("bytes_saved"))
 
 
+def skip_reason(outcome: Column) -> Column:
+    """Why an event's session isn't processed, null if it is."""
+    return F.when(outcome == "missing", "raw_missing").when(outcome == "failed", "copy_failed")
+
+
 def doctor(vaults: DataFrame, now: Column) -> DataFrame:
     """``vaults`` with ``backfill_status``, ``backup_status``, ``drift`` and ``warnings`` (in order, LF-joined, empty if none).
 

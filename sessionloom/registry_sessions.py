@@ -61,20 +61,28 @@ def record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).groupBy("file").agg(*(F.count_if(kind == t).alias(c) for c, t in names.items()), other)
 
 
-@_query(_ACT + """, first AS (SELECT session_id, user_id, k, "at" FROM act WHERE idx = 0)
+_SESSIONS = _ACT + """, first AS (SELECT session_id, user_id, k, "at" FROM act WHERE idx = 0)
 SELECT a.session_id AS file, a.session_id AS transcript_session_id, min(f."at") AS started_at, max(a."at") AS ended_at, date_diff('microsecond', min(ts), max(ts)) // 1000000 AS duration_seconds,
   coalesce(arg_max('m' || (a.k % 3), idx) FILTER (WHERE event_type = 'click'), any_value('m' || (f.k % 3))) AS model,
   coalesce(arg_max('w' || (a.k % 7), idx) FILTER (WHERE event_type = 'purchase'), any_value('w' || (f.user_id % 7))) AS workspace_id, arg_max('r' || (a.k % 3), idx) FILTER (WHERE event_type = 'purchase') AS repo_id,
   coalesce(any_value(CASE WHEN f.k % 2 = 0 THEN '/work/' || (f.user_id % 5) END), arg_min('/home/' || (a.k % 9), idx) FILTER (WHERE event_type = 'click')) AS cwd,
   arg_min(CASE a.k % 5 WHEN 0 THEN 'b' || (a.k % 4) ELSE 'f' || (a.k % 4) END, idx) FILTER (WHERE event_type = 'click' AND a.k % 5 IN (0, 2)) AS git_branch,
   arg_min('h' || a.k, idx) FILTER (WHERE event_type = 'click' AND a.k % 5 = 3) AS git_head_sha
-FROM act a JOIN first f ON f.session_id = a.session_id GROUP BY a.session_id""")
+FROM act a JOIN first f ON f.session_id = a.session_id GROUP BY a.session_id"""
+
+
+@_query(_SESSIONS)
 def normalized_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First start, last end, last model, workspace and repository, first folder and git fields; a git that is no object hides its line's flat fields."""
     out = normalize.sessions(_records(spark, sf_dir)).filter("problem IS NULL")
     return out.select("file", "transcript_session_id", "started_at", "ended_at", "duration_seconds", "model", "workspace_id", "repo_id", "cwd", "git_branch", "git_head_sha")
 
 
+@_query("SELECT file, repo_id, cwd, git_branch FROM (" + _SESSIONS + ") WHERE 'b1' IN (repo_id, cwd, git_branch, git_head_sha)")
+def sessions_of_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.of_repo(normalized_sessions(spark, sf_dir), "b1").select("file", "repo_id", "cwd", "git_branch")
+
+
 @_query(_SAID + 'SELECT file, line_no, role, text, "at" FROM talk')
 def normalized_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.turns(_records(spark, sf_dir)).select("file", F.col("line_no").cast("long").alias("line_no"), "role", "text", "at")
@@ -311,3 +319,18 @@ def roles_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of a conversation by first appearance."""
     per = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: F.concat(F.lit(" "), x["role"], F.lit(" "))).alias("r"))
     return per.select("conv_id", F.array_join(text.distinct_nonblank(F.col("r")), ",").alias("roles"))
+
+
+@_query(_ARCHIVED + """SELECT CASE outcome WHEN 'missing' THEN 'raw_missing' WHEN 'failed' THEN 'copy_failed' ELSE 'processed' END AS reason, count(*) AS n FROM archived GROUP BY 1""")
+def drain_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processed and skipped contents by reason."""
+    done = vault.archive(_table(spark, sf_dir, "documents"), "doc_id", "text", 20_000)
+    return done.groupBy(F.coalesce(vault.skip_reason(F.col("outcome")), F.lit("processed")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@_query(_ACT + """SELECT session_id, '"' || replace(replace(replace(replace(path, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(1), chr(92) || 'x01'), chr(9), chr(92) || 't') || '"' AS quoted FROM (
+  SELECT session_id, idx, path || CASE idx % 4 WHEN 0 THEN '"' WHEN 1 THEN chr(92) WHEN 2 THEN chr(9) ELSE chr(1) END AS path FROM changes)""")
+def quoted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changed paths with an odd character behind them, quoted."""
+    odd = F.when(F.col("idx") % 4 == 0, '"').when(F.col("idx") % 4 == 1, "\\").when(F.col("idx") % 4 == 2, "\t").otherwise("\x01")
+    return A.changes(A.activity(spark, sf_dir)).select("session_id", text.quoted(F.concat("path", odd)).alias("quoted"))

@@ -37,6 +37,8 @@ WEAK = (
 KINDS = tuple(k[0] for k in (*BASE, *WEAK))
 SCOPE = 200
 STRETCH = 4096
+#: Code points of the pieces that a text is cut into before spans are masked.
+PIECE = 1024
 
 
 def _spans(text: Column, kind: int, pattern: str, least: int) -> Column:
@@ -90,7 +92,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, h1: str, h2: str) -> Dat
 
 
 def _join_spans(keyed: DataFrame, per: DataFrame, id_col: str, h1: str, h2: str, spans: str) -> DataFrame:
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,before:bigint>>")
     per = per.toDF("ss_join_id", "ss_join_1", "ss_join_2", spans)
     on = keyed[id_col].eqNullSafe(per["ss_join_id"]) & (keyed[h1] == per["ss_join_1"]) & (keyed[h2] == per["ss_join_2"])
     return keyed.join(per, on, "left").drop("ss_join_id", "ss_join_1", "ss_join_2").withColumn(spans, F.coalesce(F.col(spans), none))
@@ -104,15 +106,18 @@ def _scan(docs: DataFrame, scope: int, id_col: str, text_col: str) -> tuple[Data
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scanned = materialize(_keyed(plain, "doc_id", "text", "h1", "h2").select(*key, found))
     linked = _linked(_positions(scanned, key), key, scope)
-    return scanned.select(*key), linked.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    before = F.max("end").over(W.partitionBy(*key).orderBy("start", "kind", "end").rowsBetween(W.unboundedPreceding, -1))
+    linked = linked.withColumn("before", F.coalesce(before, F.lit(0).cast("long")))
+    return scanned.select(*key), linked.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "before"))).alias("spans"))
 
 
 def secret_spans(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_assign``, ``n_access``, ``n_hex``, ``n_linked`` and ``spans``.
 
-    ``spans`` is an array of (start, kind, end), code points with an exclusive
-    end, sorted by start, then kind as listed in ``KINDS``; kinds from
-    ``len(BASE)`` on are linked weak parts, which never overlap a base span.
+    ``spans`` is an array of (start, kind, end, before), code points with an
+    exclusive end, sorted by start, then kind as listed in ``KINDS``; kinds
+    from ``len(BASE)`` on are linked weak parts, which never overlap a base
+    span; ``before`` is the greatest end of the spans before, 0 if none.
 
     A null or empty text has no spans. Repeated rows each give a row; rows
     that share an id, null included, are told apart by their texts. Other
@@ -141,12 +146,17 @@ def mask_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     joined = _join_spans(_keyed(docs, id_col, text_col, h1, h2), per, id_col, h1, h2, spans)
     text = F.col(text_col)
     kinds = F.array(*(F.lit(f"[{k}]") for k in KINDS))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = x["start"] >= acc["at"]
-        out = F.when(new, F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int")), F.element_at(kinds, x["kind"] + 1))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
+    pieces = fresh(joined, "ss_pieces")[0]
+    joined = joined.withColumn(pieces, F.when(F.size(spans) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))))
+
+    def cut(start: Column, end: Column) -> Column:
+        """Code points from start to end, by the pieces they lie in: a long text isn't walked through once for each span."""
+        first = F.floor(start / PIECE)
+        held = F.array_join(F.slice(pieces, (first + 1).cast("int"), (F.floor((end - 1) / PIECE) - first + 1).cast("int")), "")
+        return F.when(end > start, F.substring(held, (start - first * PIECE + 1).cast("int"), (end - start).cast("int"))).otherwise("")
+
+    apart = F.filter(spans, lambda x: x["start"] >= x["before"])
+    told = F.transform(apart, lambda x: F.concat(cut(x["before"], x["start"]), F.element_at(kinds, x["kind"] + 1)))
+    tail = cut(F.array_max(F.transform(spans, lambda x: x["end"])), F.length(text).cast("long"))
+    masked = F.concat(F.array_join(told, ""), tail)
     return joined.withColumn(text_col, F.when(F.size(spans) > 0, masked).otherwise(text)).select(*docs.columns)

@@ -17,3 +17,25 @@ def test_weak_part_of_many_stretches_meets_its_complement_at_its_end(spark):
     assert found == {0: ["secret", "ident"], 1: ["ident", "secret"], 2: [], 3: ["ident", "hex"]}
     masked = {r.doc_id: r.text for r in mask_secrets(docs).collect()}
     assert masked[0] == f"{tail[:100]}[secret] [ident]" and masked[2] == texts[2]
+
+
+def test_many_secrets_of_a_long_text_are_masked(spark):
+    """Spans in and across pieces, overlapping ones joined; time in proportion to the text."""
+    import random
+    import time
+
+    from sessionloom.llm.secret_scan import mask_secrets
+
+    rng = random.Random(3)
+    parts, want = [], []
+    for i in range(20_000):
+        gap = "é😀word " * rng.randint(1, 8)
+        parts += [gap, "AKIA" + "Q" * 18 + " "]
+        want += [gap, "[access] "]
+    both = "token=" + "a1" * 16  # an assignment and a hexadecimal run in one
+    docs = spark.createDataFrame([(1, "".join(parts)), (2, both + " end"), (3, "é" * 2047 + both), (4, "none"), (5, "")], "doc_id long, text string")
+    start = time.perf_counter()
+    out = {r.doc_id: r.text for r in mask_secrets(docs).collect()}
+    assert time.perf_counter() - start < 120
+    assert out[1] == "".join(want)
+    assert out[2] == "[assign] end" and out[3] == "é" * 2047 + "[assign]" and out[4] == "none" and out[5] == ""

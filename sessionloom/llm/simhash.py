@@ -338,12 +338,13 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, max
     """
     docs = docs.drop("component_id")
     (raw,) = fresh(docs, "sg_raw")
-    bits, tables, share = table_plan(docs.count(), similarity, max_bits)
+    n = docs.count()
+    bits, tables, share = table_plan(n, similarity, max_bits)
     plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias(raw))
     kind = docs.schema[id_col].dataType.simpleString()
     sketches = materialize(plain.mapInArrow(_sketches(width, seed, bits, tables), f"id {kind}, key long, prints array<long>, long array<long>, shingles array<int>"))
     classes = materialize(sketches.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    depth = max(0, (-(-docs.count() // TABLE_NODE) - 1).bit_length())
+    depth = max(0, (-(-n // TABLE_NODE) - 1).bit_length())
     rows = sketches.select("key", F.posexplode("prints").alias("t", "fp")).distinct()
     if depth:
         zero = F.lit(0).cast("long")
@@ -354,11 +355,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, max
     # the long fingerprints leave few false candidates, and only those meet as sets
     whole = -(-bits * tables // BITS) * BITS
     most = whole * share + SPREAD * math.sqrt(whole * share * (1 - share))
-    side = lambda df, i, c: df.select(F.col("key").alias(f"key{i}"), F.col(c).alias(f"v{i}")).dropDuplicates([f"key{i}"])
 
     def beside(df: DataFrame, c: str) -> DataFrame:
+        named = df.select(F.col("k1").alias("key")).unionAll(df.select(F.col("k2").alias("key"))).distinct()
+        have = sketches.select("key", c).join(named, "key", "left_semi").dropDuplicates(["key"])  # of the documents that pairs name only
         for i in (1, 2):
-            df = df.join(side(sketches, i, c), F.col(f"k{i}") == F.col(f"key{i}")).drop(f"key{i}")
+            df = df.join(have.select(F.col("key").alias(f"key{i}"), F.col(c).alias(f"v{i}")), F.col(f"k{i}") == F.col(f"key{i}")).drop(f"key{i}")
         return df
 
     apart = F.aggregate(F.zip_with("v1", "v2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

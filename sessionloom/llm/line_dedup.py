@@ -6,8 +6,10 @@ perfect hash over the distinct keys indexes three compact arrays: a 64-bit
 fingerprint, the number of documents and the largest doc_id holding the key.
 Blocks of documents send each distinct key once to its shard, which probes
 its arrays and answers only with keys in at least ``min_docs`` documents; the
-block then drops lines. Lines are never joined with lines, a frequent line is
-one request per block, and nothing is broadcast.
+block then drops lines. Lines are never joined with lines and nothing is
+broadcast. Blocks ask in groups of ``ASKING``, each of which has arrays of its
+own for the keys it asks for, so a line that every block holds brings at most
+that many requests into a task.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import fresh, in_blocks, text_bytes
+from ._common import BLOCK_BYTES, fresh, in_blocks, n_blocks
 
 #: ASCII white space of a key's ends: U+0020 and U+0009-U+000D.
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Bytes of text for each shard of the hash space.
 SHARD_BYTES = 32 << 20
+#: Blocks whose requests meet in one group.
+ASKING = 4096
 NO_DOC = -(1 << 63)
 
 
@@ -177,13 +181,20 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     docs = docs.drop(*made)
     block, raw, num = fresh(docs, "ld_block", "ld_raw", "ld_id")
     columns = docs.columns
-    dealt = in_blocks(docs, block, id_col, text_col).withColumns({raw: F.col(text_col).cast("binary"), num: F.col(id_col).cast("long")})
+    blocks = n_blocks(docs, text_col)
+    dealt = in_blocks(docs, block, id_col, text_col, blocks).withColumns({raw: F.col(text_col).cast("binary"), num: F.col(id_col).cast("long")})
     keys = dealt.mapInArrow(  # all columns, so that both uses of ``dealt`` share one exchange
         _keys_of(min_chars, num, raw, block), "blk int, h1 long, h2 long, n long, top long")
-    shards = max(1, -(-text_bytes(docs, text_col) // SHARD_BYTES))
-    shard = F.pmod("h1", F.lit(shards)).cast("int")
-    index = keys.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top")).select(shard.alias("shard"), "h1", "h2", "n", "top")
-    asked = keys.select("blk", "h1", "h2").distinct().select(shard.alias("ask_shard"), F.col("blk").alias("blk"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))  # names of their own: both sides come from ``keys``
-    answers = index.groupBy("shard").cogroup(asked.groupBy("ask_shard")).applyInArrow(_probe(min_docs), "blk int, h1 long, h2 long, top long")
+    shards, groups = max(1, blocks * BLOCK_BYTES // SHARD_BYTES), -(-blocks // ASKING)
+    shard, group = F.pmod("h1", F.lit(shards)).cast("int"), F.pmod("blk", F.lit(groups))
+    index = keys.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+    if groups > 1:
+        wanted = keys.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), group.alias("part")).distinct()
+        index = wanted.join(index, (F.col("w1") == F.col("h1")) & (F.col("w2") == F.col("h2")))
+    else:
+        index = index.withColumn("part", F.lit(0))
+    index = index.select(shard.alias("shard"), "part", "h1", "h2", "n", "top")
+    asked = keys.select("blk", "h1", "h2").distinct().select(shard.alias("ask_shard"), group.alias("ask_part"), F.col("blk").alias("blk"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))  # names of their own: both sides come from ``keys``
+    answers = index.groupBy("shard", "part").cogroup(asked.groupBy("ask_shard", "ask_part")).applyInArrow(_probe(min_docs), "blk int, h1 long, h2 long, top long")
     schema = T.StructType([*docs.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     return answers.groupBy("blk").cogroup(dealt.groupBy(block)).applyInArrow(_apply(min_chars, num, raw, columns), schema)

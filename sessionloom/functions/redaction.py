@@ -116,8 +116,9 @@ def numbered(df: DataFrame, group: str, order: list[str], text: str, out: str) -
     return joined.withColumn(out, F.when(F.col("_numbers").isNull(), F.col(text)).otherwise(whole)).drop("_group", "_numbers")
 
 
-#: A string of a JSON text, keys included.
-JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+#: A string of a JSON text, keys included, once escaped backslashes and quotes are stood in for by characters that JSON texts don't hold.
+JSON_STRING = '"[^"]*"'
+_STAND_INS = (("\\\\", "\x01"), ('\\"', "\x02"))
 
 
 def redact_json(df: DataFrame, key: list[str], json: str, out: str) -> DataFrame:
@@ -127,8 +128,13 @@ def redact_json(df: DataFrame, key: list[str], json: str, out: str) -> DataFrame
     on them, and go back to their places; as markers name their values,
     different keys stay different. Nulls stay null.
     """
-    held = df.select(*key, F.col(json).alias("_json"))
-    each = held.select(*key, F.posexplode(F.regexp_extract_all("_json", F.lit(JSON_STRING), F.lit(0))).alias("_pos", "_token"))
+    def swap(c: Column, back: bool = False) -> Column:
+        for plain, other in reversed(_STAND_INS) if back else _STAND_INS:
+            c = F.replace(c, F.lit(other if back else plain), F.lit(plain if back else other))
+        return c
+
+    held = df.select(*key, swap(F.col(json)).alias("_json"))
+    each = held.select(*key, F.posexplode(F.regexp_extract_all("_json", F.lit(JSON_STRING), F.lit(0))).alias("_pos", "_token")).withColumn("_token", swap(F.col("_token"), True))
     plain = each.withColumn("_plain", F.from_json(F.concat(F.lit("["), "_token", F.lit("]")), "array<string>")[0])
     done = redact(plain, "_plain", "_done")
     quoted = F.expr("substring(to_json(array(_done)), 2, length(to_json(array(_done))) - 2)")
@@ -136,7 +142,7 @@ def redact_json(df: DataFrame, key: list[str], json: str, out: str) -> DataFrame
     tokens = done.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", token.alias("t")))).alias("_tokens"))
     tokens = tokens.select(*(F.col(k).alias(f"_k_{k}") for k in key), F.transform("_tokens", lambda x: x["t"]).alias("_tokens"))
     joined = df.join(tokens, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in key], "left")
-    parts = F.arrays_zip(F.split(json, JSON_STRING, -1).alias("g"), F.coalesce("_tokens", F.array().cast("array<string>")).alias("m"))
+    parts = F.arrays_zip(F.split(swap(F.col(json)), JSON_STRING, -1).alias("g"), F.coalesce("_tokens", F.array().cast("array<string>")).alias("m"))
     whole = F.array_join(F.transform(parts, lambda x: F.concat(F.coalesce(x["g"], F.lit("")), F.coalesce(x["m"], F.lit("")))), "")
     return joined.withColumn(out, F.when(F.col(json).isNotNull(), whole)).drop("_tokens", *(f"_k_{k}" for k in key))
 

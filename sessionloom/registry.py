@@ -306,7 +306,8 @@ def trajectory_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.trajectory(export.activity_records(*_both(spark, sf_dir))).select("session_id", "position", "seq", "class", "content")
 
 
-@_query()
+@_query("""SELECT session_id, '{"id":"' || session_id || '","content":[' || string_agg('{"class_":"' || class || '","content":"' || content || '"}', ',' ORDER BY position) || '],"details":{"version":"1.1.0","data_class":"corpus"}}' AS line
+FROM (""" + ORACLES["trajectory_order"] + ") GROUP BY session_id")
 def trajectory_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.json_lines(export.trajectory(export.activity_records(*_both(spark, sf_dir))))
 

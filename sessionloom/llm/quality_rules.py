@@ -27,8 +27,8 @@ BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Bits of a packed window that hold its place; the rest hold its hash.
-PLACE_BITS = 26
+#: Bits of a packed window that hold its place, which is below 2**31 in any array; the rest hold its hash.
+PLACE_BITS = 31
 #: name: (numerator, denominator, above, ladder in hundredths from loose to tight). A text fails above (or below) the cutoff.
 RULES: dict[str, tuple[str, str, bool, tuple[int, ...]]] = {
     "symbols": ("n_symbols", "n_words", True, (200, 150, 100, 75, 50, 30, 20, 13, 8, 5, 3, 2, 1)),
@@ -110,13 +110,16 @@ def most_rejections(n: Column, alpha: float, level: Column) -> Column:
 def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05) -> DataFrame:
     """One row per stratum with labels: ``stratum``, ``n_good`` and for each rule the cutoff in use, null if none is certified.
 
-    ``features`` has doc_id, stratum and ``FEATURES``; ``labels`` doc_id and
-    quality (0 or 1). A document with several labels is good only if all are
-    1; labels without id or quality are ignored. Documents that fail the base
-    rule take no part, as no cutoff decides on them.
+    ``features`` has doc_id, stratum, print (a hash of the text) and
+    ``FEATURES``; ``labels`` doc_id and quality (0 or 1). Copies of a text
+    within a stratum are one holdout, as the bound asks for independent ones;
+    it is good only if all labels of all its copies are 1. Labels without id or
+    quality are ignored. Documents that fail the base rule take no part, as no
+    cutoff decides on them.
     """
     quality = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("l_id")).agg(F.min("quality").alias("l_quality"))
-    known = features.filter(~base_failed()).join(quality, F.col("doc_id") == F.col("l_id"))
+    labelled = features.filter(~base_failed()).join(quality, F.col("doc_id") == F.col("l_id"))
+    known = labelled.groupBy("stratum", "print").agg(F.min("l_quality").alias("l_quality"), *(F.min(c).alias(c) for c in FEATURES))  # features are the same for equal texts
     counts = [F.count_if(F.col("l_quality") == 1).alias("n_good")]
     for rule, (*_, ladder) in RULES.items():
         for c in ladder:
@@ -144,16 +147,19 @@ def _verdict(df: DataFrame, cuts: DataFrame, stratum: str) -> DataFrame:
 
 def _features(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.col(text_col).alias("text"))
-    return with_features(plain).drop("text")
+    return with_features(plain).withColumn("print", _print(F.col("text"))).drop("text")
+
+
+def _print(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """Per row: ``doc_id``, ``FEATURES``, ``base_failed`` and ``kept``.
 
     A null, empty or blank text has no words and fails the base rule. A null
-    stratum is the stratum of the empty string. Repeated rows each give a row
-    (and each count as a holdout if labelled). Other columns of ``docs`` are
-    not used, so their names can't clash. An empty table gives an empty
+    stratum is the stratum of the empty string. Repeated rows each give a row;
+    equal texts are one holdout. Other columns of ``docs`` are not used, so their names can't clash. An empty table gives an empty
     result; without labels only the base rule rejects.
     """
     feats = materialize(_features(docs, id_col, text_col, stratum_col))
@@ -164,15 +170,12 @@ def quality_report(docs: DataFrame, labels: DataFrame, alpha: float = 0.005, del
 def quality_filter(docs: DataFrame, labels: DataFrame, alpha: float = 0.005, delta: float = 0.05, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns. Cases are as in ``quality_report``.
 
-    Features are computed once more in the filtering pass, which costs less
-    than to shuffle all texts to meet their verdicts.
+    Rows are written once together with their features, which costs less than
+    to compute features twice or to shuffle all texts to meet their verdicts.
     """
-    feats = materialize(_features(docs, id_col, text_col, stratum_col))
-    cuts = materialize(certified_cutoffs(feats, labels, alpha, delta))
     names = fresh(docs, *(f"qr_in_{i}" for i in range(len(docs.columns))))
-    held, text, stratum = docs.toDF(*names), names[docs.columns.index(text_col)], names[docs.columns.index(stratum_col)]
-    key, order = fresh(held, "qr_key", "qr_order")
-    # a filter isn't pushed below a column that isn't deterministic: else its features would be evaluated again inside it
-    judged = with_features(held.withColumn(key, F.coalesce(F.col(stratum).cast("string"), F.lit(""))), text).withColumn(order, F.monotonically_increasing_id())
-    judged = _verdict(judged, cuts, key).filter(F.col("kept") & (F.col(order) >= 0))
-    return judged.select(*(F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)))
+    ident, text, stratum = (names[docs.columns.index(c)] for c in (id_col, text_col, stratum_col))
+    judged = with_features(docs.toDF(*names), text).withColumns({"doc_id": F.col(ident), "stratum": F.coalesce(F.col(stratum).cast("string"), F.lit("")), "print": _print(F.col(text))})
+    judged = materialize(judged)
+    cuts = materialize(certified_cutoffs(judged.select("doc_id", "stratum", "print", *FEATURES), labels, alpha, delta))
+    return _verdict(judged, cuts, "stratum").filter("kept").select(*(F.col(a).alias(b) for a, b in zip(names, docs.columns, strict=True)))

@@ -27,7 +27,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _op2_sql(alpha: float = 0.005, delta: float = 0.05) -> str:
     """Words and lines as rows; the exact binomial bound by the gamma function."""
-    from .quality_rules import GOOD_WEIGHT, RULES
+    from .quality_rules import FEATURES, GOOD_WEIGHT, RULES
 
     fails = lambda rule, cut: f"(100 * {RULES[rule][0]} {'>' if RULES[rule][2] else '<'} ({cut}) * {RULES[rule][1]})"
     rungs = ", ".join(f"('{r}', {i}, {c})" for r, (*_, ladder) in RULES.items() for i, c in enumerate(ladder))
@@ -51,7 +51,7 @@ words AS (
   FROM lines WHERE regexp_matches(line, '[^ 	-
 ]') GROUP BY doc_id
 ), feats AS (
-  SELECT d.doc_id, d.stratum, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+  SELECT d.doc_id, d.stratum, d.text, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
     coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM docs d
@@ -59,11 +59,13 @@ words AS (
   LEFT JOIN per_line USING (doc_id)
   LEFT JOIN (SELECT doc_id, count(*) AS n_repeat_words FROM places GROUP BY doc_id) USING (doc_id)
 ), judged AS (
-  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM feats
+  SELECT *, md5(text) AS print, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM feats
 ), rungs(rule, rung, cut) AS (VALUES {rungs}),
-known AS (
+labelled AS (
   SELECT j.*, quality FROM judged j
   JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed
+), known AS (
+  SELECT stratum, print, min(quality) AS quality, {", ".join(f"min({c}) AS {c}" for c in FEATURES)} FROM labelled GROUP BY stratum, print
 ), strata AS (
   SELECT stratum, count(*) FILTER (WHERE quality = 1) AS n, {delta} / (count(*) OVER () * {len(RULES)}) AS level FROM known GROUP BY stratum
 ), bounds AS (

@@ -247,6 +247,111 @@ FROM keyed l LEFT JOIN frequent f ON f.k = l.k
 GROUP BY l.doc_id
 """
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def _op11_sql(k: int = 10) -> str:
+    from .lexical_search import LOWER, TERM, UPPER
+
+    terms = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')"
+    return rf"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS row, {terms} AS terms FROM documents),
+lengths AS (SELECT doc_id, row, len(terms) AS n FROM docs WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS n_docs, sum(n)::bigint AS n_terms FROM lengths),
+asked AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+postings AS (
+  SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint AS w FROM postings, whole GROUP BY term, n_docs
+), scores AS (
+  SELECT item_id, row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::bigint AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (row), whole GROUP BY item_id, row
+)
+SELECT item_id, rank::int AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores JOIN lengths USING (row) WHERE score > 0)
+WHERE rank <= {k}
+"""
+
+
+def op12_talk_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .talk_repair import repair_report
+
+    return repair_report(_table(spark, sf_dir, "conversations"))
+
+
+#: Left to right through the places of the expression, a row at a time; crc32 from its definition.
+OP12_SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))
+), talk AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS draw
+  FROM conversations, steps
+), hurt AS (
+  SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE draw WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM talk WHERE draw <> 0
+), placed AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM hurt
+), seen AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed
+), rows AS (
+  SELECT *, NOT blank AND NOT again AND NOT regexp_matches(text, '[.!?][ 	-]*$') AS unfinished FROM seen
+), numbers AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate,
+    count(*) FILTER (WHERE unfinished) AS truncated, count(*) FILTER (WHERE before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n
+  FROM rows GROUP BY conv_id
+), moves(p, q, initial) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')),
+edits AS (
+  SELECT p, q, initial, 'K' AS edit, 0 AS price FROM moves
+  UNION ALL SELECT p, q, NULL, 'R', 2 FROM moves WHERE initial <> 's'
+  UNION ALL SELECT p, p, NULL, 'D', 3 FROM range(4) r(p)
+), fills(p, q, price, letters) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 2, 'I'), (0, 3, 4, 'II'), (1, 2, 2, 'I'), (1, 3, 4, 'II'), (2, 3, 2, 'I'), (3, 2, 2, 'I')),
+walk(conv_id, pos, place, best) AS (
+  SELECT conv_id, 0::bigint, q::bigint, printf('%08d', price) || letters FROM numbers, fills WHERE p = 0
+  UNION ALL
+  SELECT r.conv_id, r.pos, f.q::bigint,
+    min(printf('%08d', substr(best, 1, 8)::bigint + e.price + f.price + CASE WHEN unfinished AND edit <> 'D' THEN 1 ELSE 0 END) || substr(best, 9) || edit || letters)
+  FROM walk w JOIN rows r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.pos = w.pos + 1
+  JOIN edits e ON e.p = w.place AND (e.initial IS NULL OR e.initial = r.initial) AND (edit = 'D' OR NOT (blank OR again)) JOIN fills f ON f.p = e.q
+  GROUP BY r.conv_id, r.pos, f.q
+), ends AS (
+  SELECT n.*, substr(best, 1, 8)::bigint AS cost, substr(best, 9) AS audit
+  FROM numbers n JOIN (SELECT conv_id, pos, min(best) AS best FROM walk WHERE place IN (0, 3) GROUP BY ALL) w ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.pos = n.n
+), letters AS (
+  SELECT conv_id, i, substr(audit, i, 1) AS edit, sum((substr(audit, i, 1) <> 'I')::int) OVER o AS pos, sum((substr(audit, i, 1) <> 'D')::int) OVER o AS slot, sum((substr(audit, i, 1) <> 'D')::int) OVER (PARTITION BY conv_id) AS n
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM ends) WINDOW o AS (PARTITION BY conv_id ORDER BY i)
+), lines AS (
+  SELECT l.conv_id, i, CASE edit WHEN 'K' THEN role ELSE CASE WHEN (slot - n % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE edit WHEN 'I' THEN '' ELSE text END AS line
+  FROM letters l LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.pos = l.pos WHERE edit <> 'D'
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (SELECT conv_id, string_agg(line, chr(10) ORDER BY i) AS said FROM lines GROUP BY conv_id) s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_groups
+
+    return exact_groups(_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+SELECT doc_id, first(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY same) AS group_size,
+  doc_id IS NOT DISTINCT FROM first(doc_id) OVER w AND n = first(n) OVER w AS kept, sha256(same) AS text_sha256
+FROM (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[ 	-]', '', 'g') AS same FROM documents)
+WINDOW w AS (PARTITION BY same ORDER BY n DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+"""
+
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
@@ -259,6 +364,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_lm_score": op9_lm_score,
     "op10_line_dedup": op10_line_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_talk_repair": op12_talk_repair,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": _op2_sql(),
@@ -266,6 +374,9 @@ ORACLES: dict[str, str] = {
     "op5_secret_scan": _op5_sql(),
     "op7_vector_dedup": OP7_SQL,
     "op10_line_dedup": OP10_SQL,
+    "op11_lexical_search": _op11_sql(),
+    "op12_talk_repair": OP12_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
 
 

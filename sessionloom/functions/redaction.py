@@ -37,10 +37,14 @@ UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f
 MARK = r"\[REDACTED_(SECRET|PATH)_[0-9a-f]{16}\]"
 
 
+def already_redacted(c: Column) -> Column:
+    return c.contains("[REDACTED_") | c.contains("REDACTED_SECRET_") | c.contains("REDACTED_PATH_")
+
+
 def skipped(c: Column) -> Column:
     """Blank, already redacted, a digest of 40 or 64 hexadecimal digits, or a UUID."""
     bare = trim_space(c)
-    return (bare == "") | bare.contains("[REDACTED_") | bare.contains("REDACTED_SECRET_") | bare.contains("REDACTED_PATH_") | bare.rlike("^(?:[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$") | bare.rlike(UUID)
+    return (bare == "") | already_redacted(bare) | bare.rlike("^(?:[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$") | bare.rlike(UUID)
 
 
 def looks_random(c: Column) -> Column:
@@ -52,31 +56,6 @@ def marker(kind: str, value: Column) -> Column:
     return F.concat(F.lit(f"[REDACTED_{kind}_"), F.substring(F.sha2(value, 256), 1, 16), F.lit("]"))
 
 
-def replace_pass(text: Column, name: str, kind: str, pattern: str, group: int) -> Column:
-    """One pass: the texts between matches interleaved with what becomes of each match."""
-    gaps = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-
-    def outcome(m: Column, v: Column) -> Column:
-        bare = strip_punctuation(v)
-        tail = F.substring(v, F.length(bare) + 1, F.length(v))
-        head = F.substring(m, F.lit(1), F.length(m) - F.length(v))
-        touch = ~skipped(bare) & (looks_random(bare) if name == "high_entropy" else F.lit(True))
-        return F.when(touch, F.concat(head, marker(kind, bare), tail)).otherwise(m)
-
-    parts = F.transform(F.arrays_zip(gaps.alias("g"), whole.alias("m"), value.alias("v")), lambda x: F.concat(x["g"], F.coalesce(outcome(x["m"], x["v"]), F.lit(""))))
-    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
-
-
-def redact(df: DataFrame, text: str, out: str) -> DataFrame:
-    """``df`` with column ``out``: ``text`` after all passes, values as hash markers. Nulls and blanks stay."""
-    df = df.withColumn(out, F.col(text))
-    for name, kind, pattern, group in PASSES:
-        df = df.withColumn(out, replace_pass(F.col(out), name, kind, pattern, group))
-    return df
-
-
 #: What a text must hold, in lower case, for a pattern to match: any of these.
 NEEDED = {
     "private_key": ("-----begin ",),
@@ -89,6 +68,68 @@ NEEDED = {
     "secret_path": ("~/", "./"),
     "windows_path": (":\\",),
 }
+#: What it must match as well, where key words are common or there are none; cheap to look for.
+SHAPE = {
+    "jwt": r"[A-Za-z0-9_-]{10}\.[A-Za-z0-9_-]{10}",
+    "assignment": rf"(?i)(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|JWT)[A-Z0-9_]*{_S}*[:=]",
+    "space_value": rf"(?i)(?:KEY|TOKEN|PASSWORD|PASSWD|JWT){_S}",
+    "high_entropy": r"[A-Za-z0-9+/=_-]{32}",
+}
+
+
+def may_match(text: Column, name: str) -> Column:
+    """False only if the pass's pattern can't match: the text lacks its key words or shape. Markers hold neither, so the text before all passes tells."""
+    low = F.lower(text)
+    words = [low.contains(x) for x in NEEDED.get(name, ())]
+    tests = [reduce(lambda a, b: a | b, words)] if words else []
+    return reduce(lambda a, b: a & b, [*tests, *([text.rlike(SHAPE[name])] if name in SHAPE else [])])
+
+
+def _parts(text: Column, name: str, kind: str, pattern: str, group: int) -> Column:
+    """One pass as an array of (gap, said, marker): the text before each match, what becomes of the match, its marker (null if it stays)."""
+    gaps = F.split(text, pattern, -1)
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+
+    def outcome(gap: Column, m: Column, v: Column) -> Column:
+        bare = v if group else strip_punctuation(v)
+        touch = ~skipped(bare) & (looks_random(bare) if name == "high_entropy" else F.lit(True))
+        mark = F.when(touch, marker(kind, bare))
+        tail = F.substring(v, F.length(bare) + 1, F.length(v))
+        head = F.substring(m, F.lit(1), F.length(m) - F.length(v))
+        return F.struct(gap.alias("gap"), F.coalesce(F.concat(head, mark, tail), m, F.lit("")).alias("said"), mark.alias("marker"))
+
+    return F.transform(F.arrays_zip(gaps.alias("g"), whole.alias("m"), value.alias("v")), lambda x: outcome(x["g"], x["m"], x["v"]))
+
+
+def _made(parts: Column, number: Column) -> Column:
+    """A pass's replacements in order, as (pass, pos, marker)."""
+    return F.filter(F.transform(parts, lambda x, n: F.struct(number.alias("pass"), n.alias("pos"), x["marker"].alias("marker"))), lambda x: x["marker"].isNotNull())
+
+
+def replace_pass(text: Column, name: str, kind: str, pattern: str, group: int) -> Column:
+    """One pass: the texts between matches interleaved with what becomes of each match."""
+    return F.when(text.rlike(pattern), F.array_join(F.transform(_parts(text, name, kind, pattern, group), lambda x: F.concat(x["gap"], x["said"])), "")).otherwise(text)
+
+
+def redact(df: DataFrame, text: str, out: str, events: str | None = None) -> DataFrame:
+    """``df`` with column ``out``: ``text`` after all passes, values as hash markers. Nulls and blanks stay.
+
+    With ``events``, that column has every replacement in the order in which it
+    is made, as (pass, pos, marker).
+    """
+    guard, parts = "_may", "_parts"
+    df = df.withColumns({out: F.col(text), guard: F.array(*(F.coalesce(may_match(F.col(text), name), F.lit(False)) for name, *_ in PASSES))})
+    if events:
+        df = df.withColumn(events, F.array().cast("array<struct<pass:int,pos:int,marker:string>>"))
+    for i, (name, kind, pattern, group) in enumerate(PASSES):
+        df = df.withColumn(parts, F.when(F.col(guard)[i] & F.col(out).rlike(pattern), _parts(F.col(out), name, kind, pattern, group)))
+        found = F.col(parts).isNotNull()
+        after = {out: F.when(found, F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], x["said"])), "")).otherwise(F.col(out))}
+        if events:
+            after[events] = F.when(found, F.concat(F.col(events), _made(F.col(parts), F.lit(i)))).otherwise(F.col(events))
+        df = df.withColumns(after)
+    return df.drop(guard, parts)
 
 
 def hits(text: Column, name: str) -> Column:
@@ -100,20 +141,23 @@ def hits(text: Column, name: str) -> Column:
     return F.when(reduce(lambda a, b: a | b, (low.contains(x) for x in NEEDED[name])), found).otherwise(0)
 
 
-def placeholders(df: DataFrame, group: str, order: list[str], text: str) -> DataFrame:
-    """(group, kind, marker, number): hash markers numbered by first appearance per group and kind."""
-    found = df.select(group, *order, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(MARK), F.lit(0))).alias("pos", "marker"))
-    first = found.groupBy(group, "marker").agg(F.min(F.struct(*order, "pos")).alias("at")).withColumn("kind", F.lower(F.regexp_extract("marker", MARK, 1)))
+def placeholders(df: DataFrame, group: str, order: list[str], events: str) -> DataFrame:
+    """(group, kind, marker, number): markers numbered per group and kind by where they are first made: field, then pass, then place."""
+    found = df.select(group, *order, F.inline_outer(events)).filter("marker IS NOT NULL")  # an inner one would pull all passes into a filter
+    first = found.groupBy(group, "marker").agg(F.min(F.struct(*order, "pass", "pos")).alias("at")).withColumn("kind", F.lower(F.regexp_extract("marker", MARK, 1)))
     return first.select(group, "kind", "marker", F.row_number().over(W.partitionBy(group, "kind").orderBy("at")).alias("number"))
 
 
-def numbered(df: DataFrame, group: str, order: list[str], text: str, out: str) -> DataFrame:
-    """``df`` with ``out``: the markers of ``text`` as ``[REDACTED_KIND_nnn]``, numbered per group by first appearance."""
-    table = placeholders(df, group, order, text).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("marker", F.format_string("[REDACTED_%s_%03d]", F.upper("kind"), F.col("number"))))).alias("_numbers"))
+def numbered(df: DataFrame, group: str, order: list[str], text: str, events: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the markers of ``text`` as ``[REDACTED_KIND_nnn]``, numbered per group as ``placeholders`` does.
+
+    Markers that the text brought along, of which there is no event, stay.
+    """
+    table = placeholders(df, group, order, events).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("marker", F.format_string("[REDACTED_%s_%03d]", F.upper("kind"), F.col("number"))))).alias("_numbers"))
     joined = df.join(table.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")), "left")
     parts = F.arrays_zip(F.split(text, MARK, -1).alias("g"), F.regexp_extract_all(F.col(text), F.lit(MARK), F.lit(0)).alias("m"))
-    whole = F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(F.when(x["m"].isNotNull(), F.element_at("_numbers", x["m"])), F.lit("")))), "")
-    return joined.withColumn(out, F.when(F.col("_numbers").isNull(), F.col(text)).otherwise(whole)).drop("_group", "_numbers")
+    whole = F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(F.element_at("_numbers", x["m"]), x["m"], F.lit("")))), "")
+    return joined.withColumn(out, F.when(F.col("_numbers").isNull() | (F.size(events) == 0), F.col(text)).otherwise(whole)).drop("_group", "_numbers")
 
 
 #: A string of a JSON text, keys included, once escaped backslashes and quotes are stood in for by characters that JSON texts don't hold.
@@ -147,11 +191,15 @@ def redact_json(df: DataFrame, key: list[str], json: str, out: str) -> DataFrame
     return joined.withColumn(out, F.when(F.col(json).isNotNull(), whole)).drop("_tokens", *(f"_k_{k}" for k in key))
 
 
-def redact_metadata(df: DataFrame, text: str, out: str) -> DataFrame:
+def redact_metadata(df: DataFrame, text: str, out: str, events: str | None = None) -> DataFrame:
     """``redact``; a non-blank value that no pass touches is a secret as a whole (times, revisions, branches of a session)."""
-    done = redact(df, text, out)
-    whole = (F.col(out) == F.col(text)) & (trim_space(F.col(text)) != "") & ~F.col(text).contains("[REDACTED_")
-    return done.withColumn(out, F.when(whole, marker("SECRET", F.col(text))).otherwise(F.col(out)))
+    done = redact(df, text, out, events)
+    whole = (F.col(out) == F.col(text)) & (trim_space(F.col(text)) != "") & ~already_redacted(F.col(text))
+    mark = marker("SECRET", F.col(text))
+    after = {out: F.when(whole, mark).otherwise(F.col(out))}
+    if events:  # after all passes
+        after[events] = F.when(whole, F.array(F.struct(F.lit(len(PASSES)).alias("pass"), F.lit(0).alias("pos"), mark.alias("marker")))).otherwise(F.col(events))
+    return done.withColumns(after)
 
 
 def summary(df: DataFrame, group: str, order: list[str], text: str) -> DataFrame:

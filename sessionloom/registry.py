@@ -441,7 +441,7 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _redacted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as sessions whose fields are their lines, redacted and numbered over the document."""
     lines = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return redaction.numbered(written(redaction.redact(lines, "text", "redacted")), "doc_id", ["line"], "redacted", "shown")
+    return redaction.numbered(written(redaction.redact(lines, "text", "redacted", "events")), "doc_id", ["line"], "redacted", "events", "shown")
 
 
 @_query()

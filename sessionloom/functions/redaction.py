@@ -70,16 +70,15 @@ NEEDED = {
 }
 #: What it must match as well, where key words are common or there are none; cheap to look for.
 SHAPE = {
-    "jwt": r"[A-Za-z0-9_-]{10}\.[A-Za-z0-9_-]{10}",
+    "jwt": r"\.(?<=[A-Za-z0-9_-]{10}\.)[A-Za-z0-9_-]{10}",
     "assignment": rf"(?i)(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD|JWT)[A-Z0-9_]*{_S}*[:=]",
     "space_value": rf"(?i)(?:KEY|TOKEN|PASSWORD|PASSWD|JWT){_S}",
-    "high_entropy": r"[A-Za-z0-9+/=_-]{32}",
+    "high_entropy": r"(?:^|[^A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{32}",
 }
 
 
-def may_match(text: Column, name: str) -> Column:
-    """False only if the pass's pattern can't match: the text lacks its key words or shape. Markers hold neither, so the text before all passes tells."""
-    low = F.lower(text)
+def may_match(text: Column, low: Column, name: str) -> Column:
+    """False only if the pass's pattern can't match: the text, ``low`` in lower case, lacks its key words or shape. Markers hold neither, so the text before all passes tells."""
     words = [low.contains(x) for x in NEEDED.get(name, ())]
     tests = [reduce(lambda a, b: a | b, words)] if words else []
     return reduce(lambda a, b: a & b, [*tests, *([text.rlike(SHAPE[name])] if name in SHAPE else [])])
@@ -118,8 +117,9 @@ def redact(df: DataFrame, text: str, out: str, events: str | None = None) -> Dat
     With ``events``, that column has every replacement in the order in which it
     is made, as (pass, pos, marker).
     """
-    guard, parts = "_may", "_parts"
-    df = df.withColumns({out: F.col(text), guard: F.array(*(F.coalesce(may_match(F.col(text), name), F.lit(False)) for name, *_ in PASSES))})
+    guard, parts, low = "_may", "_parts", "_low"
+    df = df.withColumns({out: F.col(text), low: F.lower(text)})
+    df = df.withColumn(guard, F.array(*(F.coalesce(may_match(F.col(text), F.col(low), name), F.lit(False)) for name, *_ in PASSES))).drop(low)
     if events:
         df = df.withColumn(events, F.array().cast("array<struct<pass:int,pos:int,marker:string>>"))
     for i, (name, kind, pattern, group) in enumerate(PASSES):
@@ -148,16 +148,21 @@ def placeholders(df: DataFrame, group: str, order: list[str], events: str) -> Da
     return first.select(group, "kind", "marker", F.row_number().over(W.partitionBy(group, "kind").orderBy("at")).alias("number"))
 
 
-def numbered(df: DataFrame, group: str, order: list[str], text: str, events: str, out: str) -> DataFrame:
+def numbered(df: DataFrame, group: str, order: list[str], text: str, events: str, out: str, made: str | None = None) -> DataFrame:
     """``df`` with ``out``: the markers of ``text`` as ``[REDACTED_KIND_nnn]``, numbered per group as ``placeholders`` does.
 
-    Markers that the text brought along, of which there is no event, stay.
+    Markers that the text brought along, of which there is no event, stay. With
+    ``made``, that column has the placeholder of every event in order. ``df`` is
+    read twice: write it before.
     """
     table = placeholders(df, group, order, events).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("marker", F.format_string("[REDACTED_%s_%03d]", F.upper("kind"), F.col("number"))))).alias("_numbers"))
     joined = df.join(table.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group")), "left")
     parts = F.arrays_zip(F.split(text, MARK, -1).alias("g"), F.regexp_extract_all(F.col(text), F.lit(MARK), F.lit(0)).alias("m"))
     whole = F.array_join(F.transform(parts, lambda x: F.concat(x["g"], F.coalesce(F.element_at("_numbers", x["m"]), x["m"], F.lit("")))), "")
-    return joined.withColumn(out, F.when(F.col("_numbers").isNull() | (F.size(events) == 0), F.col(text)).otherwise(whole)).drop("_group", "_numbers")
+    shown = {out: F.when(F.col("_numbers").isNull() | (F.size(events) == 0), F.col(text)).otherwise(whole)}
+    if made:
+        shown[made] = F.transform(events, lambda x: F.element_at("_numbers", x["marker"]))
+    return joined.withColumns(shown).drop("_group", "_numbers")
 
 
 #: A string of a JSON text, keys included, once escaped backslashes and quotes are stood in for by characters that JSON texts don't hold.
@@ -165,6 +170,13 @@ JSON_STRING = '"[^"]*"'
 _STAND_INS = (("\\\\", "\x01"), ('\\"', "\x02"))
 
 
+def swap(c: Column, back: bool = False) -> Column:
+    """JSON text with its escaped backslashes and quotes stood in for, or back."""
+    for plain, other in reversed(_STAND_INS) if back else _STAND_INS:
+        c = F.replace(c, F.lit(other if back else plain), F.lit(plain if back else other))
+    return c
+
+
 def redact_json(df: DataFrame, key: list[str], json: str, out: str) -> DataFrame:
     """``df`` with ``out``: the JSON text of ``json`` with every string in it redacted, at any depth, keys included; other values stay.
 
@@ -172,11 +184,6 @@ def redact_json(df: DataFrame, key: list[str], json: str, out: str) -> DataFrame
     on them, and go back to their places; as markers name their values,
     different keys stay different. Nulls stay null.
     """
-    def swap(c: Column, back: bool = False) -> Column:
-        for plain, other in reversed(_STAND_INS) if back else _STAND_INS:
-            c = F.replace(c, F.lit(other if back else plain), F.lit(plain if back else other))
-        return c
-
     held = df.select(*key, swap(F.col(json)).alias("_json"))
     each = held.select(*key, F.posexplode(F.regexp_extract_all("_json", F.lit(JSON_STRING), F.lit(0))).alias("_pos", "_token")).withColumn("_token", swap(F.col("_token"), True))
     plain = each.withColumn("_plain", F.from_json(F.concat(F.lit("["), "_token", F.lit("]")), "array<string>")[0])

@@ -164,24 +164,28 @@ def of_repo(rows: DataFrame, value: str) -> DataFrame:
     return rows.filter(same)
 
 
-def documents(records: DataFrame, hook_ids: DataFrame | None = None) -> DataFrame:
-    """Sound sessions as one row each: ids, times, context and the counts of turns, calls, changes, commands and tests.
-
-    ``hook_ids`` (file, hook_session_id, event_type, event_at) overrides a
-    transcript's own id, which is then kept as ``source_transcript_session_id``;
-    the time of a ``session_end`` event without one is the transcript's end.
-    """
-    base = sessions(records).filter("problem IS NULL")
+def _with_ids(base: DataFrame, hook_ids: DataFrame | None) -> DataFrame:
+    """The session's id, the transcript's own where it differs, and the event's time."""
     if hook_ids is not None:
         base = base.join(hook_ids.withColumnRenamed("file", "h_file"), F.col("file") == F.col("h_file"), "left").drop("h_file")
     else:
         base = base.withColumns({c: F.lit(None).cast("string") for c in ("hook_session_id", "event_type", "event_at")})
     session_id = F.coalesce("hook_session_id", "transcript_session_id")
-    base = base.withColumns({
+    return base.withColumns({
         "session_id": session_id,
         "source_transcript_session_id": F.when(F.col("transcript_session_id") != session_id, F.col("transcript_session_id")),
         "event_at": F.coalesce("event_at", F.when(F.col("event_type") == "session_end", F.col("ended_at"))),
     }).filter("session_id IS NOT NULL")
+
+
+def documents(records: DataFrame, hook_ids: DataFrame | None = None) -> DataFrame:
+    """Sound sessions as one row each: ids, times, context and the counts of turns, calls, changes, commands and tests.
+
+    ``hook_ids`` (file, hook_session_id, event_type, event_at) overrides a
+    transcript's own id, which is then kept as ``source_transcript_session_id``;
+    the time of a ``session_end`` event without one is the transcript's end.
+    """
+    base = _with_ids(sessions(records).filter("problem IS NULL"), hook_ids)
     calls = tool_calls(records)
     counts = {"turns": turns(records), "tool_calls": calls, "file_changes": file_changes(calls), "commands": commands(calls), "tests": commands(calls).filter(is_test(F.col("command")))}
     for name, rows in counts.items():
@@ -189,6 +193,35 @@ def documents(records: DataFrame, hook_ids: DataFrame | None = None) -> DataFram
     return base.drop("n_ids", "n_records", "problem")
 
 
+#: What a session document says of itself.
+SESSION_VERSION, SOURCE = "session.v1", "claude_code"
+
+
+def session_rows(records: DataFrame, hook_ids: DataFrame | None = None) -> DataFrame:
+    """Sound sessions as documents, one row each, with their turns, calls, changes and commands as arrays in order.
+
+    Ids and times as in ``documents``; ``file`` is the transcript's path. A
+    session's arrays are as long as its file.
+    """
+    base = _with_ids(sessions(records).filter("problem IS NULL"), hook_ids)
+    calls = written(tool_calls(records))
+    parts = {
+        "turns": (turns(records), "line_no", {"role": "role", "timestamp": "at", "content": "text"}),
+        "tool_calls": (calls, "position", {"tool_call_id": "call_id", "name": "name", "timestamp": "at", "input": "input", "success": "success", "result": "result", "result_timestamp": "result_at"}),
+        "file_changes": (file_changes(calls), "position", {"path": "path", "operation": "operation", "timestamp": "at"}),
+        "commands": (commands(calls), "position", {"command": "command", "timestamp": "at", "success": "success", "output": "output"}),
+    }
+    for name, (rows, place, fields) in parts.items():
+        row = F.struct(place, F.struct(*(F.col(c).alias(k) for k, c in fields.items())).alias("r"))
+        per = rows.groupBy(F.col("file").alias("n_file")).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias(name))
+        base = base.join(per, F.col("file") == F.col("n_file"), "left").drop("n_file").withColumn(name, F.coalesce(name, F.array().cast(per.schema[name].dataType.simpleString())))
+    none = F.lit(None).cast("string")
+    return base.select(
+        "session_id", F.lit(SESSION_VERSION).alias("schema_version"), F.lit(SOURCE).alias("source"), F.col("model").alias("agent_model"), "workspace_id", "repo_id", F.col("file").alias("transcript_path"), "source_transcript_session_id",
+        "cwd", "started_at", "ended_at", none.alias("source_event_id"), "git_remote", "git_branch", "git_head_sha", none.alias("provenance"), *parts,
+    )
+
+
 def commands(calls: DataFrame) -> DataFrame:
     text = F.nullif(trim_space(F.get_json_object("input", "$.command")), F.lit(""))
     return calls.filter(F.lower("name") == "bash").withColumn("command", text).filter("command IS NOT NULL").select("file", "position", "at", "command", "success", F.col("result").alias("output"))

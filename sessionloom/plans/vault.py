@@ -40,7 +40,7 @@ def kind_of(path: Column) -> Column:
     return F.when(path.contains("/subagents/"), TRANSCRIPT_KINDS[1]).otherwise(TRANSCRIPT_KINDS[0])
 
 
-def event_records(payloads: DataFrame, capture_time: str) -> DataFrame:
+def event_records(payloads: DataFrame, capture_time: str | Column) -> DataFrame:
     """``payloads`` (session_id, transcript_path, cwd, hook_event_name, timestamp) as events, with ``problem`` (null if sound).
 
     Fields are trimmed. The time is the payload's, else that of the capture;

@@ -32,13 +32,13 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import registry_sessions  # noqa: F401  registers its own
+    from . import registry_refinery, registry_sessions  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import registry_sessions  # noqa: F401
+    from . import registry_refinery, registry_sessions  # noqa: F401
 
     return dict(ORACLES)
 
@@ -534,14 +534,24 @@ def turn_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return talk.withColumn("before", before).filter("before IS NOT NULL").select("conv_id", "turn", line_diff("before", "lined").alias("diff"))
 
 
-@_query("SELECT conv_id::varchar AS session_id, 'SessionEnd' AS event_name, 'talk/' || min(turn) || '.jsonl' AS transcript_path FROM conversations GROUP BY conv_id")
+@_query("""WITH p AS (SELECT conv_id % 9 AS fault, conv_id::varchar AS session_id, 'talk/' || min(turn) || '.jsonl' AS transcript_path FROM conversations GROUP BY conv_id)
+SELECT session_id, CASE fault WHEN 8 THEN 'session_start' ELSE 'SessionEnd' END AS event_name, CASE WHEN fault IN (1, 2) THEN '' ELSE transcript_path END AS transcript_path, '/w/' || session_id AS cwd, fault IN (1, 2) AS raw_missing, NULL AS problem FROM p WHERE fault NOT BETWEEN 3 AND 7
+UNION ALL SELECT CASE fault WHEN 3 THEN '' ELSE session_id END, NULL, NULL, NULL, NULL,
+  CASE fault WHEN 3 THEN 'missing required field session_id' WHEN 4 THEN 'missing required field cwd' WHEN 5 THEN 'missing required field hook_event_name' WHEN 6 THEN 'timestamp must be RFC3339' ELSE 'unsupported event name Stop' END FROM p WHERE fault BETWEEN 3 AND 7""")
 def spool_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as hook payloads in a spool, drained by a stream and read back."""
+    """Conversations as hook payloads in a spool, some with a gap, drained by a stream and read back, the refused ones with their problem."""
     from .streaming.drain import drain_spool
 
     base = f"{shared_dir(spark)}/spool-{uuid.uuid4().hex}"
-    path = F.concat(F.lit("talk/"), F.min("turn").cast("string"), F.lit(".jsonl"))
-    payload = F.to_json(F.struct(F.col("conv_id").cast("string").alias("session_id"), F.col("path").alias("transcript_path"), F.lit("SessionEnd").alias("hook_event_name")))
-    _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(path.alias("path")).select(payload.alias("value")).write.text(f"{base}/in")
+    fault = F.col("conv_id") % 9
+    path = F.concat(F.lit("talk/"), F.col("first").cast("string"), F.lit(".jsonl"))
+    sid = F.col("conv_id").cast("string")
+    fields = {
+        "session_id": F.when(fault == 3, "  ").otherwise(sid), "transcript_path": F.when(fault == 1, " ").when(fault != 2, path), "cwd": F.when(fault != 4, F.concat(F.lit("/w/"), sid)),
+        "hook_event_name": F.when(fault == 7, "Stop").when(fault == 8, "session_start").when(fault != 5, "SessionEnd"), "timestamp": F.when(fault == 6, "yesterday").when(fault == 0, "2024-05-01T10:00:00Z"),
+    }
+    talk = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("first"))
+    talk.select(F.to_json(F.struct(*(c.alias(k) for k, c in fields.items()))).alias("value")).write.text(f"{base}/in")
     drain_spool(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", line_payloads=True)
-    return spark.read.parquet(f"{base}/out").select("session_id", "event_name", "transcript_path")
+    good = spark.read.parquet(f"{base}/out").select("session_id", "event_name", "transcript_path", "cwd", "raw_missing", F.lit(None).cast("string").alias("problem"))
+    return good.unionByName(spark.read.parquet(f"{base}/out_quarantine").select("session_id", "problem"), allowMissingColumns=True)

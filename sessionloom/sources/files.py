@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import trim_space
+from ..functions.commands import is_safe_id
+from ..functions.text import quoted, trim_space
 from ..functions.timeparse import bad_time
+from ..plans.vault import event_records
 
 MAX_PAYLOAD = 1 << 20
 MAX_BLOB = 50 << 20
@@ -25,16 +29,56 @@ def transcript_files(spark: SparkSession, path: str) -> DataFrame:
     return files.filter(~F.col("path").contains("/memory/")).select("path", kind.alias("kind"), "length")
 
 
-def payloads(raw: DataFrame, json: str = "value") -> DataFrame:
-    """Hook payloads with ``problem`` (null if sound): at most 1 MiB, an object, three required fields, a sound time if any."""
-    get = lambda k: F.nullif(trim_space(F.get_json_object(json, f"$.{k}")), F.lit(""))
-    df = raw.withColumns({"session_id": get("session_id"), "transcript_path": get("transcript_path"), "event_name": get("hook_event_name"), "timestamp": get("timestamp")})
-    problem = (
+def payloads(raw: DataFrame, json: str = "value", capture_time: Column | None = None) -> DataFrame:
+    """Hook payloads as events, with ``problem`` (null if sound): at most 1 MiB, an object whose fields are strings, then the rules of ``event_records``.
+
+    A blank transcript_path is no fault: such an event's raw content is missing
+    (``raw_missing``). ``event_name`` is the hook's name for the event.
+    """
+    v = F.try_parse_json(json)
+    inner = {c: F.try_variant_get(v, f"$.{c}", "variant") for c in ("session_id", "transcript_path", "cwd", "hook_event_name", "timestamp")}
+    text = {c: F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(v, f"$.{c}", "string")) for c, x in inner.items()}
+    odd = reduce(lambda a, b: a | b, (F.coalesce(~F.schema_of_variant(x).isin("STRING", "VOID"), F.lit(False)) for x in inner.values()))
+    body = (
         F.when(F.octet_length(json) > MAX_PAYLOAD, "payload too large")
         .when(trim_space(F.coalesce(F.col(json), F.lit(""))) == "", "payload empty")
-        .when(F.try_parse_json(json).isNull(), "not JSON")
-        .when(F.col("session_id").isNull() | F.col("transcript_path").isNull() | F.col("event_name").isNull(), "required field missing")
-        .when(bad_time(F.col("timestamp")), "time is not RFC 3339")
+        .when(v.isNull() | ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) | odd, "not JSON")
+    )
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'") if capture_time is None else capture_time
+    told = event_records(raw.withColumns({**text, "_body": body}), now)
+    return told.withColumns({"problem": F.coalesce("_body", "problem"), "raw_missing": F.col("transcript_path") == ""}).withColumnRenamed("hook_event_name", "event_name").drop("_body")
+
+
+# What a stored event may say.
+EVENT_VERSION, EVENT_SOURCE = "event.v1", "claude_code"
+TIMESTAMP_SOURCES = ("", "hook_payload", "capture_time", "transcript_end")
+
+
+def stored_events(raw: DataFrame, json: str = "value", file: str = "file") -> DataFrame:
+    """Events as a spool keeps them (one JSON object a file), trimmed, with ``problem`` (null if sound).
+
+    An event's file is named by its id; a transcript's path may be blank only if
+    the event says that its raw content is missing.
+    """
+    get = lambda path: trim_space(F.coalesce(F.get_json_object(json, f"$.{path}"), F.lit("")))
+    paths = {"schema_version": "schema_version", "event_id": "event_id", "source": "source", "event_type": "event_type", "timestamp": "timestamp", "timestamp_source": "timestamp_source", "session_id": "session_ref.session_id", "transcript_path": "session_ref.transcript_path", "cwd": "workspace.cwd"}
+    df = raw.withColumns({**{c: get(path) for c, path in paths.items()}, "raw_missing": F.coalesce(F.get_json_object(json, "$.raw.raw_missing") == "true", F.lit(False)), "digest": F.get_json_object(json, "$.raw.digest")})
+    no = lambda c: F.col(c) == ""
+    known = lambda c, what: F.concat(F.lit(f"unsupported {what} "), quoted(F.col(c)))
+    problem = (
+        F.when(~F.coalesce(F.schema_of_variant(F.try_parse_json(json)).startswith("OBJECT"), F.lit(False)), "invalid capture event JSON")
+        .when(F.col("schema_version") != EVENT_VERSION, known("schema_version", "schema_version"))
+        .when(no("event_id"), "missing event_id")
+        .when(~is_safe_id(F.col("event_id")), F.concat(F.lit("event_id "), quoted(F.col("event_id")), F.lit(" is not a safe artifact id")))
+        .when(F.col(file) != F.concat("event_id", F.lit(".json")), F.concat(F.lit("filename "), quoted(F.col(file)), F.lit(" does not match event_id "), quoted(F.col("event_id"))))
+        .when(F.col("source") != EVENT_SOURCE, known("source", "source"))
+        .when(~F.col("event_type").isin("session_start", "session_end"), known("event_type", "event_type"))
+        .when(no("timestamp"), "missing timestamp")
+        .when(bad_time(F.col("timestamp")), "timestamp must be RFC3339")
+        .when(~F.col("timestamp_source").isin(*TIMESTAMP_SOURCES), known("timestamp_source", "timestamp_source"))
+        .when(no("session_id"), "missing session_ref.session_id")
+        .when(no("transcript_path") & ~F.col("raw_missing"), "missing session_ref.transcript_path")
+        .when(no("cwd"), "missing workspace.cwd")
     )
     return df.withColumn("problem", problem)
 

@@ -29,11 +29,11 @@ def drain_spool(spark: SparkSession, spool: str, out: str, checkpoint: str, line
 
     def process(batch: DataFrame, _: int) -> None:
         batch.persist()
-        good = batch.filter("problem IS NULL").groupBy("session_id").agg(F.min_by(F.struct("file", "event_name", "transcript_path", "timestamp"), "file").alias("r")).select("session_id", "r.*")
+        good = batch.filter("problem IS NULL").groupBy("session_id").agg(F.min_by(F.struct("file", "event_name", "event_type", "transcript_path", "cwd", "timestamp", "raw_missing"), "file").alias("r")).select("session_id", "r.*")
         if (done := _rows(spark, out, "session_id")) is not None:
             good = good.join(done, "session_id", "left_anti")
         good.write.mode("append").parquet(out)
-        bad = batch.filter("problem IS NOT NULL").select("file", "problem")
+        bad = batch.filter("problem IS NOT NULL").select("file", "session_id", "problem")
         if (seen := _rows(spark, out + "_quarantine", "file")) is not None:
             bad = bad.join(seen, "file", "left_anti")
         bad.write.mode("append").parquet(out + "_quarantine")

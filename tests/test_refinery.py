@@ -192,12 +192,12 @@ def test_payloads_and_drain(spark, tmp_path):
 
     spool, out, mark = (str(tmp_path / x) for x in ("in", "out", "mark"))
     (tmp_path / "in").mkdir()
-    event = lambda s, **more: json.dumps({"session_id": s, "transcript_path": "/t", "hook_event_name": "SessionEnd", **more})
-    for name, body in {"b.json": event("1", timestamp="2024-01-01T00:00:00Z"), "a.json": event("1"), "c.json": "{", "d.json": event("2", timestamp="yesterday")}.items():
+    event = lambda s, **more: json.dumps({"session_id": s, "cwd": "/w", "hook_event_name": "SessionEnd", **more})
+    for name, body in {"b.json": event("1", timestamp="2024-01-01T00:00:00Z"), "a.json": event("1"), "c.json": "{", "d.json": event("2", timestamp="yesterday"), "g.json": event("4", cwd=" "), "h.json": event("5", session_id=5)}.items():
         (tmp_path / "in" / name).write_text(body)
     drain_spool(spark, spool, out, mark)
-    assert [(r.session_id, r.file) for r in spark.read.parquet(out).collect()] == [("1", "a.json")]
-    assert sorted((r.file, r.problem) for r in spark.read.parquet(out + "_quarantine").collect()) == [("c.json", "not JSON"), ("d.json", "time is not RFC 3339")]
+    assert [(r.session_id, r.file, r.transcript_path, r.raw_missing) for r in spark.read.parquet(out).collect()] == [("1", "a.json", "", True)]  # a blank path is no fault
+    assert sorted((r.file, r.problem) for r in spark.read.parquet(out + "_quarantine").collect()) == [("c.json", "not JSON"), ("d.json", "timestamp must be RFC3339"), ("g.json", "missing required field cwd"), ("h.json", "not JSON")]
     (tmp_path / "in" / "e.json").write_text(event("3"))
     (tmp_path / "in" / "f.json").write_text(event("1"))
     drain_spool(spark, spool, out, mark)

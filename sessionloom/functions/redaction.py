@@ -198,10 +198,10 @@ def redact_json(df: DataFrame, key: list[str], json: str, out: str) -> DataFrame
     return joined.withColumn(out, F.when(F.col(json).isNotNull(), whole)).drop("_tokens", *(f"_k_{k}" for k in key))
 
 
-def redact_metadata(df: DataFrame, text: str, out: str, events: str | None = None) -> DataFrame:
-    """``redact``; a non-blank value that no pass touches is a secret as a whole (times, revisions, branches of a session)."""
+def redact_metadata(df: DataFrame, text: str, out: str, events: str | None = None, where: str | None = None) -> DataFrame:
+    """``redact``; a non-blank value that no pass touches is a secret as a whole (times, revisions, branches of a session), in the rows that ``where`` flags if it is given."""
     done = redact(df, text, out, events)
-    whole = (F.col(out) == F.col(text)) & (trim_space(F.col(text)) != "") & ~already_redacted(F.col(text))
+    whole = (F.col(where) if where else F.lit(True)) & (F.col(out) == F.col(text)) & (trim_space(F.col(text)) != "") & ~already_redacted(F.col(text))
     mark = marker("SECRET", F.col(text))
     after = {out: F.when(whole, mark).otherwise(F.col(out))}
     if events:  # after all passes

@@ -112,9 +112,7 @@ def redact_sessions(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     judged = written(sessions.withColumn("problem", session_problem(SESSION_VERSION, SOURCE)))
     sound = judged.filter("problem IS NULL").drop("problem")
-    strings = written(session_strings(sound))
-    columns = [*strings.columns, "marked", "events"]
-    done = R.redact(strings.filter("NOT meta"), "value", "marked", "events").select(*columns).unionByName(R.redact_metadata(strings.filter("meta"), "value", "marked", "events").select(*columns))
+    done = R.redact_metadata(written(session_strings(sound)), "value", "marked", "events", "meta")
     shown = written(R.numbered(written(done), "session_id", ["place"], "marked", "events", "shown", "made"))
     # keys that meet
     met = shown.filter("holder IS NOT NULL").groupBy("session_id", "holder", "shown").agg(F.array_sort(F.collect_list(F.struct("place", "field"))).alias("keys")).filter("size(keys) > 1").withColumn("second", F.col("keys")[1])

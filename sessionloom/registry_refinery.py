@@ -273,3 +273,113 @@ def capture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.repartition(4, "event_id").write.json(f"{base}/in")
     drain_captures(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", files_per_batch=1)
     return capture_states(spark.read.parquet(f"{base}/out"))
+
+
+# -- contracts ----------------------------------------------------------------------
+
+
+_BROKEN = """(VALUES (0, 0, ''), (0, 1, '$.session_ref: required'), (0, 2, '$.event_type: enum'), (0, 3, '$.timestamp: type'), (0, 4, '$.colour: additional'), (0, 5, '$.source: const'), (0, 6, '$.workspace.cwd: required'),
+  (1, 0, ''), (1, 1, '$.observed_at: required'), (1, 2, '$.kind: enum'), (1, 3, '$.size_bytes: type'), (1, 4, '$.colour: additional'), (1, 5, '$.local_only: const'), (1, 6, ''),
+  (2, 0, ''), (2, 1, '$.main_finding: required'), (2, 2, '$.verdict: enum'), (2, 3, '$.evidence: type'), (2, 4, '$.colour: additional'), (2, 5, '$.data_class: const'), (2, 6, '$.warnings[]: type'),
+  (3, 0, '$: no JSON object'), (3, 1, '$.schema_version: required'), (3, 2, '$.schema_version: unknown "other.v9"'), (3, 3, '$: no JSON object'), (3, 4, ''), (3, 5, '$.copy_failures: type'), (3, 6, ''))"""
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, body): the events as documents of four kinds, each with one of six faults or none."""
+    kind, fault = F.col("event_id") % 4, (F.col("event_id") / 4).cast("long") % 7
+    text = F.col("event_id").cast("string")
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    unless = lambda n, c: F.when(fault != n, c)
+    either = lambda n, bad, good: F.when(fault == n, bad).otherwise(good)
+    extra = F.when(fault == 4, "red")
+    event = F.struct(F.lit("event.v1").alias("schema_version"), F.concat(F.lit("evt_"), text).alias("event_id"), either(5, F.lit("other"), F.lit("claude_code")).alias("source"), either(2, F.lit("stop"), F.lit("session_end")).alias("event_type"), unless(3, at).alias("timestamp"), F.when(fault == 3, 5).alias("timestamp_n"),
+                     unless(1, F.struct(text.alias("session_id"))).alias("session_ref"), F.struct(unless(6, F.lit("/w")).alias("cwd")).alias("workspace"), extra.alias("colour"))
+    ref = F.struct(F.lit(" raw_ref.v1 ").alias("schema_version"), F.lit("raw").alias("data_class"), text.alias("raw_ref_id"), F.lit("claude_code").alias("source"), either(2, F.lit("memory"), F.lit("main_transcript")).alias("kind"), F.sha2(text, 256).alias("digest"), either(3, F.lit(1.5), either(6, F.lit(2.0), F.lit(3.0))).alias("size_bytes"), unless(1, at).alias("observed_at"), (fault != 5).alias("local_only"), extra.alias("colour"))
+    strings = lambda *x: F.array(*map(F.lit, x))
+    card = F.struct(F.lit("review_card.v1").alias("schema_version"), either(5, F.lit("raw"), F.lit("review")).alias("data_class"), text.alias("session_id"), either(2, F.lit("fine"), F.lit("clean")).alias("verdict"), unless(1, F.lit("none")).alias("main_finding"), unless(3, strings("a", "b")).alias("evidence"), F.when(fault == 3, "a").alias("evidence_n"), F.lit("h").alias("suggested_next_habit"), unless(6, strings()).alias("warnings"), F.when(fault == 6, F.array(F.lit(1))).alias("warnings_n"), extra.alias("colour"))
+    other = F.when(fault == 0, "{broken").when(fault == 1, '{"a":1}').when(fault == 2, '{"schema_version":"other.v9"}').when(fault == 3, "[1]").when(fault == 5, '{"schema_version":"vault_state.v1","copy_failures":"2"}').otherwise('{"schema_version":"vault_state.v1","copy_failures":2.0}')
+    renamed = F.regexp_replace(F.when(kind == 0, F.to_json(event)).when(kind == 1, F.replace(F.to_json(ref), F.lit(" raw_ref.v1 "), F.lit("raw_ref.v1"))).when(kind == 2, F.to_json(card)), '"(timestamp|evidence|warnings)_n"', '"$1"')
+    return _table(spark, sf_dir, "events").select("event_id", F.coalesce(renamed, other).alias("body"))
+
+
+@_query(f"SELECT event_id, CASE WHEN k = 0 THEN 'schemas/event.v1.schema.json' WHEN k = 1 THEN 'schemas/raw_ref.v1.schema.json' WHEN k = 2 THEN 'schemas/review_card.v1.schema.json' WHEN f >= 4 THEN 'schemas/vault_state.v1.schema.json' END AS schema_file, problem AS violations FROM events JOIN {_BROKEN} v(k, f, problem) ON event_id % 4 = k AND (event_id // 4) % 7 = f")
+def registry_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of mixed documents, each checked against the schema of its own version."""
+    from .plans.contracts import routed
+
+    return routed(_mixed(spark, sf_dir), "body").select("event_id", "schema_file", F.array_join("violations", "\n").alias("violations"))
+
+
+def _usage_sql() -> str:
+    from .plans.contracts import enum_values
+
+    rows = ", ".join(f"('{v}', '{p}', '{x}')" for v, p, x in enum_values())
+    return f"""WITH listed(schema_version, property, value) AS (VALUES {rows}), e AS (SELECT event_id % 4 AS k, (event_id // 4) % 7 AS f FROM events),
+used AS (SELECT 'event.v1' AS v, 'event_type' AS p, 'session_end' AS x FROM e WHERE k = 0 AND f <> 2 UNION ALL SELECT 'raw_ref.v1', 'kind', 'main_transcript' FROM e WHERE k = 1 AND f <> 2 UNION ALL SELECT 'review_card.v1', 'verdict', 'clean' FROM e WHERE k = 2 AND f <> 2)
+SELECT schema_version, property, value, count(v) AS n FROM listed LEFT JOIN used ON v = schema_version AND p = property AND x = value GROUP BY ALL"""
+
+
+@_query(_usage_sql())
+def enum_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the mixed documents use each value that a schema lists."""
+    from .plans.contracts import enum_usage as usage
+
+    return usage(_mixed(spark, sf_dir), "body")
+
+
+_CLASSES = ("raw", "redacted", "review", "corpus", "published", "secret")
+
+
+@_query(f"""WITH c(i, name) AS (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(_CLASSES))}), pairs AS (SELECT event_type, a.name AS source_class, b.name AS target_class, a.i AS i, b.i AS j, count(*) AS n FROM events JOIN c a ON a.i = event_id % 6 JOIN c b ON b.i = (event_id // 6) % 6 GROUP BY ALL)
+SELECT event_type, source_class, target_class, n, CASE WHEN i = 5 THEN 'unknown data class "secret"' WHEN j = 5 THEN 'unknown data class "secret"' WHEN j < i THEN 'data class falls from ' || source_class || ' to ' || target_class END AS problem FROM pairs""")
+def data_class_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as moves of data between classes: which of them a lattice allows."""
+    from .plans.contracts import reclassified
+
+    at = lambda n: F.element_at(F.array(*map(F.lit, _CLASSES)), (n % 6 + 1).cast("int"))
+    moved = _table(spark, sf_dir, "events").select("event_type", at(F.col("event_id")).alias("source_class"), at((F.col("event_id") / 6).cast("long")).alias("target_class"))
+    return moved.groupBy("event_type", "source_class", "target_class").agg(F.count("*").alias("n")).withColumn("problem", reclassified(F.col("source_class"), F.col("target_class")))
+
+
+# -- scorecards ---------------------------------------------------------------------
+
+
+# Runs of a card a day: events of a type are a dimension's check, those with k below 3 its failures.
+_RUNS = """WITH e AS (SELECT user_id % 5 AS card, ts::date AS day, event_type AS dimension, regexp_extract(props, '"k":\\s*(-?[0-9]+)', 1)::bigint AS k FROM events),
+checks AS (SELECT card, day, dimension, count(*) FILTER (WHERE k < 3) AS failures, count(DISTINCT k % 10) AS classes, count(*) FILTER (WHERE k >= 10) * 100 // count(*) AS recall FROM e GROUP BY ALL),
+states AS (SELECT *, dimension IN ('view', 'error') AND (day(day) + card) % 4 = 0 AS known FROM checks),
+runs AS (
+  SELECT card, day, day(day) % 3 = card % 3 AS accepted, list(dimension ORDER BY dimension) FILTER (WHERE failures > 0 AND NOT known) AS blocking, list(dimension ORDER BY dimension) FILTER (WHERE known) AS reds, max(classes) AS class_count, min(recall) AS recall_percent FROM states GROUP BY card, day
+), based AS (
+  SELECT *, last_value(CASE WHEN accepted THEN {'r': coalesce(len(reds), 0), 'c': class_count, 'p': recall_percent} END IGNORE NULLS) OVER (PARTITION BY card ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM runs
+), gaps AS (
+  SELECT card, day, string_agg(dimension || CASE WHEN day(day) % 5 = 0 OR (dimension = 'view' AND card = 2) THEN ' KNOWN-RED lacks note, owner, or valid deadline' ELSE ' KNOWN-RED is past deadline' END, chr(10) ORDER BY dimension) AS said
+  FROM (SELECT card, day, unnest(reds) AS dimension FROM runs) WHERE day(day) % 5 = 0 OR (dimension = 'view' AND card = 2) OR day + INTERVAL 12 HOUR > DATE '2024-01-16' + INTERVAL 24 HOUR GROUP BY ALL
+), said AS (
+  SELECT b.card, b.day, CASE WHEN coalesce(len(blocking), 0) > 0 THEN 'NOT-TRUSTED' WHEN coalesce(len(reds), 0) > 0 THEN 'TRUSTED-WITH-NAMED-GAPS' ELSE 'TRUSTED' END AS headline,
+    concat_ws(chr(10), CASE WHEN len(blocking) > 0 THEN array_to_string(list_transform(blocking, lambda x: x || ' is BLOCKING-RED'), chr(10)) END, CASE WHEN coalesce(len(reds), 0) > last.r THEN 'KNOWN-RED count increased' END, g.said,
+      CASE WHEN class_count < last.c THEN 'extended corpus class count shrank' END, CASE WHEN recall_percent < last.p THEN 'extended recall regressed' END) AS reasons
+  FROM based b LEFT JOIN gaps g ON g.card = b.card AND g.day = b.day
+)
+SELECT card, day::varchar AS day, headline, reasons = '' AS passed, reasons FROM said"""
+
+
+@_query(_RUNS)
+def scorecard_ratchet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily runs of five cards, each against the latest accepted run before it, with named gaps, some of them without an owner or past their deadline."""
+    from .plans import ratchet
+
+    k = F.regexp_extract("props", r'"k":\s*(-?[0-9]+)', 1).cast("long")
+    rows = _table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("card"), F.col("ts").cast("date").alias("day"), F.col("event_type").alias("dimension"), k.alias("k"))
+    checks = rows.groupBy("card", "day", "dimension").agg(F.count_if(F.col("k") < 3).alias("failures"), F.count_distinct(F.col("k") % 10).alias("classes"), F.expr("count_if(k >= 10) * 100 div count(*)").alias("recall"))
+    dom = F.dayofmonth("day")
+    gaps = F.col("dimension").isin("view", "error") & ((dom + F.col("card")) % 4 == 0)
+    each = written(checks.withColumn("run", F.concat_ws("|", F.col("card").cast("string"), F.col("day").cast("string"))))
+    known = each.filter(gaps).select(F.col("run").alias("card"), "dimension")
+    told = ratchet.states(each.select(F.col("run").alias("card"), "dimension", "failures"), known).select(F.col("card").alias("r"), F.col("dimension").alias("d"), "state")
+    red = F.struct("dimension", F.lit("a note").alias("note"), F.when((F.col("dimension") == "view") & (F.col("card") == 2), " ").otherwise("someone").alias("owner"), F.when(dom % 5 == 0, "soon").otherwise("2024-01-16").alias("deadline"))
+    per = each.join(told, (F.col("run") == F.col("r")) & (F.col("dimension") == F.col("d"))).groupBy("card", "day").agg(
+        F.collect_list(F.when(F.col("state") == ratchet.BLOCKING_RED, F.col("dimension"))).alias("blocking"), F.collect_list(F.when(F.col("state") == ratchet.KNOWN_RED, red)).alias("known_red"), F.max("classes").alias("class_count"), F.min("recall").alias("recall_percent")
+    )
+    runs = per.withColumns({"run_at": F.col("day").cast("timestamp") + F.expr("INTERVAL 12 HOURS"), "accepted": F.dayofmonth("day") % 3 == F.col("card") % 3})
+    return ratchet.judged(runs).select("card", F.col("day").cast("string").alias("day"), "headline", "passed", "reasons")

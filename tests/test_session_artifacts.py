@@ -81,6 +81,11 @@ def test_a_batch_is_committed_whole_or_not_at_all(spark, spool, monkeypatch):
     assert page.count("<section ") == 7 and all((digests[a] in page) == (a != "html_report") for a in ARTIFACTS) and "redaction.secret_detected.0002" in page
     line = json.loads(first["export_line"][0][3])
     assert [x["class_"] for x in line["content"]] == ["TextObservation", "ApiAction", "CodeAction", "TextObservation"] and line["content"][1]["kwargs"] == {"file_path": "a.go"}
+    from sessionloom.plans.contracts import routed
+
+    bodies = [(a, r[3]) for a in ARTIFACTS if a != "html_report" for r in first[a]]
+    told = routed(spark.createDataFrame(bodies, "artifact string, body string"), "body").collect()
+    assert len(told) == 10 and all(r.violations == [] and r.schema_file for r in told), [(r.artifact, r.violations) for r in told]
     session = json.loads(first["normalized_session"][0][3])
     assert session["source_transcript_session_id"] == "t" and session["tool_calls"][0]["input"] == {"file_path": "a.go"}
 

@@ -285,3 +285,29 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (5, 5), (None, 7)] + [(1000, i) for i in range(1001, 1101)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(61)) and got[300] == 100 == got[100] and all(got[i] == 1000 for i in range(1001, 1101))
+
+
+@pytest.mark.parametrize("ids", [False, True])
+def test_ids_of_single_pages_are_no_structure(spark, ids):
+    """Forty pages of one host without an article element, each with a small box of its own."""
+    from sessionloom.llm.html_extract import main_text
+
+    def page(i):
+        own = f'id="post-{i}" class="post post-{i}"' if ids else 'class="post"'
+        return f'<html><body><div class="menu"><a href="/">Home</a></div><div {own}><div class="inner"><p>Story {i} tells of many things at length, {"word " * 30}.</p><p>Part two of story {i}, {"more " * 20}.</p></div></div><div class="box"><p>Posted on day {i} of the year</p></div></body></html>'
+
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", page(i)) for i in range(40)], "page_id long, url string, html string")
+    for r in main_text(pages).collect():
+        assert r.text.startswith(f"Story {r.page_id} tells") and f"Part two of story {r.page_id}" in r.text and "Posted" not in r.text
+
+
+def test_an_article_keeps_its_header_and_references(spark):
+    from sessionloom.llm.html_extract import main_text
+
+    def page(i):
+        links = "".join(f'<li><a href="/r{j}">Reference {i}-{j}</a></li>' for j in range(4))
+        return f'<header><h1>Site</h1></header><ul><li><a href="/x{i}">Menu entry {i}</a></li></ul><article><header><h1>Title {i}</h1><p>Lead of {i}</p></header><p>Body of {i}.</p><ul>{links}</ul><header class="share">Share {i}</header></article><footer>Foot {i}</footer>'
+
+    pages = spark.createDataFrame([(i, f"http://b.example/{i}", page(i)) for i in range(12)], "page_id long, url string, html string")
+    for r in main_text(pages).collect():
+        assert r.text.split("\n") == [f"Title {r.page_id}", f"Lead of {r.page_id}", f"Body of {r.page_id}.", *(f"Reference {r.page_id}-{j}" for j in range(4))]

@@ -6,11 +6,12 @@ lengths cover the histogram) is solved by multiplicative weights: each length
 has a price, a knapsack dynamic program finds the dearest configurations at
 these prices, and the weights of the lengths these cover fall. The best prices
 seen, single or averaged, prove a lower bound on the number of sequences. The
-configurations that are worth a sequence at these prices, or nearly so, are
-then added while weights fall with what is covered. The fractional solution is
-rounded, what it leaves is solved again, and the last few pieces are packed by
-best fit. The plan is a table of slots, bounded by the number of
-configurations. Pieces find their slot by their rank within their length,
+program is then rounded: configurations are priced anew by the knapsack, around
+the longest pieces left, with weights that fall with what is covered, and taken
+for whole numbers of sequences until all pieces are in one. Of a few such
+roundings the shortest counts; pieces of the emptiest sequences, a tenth of all at
+most, are packed once more by best fit. The plan is a table of slots, bounded by
+the number of configurations. Pieces find their slot by their rank within their length,
 counted in salted groups so that no length is one task.
 """
 

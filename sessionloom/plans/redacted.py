@@ -103,17 +103,21 @@ def _rebuilt(json: Column, tokens: Column) -> Column:
 def redact_sessions(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(redacted sessions, refused ones with ``problem``).
 
-    ``sessions`` are rows of ``normalize.session_rows``. Redacted ones have the
+    ``sessions`` are rows of ``normalize.session_rows``, written before, as they
+    are read several times. Redacted ones have the
     same columns, ``data_class`` and ``pipeline_status`` (both ``redacted``)
     and ``redaction``: one finding for each field and kind, secrets before
     paths, numbered over the session in the order of its fields, with how many
     replacements were made and the distinct placeholders. Unsound sessions are
     refused, and those in which two keys of an object come to be the same.
     """
-    judged = written(sessions.withColumn("problem", session_problem(SESSION_VERSION, SOURCE)))
+    judged = sessions.withColumn("problem", session_problem(SESSION_VERSION, SOURCE))
     sound = judged.filter("problem IS NULL").drop("problem")
-    done = R.redact_metadata(written(session_strings(sound)), "value", "marked", "events", "meta")
-    shown = written(R.numbered(written(done), "session_id", ["place"], "marked", "events", "shown", "made"))
+    touched_at_all = F.size("events") > 0
+    done = R.redact_metadata(session_strings(sound), "value", "marked", "events", "meta")
+    done = written(done.withColumn("marked", F.when(touched_at_all, F.col("marked"))))  # each text once
+    shown = R.numbered(done, "session_id", ["place"], "marked", "events", "shown", "made").filter(touched_at_all | F.col("root").isNotNull())
+    shown = written(shown.withColumn("shown", F.coalesce("shown", "value")).drop("value", "marked", "meta", "events"))  # what changes, and nested values, which are put together anew
     # keys that meet
     met = shown.filter("holder IS NOT NULL").groupBy("session_id", "holder", "shown").agg(F.array_sort(F.collect_list(F.struct("place", "field"))).alias("keys")).filter("size(keys) > 1").withColumn("second", F.col("keys")[1])
     clashes = met.groupBy("session_id").agg(F.min(F.struct("second.place", F.concat("second.field", F.lit(" redacts to duplicate key "), quoted(F.col("shown"))).alias("problem"))).alias("c")).select(F.col("session_id").alias("c_id"), "c.problem")

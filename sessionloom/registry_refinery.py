@@ -75,18 +75,18 @@ def redacted_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_sessions(docs: DataFrame) -> DataFrame:
-    """Documents as session rows: their lines in turn are turns, nested tool inputs (keys as well) with results, and commands with output."""
+    """Documents as session rows: their lines in turn are turns, nested tool inputs (their beginnings as keys) with results, and commands with output."""
     none = F.lit(None).cast("string")
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     of = lambda i: F.filter(F.transform(lines, lambda x, n: F.when(n % 3 == i, x)), lambda x: x.isNotNull())
-    call_input = lambda x: F.to_json(F.struct(F.struct(F.array(x, F.substring(x, 5, 200)).alias("lines"), F.create_map(F.concat(F.lit("k "), F.substring(x, 1, 80)), x).alias("by key")).alias("args"), F.lit(1).alias("n")))
-    call = lambda x, i: F.struct(F.format_string("tool_%04d", i + 1).alias("tool_call_id"), F.lit("Run").alias("name"), none.alias("timestamp"), call_input(x).alias("input"), F.lit(True).alias("success"), x.alias("result"), none.alias("result_timestamp"))
+    call_input = lambda x: F.to_json(F.struct(F.struct(F.array(x).alias("lines"), F.create_map(F.concat(F.lit("k "), F.substring(x, 1, 80)), F.lit(1)).alias("by key")).alias("args"), F.lit(1).alias("n")))
+    call = lambda x, i: F.struct(F.format_string("tool_%04d", i + 1).alias("tool_call_id"), F.lit("Run").alias("name"), none.alias("timestamp"), call_input(x).alias("input"), F.lit(True).alias("success"), F.substring(x, 5, 200).alias("result"), none.alias("result_timestamp"))
     home = F.concat(F.lit("/home/"), F.coalesce("source", F.lit("x")))
     return docs.select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("session_id"), F.lit(normalize.SESSION_VERSION).alias("schema_version"), F.lit(normalize.SOURCE).alias("source"), F.col("lang").alias("agent_model"), none.alias("workspace_id"), F.col("source").alias("repo_id"),
         F.concat(home, F.lit("/t.jsonl")).alias("transcript_path"), none.alias("source_transcript_session_id"), home.alias("cwd"), none.alias("started_at"), F.lit("2024-05-01T00:00:00Z").alias("ended_at"), none.alias("source_event_id"), none.alias("git_remote"), F.col("lang").alias("git_branch"), none.alias("git_head_sha"),
         F.to_json(F.struct(F.concat_ws("/", home, F.col("doc_id").cast("string")).alias("path"))).alias("provenance"), F.transform(of(0), lambda x: F.struct(F.lit("user").alias("role"), none.alias("timestamp"), x.alias("content"))).alias("turns"), F.transform(of(1), call).alias("tool_calls"),
-        F.array(F.struct(F.concat(home, F.lit("/a.go")).alias("path"), F.lit("edit").alias("operation"), none.alias("timestamp"))).alias("file_changes"), F.transform(of(2), lambda x: F.struct(x.alias("command"), none.alias("timestamp"), F.lit(None).cast("boolean").alias("success"), F.concat(home, F.lit(" "), x).alias("output"))).alias("commands"),
+        F.array(F.struct(F.concat(home, F.lit("/a.go")).alias("path"), F.lit("edit").alias("operation"), none.alias("timestamp"))).alias("file_changes"), F.transform(of(2), lambda x: F.struct(x.alias("command"), none.alias("timestamp"), F.lit(None).cast("boolean").alias("success"), F.concat(home, F.lit(" "), F.substring(x, 1, 100)).alias("output"))).alias("commands"),
     )
 
 

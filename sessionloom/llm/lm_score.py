@@ -26,7 +26,7 @@ row of every block into one task.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -48,10 +48,12 @@ LEAST_ROWS, MOST_ROWS, ROW_WORDS = 4096, 32_768, 1024
 ROUNDS = 4
 BATCH = 16_384
 #: Tokens of one gradient step.
-STEP = 8_192
+STEP = 4_096
 RATE = 0.2
 #: Numbers of weights in one summed chunk.
 CHUNK = 16_384
+#: Learners whose changes of a chunk meet in one group.
+TREE = 512
 #: Bytes of training text for each learner; there are at least two for each core.
 LEARN_BYTES = 256 << 20
 #: Bytes of text in a block.
@@ -301,22 +303,44 @@ def _train(model: Model, top: dict[bytes, int]):
     return run
 
 
-def _mean(table: pa.Table) -> pa.Table:
-    """Mean change of a chunk over the partitions that had documents."""
-    total, n = None, 0
-    for blob, k in zip(table.column("change"), table.column("n").to_pylist(), strict=True):
-        if k:
-            x = np.frombuffer(blob.as_py(), np.float16).astype(np.float32)
-            total, n = x if total is None else total + x, n + 1
-    out = total / n if n else np.zeros(0, np.float32)
-    return pa.table({"chunk": table.column("chunk")[:1], "change": pa.array([out.tobytes()], pa.binary())})
+def _summed(kind: type):
+    """Sum of the changes of a chunk (numbers of ``kind``) and of the partitions that had documents."""
 
+    def run(table: pa.Table) -> pa.Table:
+        total, n = np.zeros(0, np.float32), 0
+        for blob, k in zip(table.column("change"), table.column("n").to_pylist(), strict=True):
+            if k:
+                x = np.frombuffer(blob.as_py(), kind).astype(np.float32)
+                total, n = x if n == 0 else total + x, n + k
+        return pa.table({"chunk": table.column("chunk")[:1], "change": pa.array([total.tobytes()], pa.binary()), "n": pa.array([n], pa.int64())})
 
-def train_model(docs: DataFrame, top: dict[bytes, int], text: str, turn: str, counts: np.ndarray, words: int) -> Model:
+    return run
+
+
+def mean_changes(changes: DataFrame, learners: int) -> DataFrame:
+    """(chunk, change, n): sums of (chunk, part, change, n) rows of many learners, by a tree: groups of at most about ``TREE`` rows at every level."""
+    width = max(1, -(-learners // TREE))
+    kind = np.float16
+    while width > 1:
+        dealt = changes.withColumn("part", F.pmod("part", F.lit(width)))
+        told = dealt.groupBy("chunk", "part").applyInArrow(_with_part(_summed(kind)), "chunk int, change binary, n long, part int")
+        changes, width, kind = told.select("chunk", "part", "change", "n"), -(-width // TREE) if width > TREE else 1, np.float32
+    return changes.groupBy("chunk").applyInArrow(_summed(kind), "chunk int, change binary, n long")
+
+
+def _with_part(sum_: Callable[[pa.Table], pa.Table]):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return sum_(table).append_column("part", pa.array([key[1].as_py()], pa.int32()))
+
+    return run
+
+
+def train_model(docs: DataFrame, top: dict[bytes, int], text: str, turn: str, counts: np.ndarray, words: int, learners: int = 1) -> Model:
     """The model after one pass over ``docs`` in ``ROUNDS`` rounds; ``turn`` has a document's round.
 
     Biases start at the shares of the training tokens that classes and members
-    (``counts``, CLASSES x MEMBERS) have; ``words`` is the number of words counted.
+    (``counts``, CLASSES x MEMBERS) have; ``words`` is the number of words
+    counted, ``learners`` about that of the partitions of ``docs``.
     """
     rows = LEAST_ROWS
     while rows < MOST_ROWS and rows * ROW_WORDS < words:
@@ -326,8 +350,9 @@ def train_model(docs: DataFrame, top: dict[bytes, int], text: str, turn: str, co
     model.own[:] = np.log((counts[TOP:] + 1) / (counts[TOP:].sum(axis=1, keepdims=True) + MEMBERS))
     for r in range(ROUNDS):
         changes = docs.filter(F.col(turn) == r).select(text).mapInArrow(_train(model, top), "chunk int, change binary, n long")
-        for row in changes.groupBy("chunk").applyInArrow(_mean, "chunk int, change binary").collect():  # the model: a bounded size
-            x = np.frombuffer(row["change"], np.float32)
+        changes = changes.select("chunk", F.spark_partition_id().alias("part"), "change", "n")
+        for row in mean_changes(changes, learners).filter("n > 0").collect():  # the model: a bounded size
+            x = np.frombuffer(row["change"], np.float32) / row["n"]
             model.flat[row["chunk"] * CHUNK : row["chunk"] * CHUNK + len(x)] += x
     return model
 
@@ -450,6 +475,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     # a learner sends a whole model's change each round, so there are not more learners than the text warrants
     n_learners = max(2 * docs.sparkSession.sparkContext.defaultParallelism, blocks * SCORE_BLOCK // LEARN_BYTES)
     learners = plain.filter(train).withColumn(turn, F.pmod(F.xxhash64("doc_id", raw), F.lit(ROUNDS))).coalesce(n_learners)
-    model = train_model(learners, top, raw, turn, counts.reshape(CLASSES, MEMBERS), n_vocab)
+    model = train_model(learners, top, raw, turn, counts.reshape(CLASSES, MEMBERS), n_vocab, n_learners)
     scored = known.select("blk", "word", "c").groupBy("blk").cogroup(dealt.groupBy(block)).applyInArrow(_score(["doc_id", train], raw, top, model, mass, n_train, n_vocab), f"doc_id {docs.schema[id_col].dataType.simpleString()}, {train} boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", (~F.col(train)).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -616,3 +616,15 @@ def test_counts_by_groups_of_blocks(spark):
     for _, w, n in rows:
         want[w] += n
     assert plain == grouped == {(b, w): want[w] for b, w, _ in rows}
+
+
+def test_changes_of_many_learners_are_summed_by_a_tree(spark, monkeypatch):
+    from sessionloom.llm import lm_score
+
+    rng = np.random.default_rng(1)
+    changes = [(c, p, rng.integers(-8, 8, 5).astype(np.float16), int(p % 5 != 0)) for c in range(3) for p in range(40)]
+    df = spark.createDataFrame([(c, p, x.tobytes(), n) for c, p, x, n in changes], "chunk int, part int, change binary, n long")
+    for tree in (512, 7, 2):
+        monkeypatch.setattr(lm_score, "TREE", tree)
+        for r in lm_score.mean_changes(df, 40).collect():
+            assert r.n == 32 and (np.frombuffer(r.change, np.float32) == sum(x.astype(np.float32) for c, _, x, n in changes if c == r.chunk and n)).all()

@@ -14,7 +14,7 @@ MAX_BLOB = 50 << 20
 # Names under which a hook announces an event, kinds of archived files, folders that tell a recorder.
 EVENT_TYPES = {"SessionStart": "session_start", "session_start": "session_start", "SessionEnd": "session_end", "session_end": "session_end"}
 TRANSCRIPT_KINDS = ("main_transcript", "subagent_transcript")
-KINDS = (*TRANSCRIPT_KINDS, "source_metadata")
+KINDS = (*TRANSCRIPT_KINDS, "file_history_snapshot", "source_insight_report", "source_metadata", "source_export_bundle", "source_memory", "vendor_memory_dir", "vendor_insight_report", "memory_import_receipt", "unknown")
 SOURCE_FOLDERS = {"/.claude/": "claude_code", "/.codex/": "codex"}
 
 

@@ -383,3 +383,100 @@ def scorecard_ratchet(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     runs = per.withColumns({"run_at": F.col("day").cast("timestamp") + F.expr("INTERVAL 12 HOURS"), "accepted": F.dayofmonth("day") % 3 == F.col("card") % 3})
     return ratchet.judged(runs).select("card", F.col("day").cast("string").alias("day"), "headline", "passed", "reasons")
+
+
+# -- a vault's life -----------------------------------------------------------------
+
+
+_RECEIPT = """'{"schema_version":"memory_import_receipt.v1","data_class":"redacted","tool":"memory_store","decision":"' || CASE doc_id % 6 WHEN 1 THEN 'maybe' ELSE 'denied' END || '","namespace":"n","content_class":"note","memory_ids":[' || CASE doc_id % 6 WHEN 2 THEN '1' ELSE '"m' || doc_id % 20 || '"' END || '],"supersedes":[],"received_at":"t"' || CASE doc_id % 6 WHEN 3 THEN ',"error_class":"namespace_forbidden"' ELSE '' END || '}'"""
+
+
+@_query(f"""WITH f AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '/h/.claude/' WHEN 1 THEN '/h/.codex/' ELSE '/h/' END || printf('%08d', doc_id) AS path, {_RECEIPT} AS body FROM documents), j AS (
+  SELECT *, sha256(body) AS digest, CASE doc_id % 6 WHEN 1 THEN 'invalid memory import receipt: $.decision: enum' WHEN 2 THEN 'invalid memory import receipt: $.memory_ids[]: type' WHEN 3 THEN 'memory import receipt has namespace_forbidden and is not archived' END AS problem FROM f
+), known AS (SELECT DISTINCT digest FROM j WHERE doc_id % 20 = 4), r AS (SELECT *, row_number() OVER (PARTITION BY digest, problem IS NULL ORDER BY path) AS n FROM j)
+SELECT doc_id, 'raw_' || digest AS raw_id, CASE doc_id % 4 WHEN 0 THEN 'claude_code' WHEN 1 THEN 'codex' ELSE 'manual' END AS source, 'memory_import_receipt' AS kind, CASE WHEN problem IS NOT NULL THEN 'refused' WHEN n > 1 OR digest IN (SELECT digest FROM known) THEN 'deduped' ELSE 'archived' END AS outcome, problem FROM r""")
+def archived_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A receipt for each document archived under its kind: some break their contract, some are forbidden, many are the same."""
+    from .plans import lifecycle
+
+    n = F.col("doc_id") % 6
+    receipt = F.to_json(F.struct(
+        F.lit("memory_import_receipt.v1").alias("schema_version"), F.lit("redacted").alias("data_class"), F.lit("memory_store").alias("tool"), F.when(n == 1, "maybe").otherwise("denied").alias("decision"), F.lit("n").alias("namespace"), F.lit("note").alias("content_class"),
+        F.array(F.concat(F.lit("m"), (F.col("doc_id") % 20).cast("string"))).alias("memory_ids"), F.array().cast("array<string>").alias("supersedes"), F.lit("t").alias("received_at"), F.when(n == 3, "namespace_forbidden").alias("error_class"),
+    ))
+    receipt = F.when(n == 2, F.regexp_replace(receipt, '"memory_ids":\\["[^"]*"\\]', '"memory_ids":[1]')).otherwise(receipt)
+    folder = F.element_at(F.array(*map(F.lit, ("/h/.claude/", "/h/.codex/", "/h/", "/h/"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = _table(spark, sf_dir, "documents").select("doc_id", F.concat(folder, F.format_string("%08d", "doc_id")).alias("path"), receipt.cast("binary").alias("content"))
+    known = files.filter("doc_id % 20 = 4").select(F.sha2("content", 256).alias("digest"))
+    return lifecycle.archived(files, known, lifecycle.RECEIPTS).select("doc_id", "raw_id", "source", "kind", "outcome", "problem")
+
+
+@_query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(coalesce(text, '')) AS hex FROM documents),
+asked AS (SELECT CASE doc_id % 12 WHEN 1 THEN '' WHEN 3 THEN 'raw_' || substr(hex, 2) WHEN 4 THEN hex WHEN 5 THEN 'raw_' || sha256(hex) ELSE 'raw_' || hex END AS raw_ref_id, CASE doc_id % 12 WHEN 2 THEN '' ELSE 'reason ' || doc_id % 5 END AS reason, doc_id % 12 AS fault, hex FROM d WHERE doc_id % 3 <> 0 OR doc_id % 12 = 3),
+good AS (SELECT * FROM asked WHERE fault NOT BETWEEN 1 AND 5)
+SELECT raw_ref_id, min(reason) AS reason, bool_or(hex IN (SELECT hex FROM d WHERE doc_id % 4 <> 0)) AS blob_removed, NULL AS problem FROM good GROUP BY raw_ref_id
+UNION ALL SELECT raw_ref_id, reason, NULL, CASE fault WHEN 1 THEN 'missing raw_ref_id' WHEN 2 THEN 'missing erasure reason' WHEN 5 THEN 'no raw ref ' || raw_ref_id ELSE 'invalid raw_ref_id "' || raw_ref_id || '"' END FROM asked WHERE fault BETWEEN 1 AND 5""")
+def erased_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to erase the texts of two documents of three; some can't be met, some blobs are gone already."""
+    from .plans import lifecycle
+    from .plans.store import digest_of
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", digest_of(F.coalesce("text", F.lit(""))).alias("hex"))
+    fault = F.col("doc_id") % 12
+    own = F.concat(F.lit("raw_"), "hex")
+    given = F.when(fault == 1, "").when(fault == 3, F.concat(F.lit("raw_"), F.substring("hex", 2, 70))).when(fault == 4, F.col("hex")).when(fault == 5, F.concat(F.lit("raw_"), F.sha2("hex", 256))).otherwise(own)
+    asked = docs.filter("doc_id % 3 <> 0 OR doc_id % 12 = 3").select(given.alias("raw_ref_id"), F.when(fault == 2, " ").otherwise(F.concat(F.lit("reason "), (F.col("doc_id") % 5).cast("string"))).alias("reason"))
+    stones, refused = lifecycle.erased(asked, docs.select(own.alias("raw_ref_id"), F.col("hex").alias("digest")), docs.filter("doc_id % 4 <> 0").select(F.col("hex").alias("digest")), "2024-06-30T00:00:00Z")
+    return stones.select("raw_ref_id", "reason", "blob_removed", F.lit(None).cast("string").alias("problem")).unionByName(refused, allowMissingColumns=True)
+
+
+@_query("""WITH f AS (SELECT coalesce(source, '-') AS vault, CASE WHEN doc_id % 2 = 0 AND coalesce(source, '-') <> 'src1' THEN 'raw/' ELSE 'sessions/' END AS head, doc_id FROM documents), v AS (SELECT vault, count(*) AS n, bool_or(head = 'raw/') AS raw FROM f GROUP BY vault),
+p AS (SELECT *, CASE vault WHEN 'src2' THEN '' WHEN 'src4' THEN vault ELSE '/backup/' || vault END AS destination FROM v), j AS (
+  SELECT *, CASE WHEN destination = '' THEN 'missing backup destination' WHEN destination = vault THEN 'backup destination must differ from the vault' WHEN raw AND vault = 'src3' THEN 'backup includes raw vault bytes; confirm that the destination is approved' END AS problem FROM p)
+SELECT vault, destination, CASE WHEN problem IS NULL THEN n ELSE 0 END AS file_count, problem IS NULL AND raw AS raw_egress, CASE WHEN problem IS NULL AND raw THEN '{"event":"raw_egress_ack","destination":"' || destination || '"}' END AS audit,
+  problem IS NULL AND vault <> 'src5' AND vault <> 'src6' AS verified, problem FROM j""")
+def vault_backups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vault for each source of documents, backed up: some without a destination or consent, one with a changed file, one with a file too many."""
+    from .plans import lifecycle
+
+    vault = F.coalesce("source", F.lit("-"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", vault.alias("vault"), F.coalesce("text", F.lit("")).alias("text"))
+    path = F.concat(F.when((F.col("doc_id") % 2 == 0) & (F.col("vault") != "src1"), "raw/").otherwise("sessions/"), F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", "vault", path.alias("path"), F.col("text").cast("binary").alias("content"))
+    first = written(files.groupBy("vault").agg(F.min("doc_id").alias("least")).select(F.col("vault").alias("f_vault"), "least"))  # a row a vault
+    copies = files.join(first, F.col("vault") == F.col("f_vault")).withColumn("content", F.when((F.col("vault") == "src5") & (F.col("doc_id") == F.col("least")), F.lit("changed").cast("binary")).otherwise(F.col("content"))).select("vault", "path", "content")
+    copies = copies.unionByName(first.filter("f_vault = 'src6'").select(F.col("f_vault").alias("vault"), F.lit("more").alias("path"), F.lit("x").cast("binary").alias("content")))
+    consents = first.select(F.col("f_vault").alias("vault"), F.when(F.col("f_vault") == "src2", " ").when(F.col("f_vault") == "src4", F.col("f_vault")).otherwise(F.concat(F.lit("/backup/"), "f_vault")).alias("destination"), (F.col("f_vault") != "src3").alias("allow_raw"))
+    return lifecycle.backed_up(files, copies, consents)
+
+
+@_query("""WITH v AS (SELECT coalesce(lang, '-') AS vault, doc_id, sha256(coalesce(text, '')) AS digest FROM documents), s AS (SELECT DISTINCT vault FROM v UNION ALL SELECT 'empty')
+SELECT s.vault, CASE WHEN count(digest) > 0 THEN 'present' ELSE 'missing' END AS home_state, count(DISTINCT digest) AS vault_blobs, count(DISTINCT digest) FILTER (WHERE doc_id % 3 = 0) AS vault_refs, CASE WHEN s.vault IN ('en', 'fr') THEN '2024-06-01T00:00:00Z' ELSE '-' END AS last_backfill_at, length(s.vault) AS copy_failures FROM s LEFT JOIN v ON v.vault = s.vault GROUP BY s.vault""")
+def vault_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vault for each language, and one that holds nothing."""
+    from .plans import lifecycle
+    from .plans.store import digest_of
+
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("-")).alias("vault"), digest_of(F.coalesce("text", F.lit(""))).alias("digest"))
+    vaults = rows.select("vault").distinct().unionAll(spark.createDataFrame([("empty",)], "vault string"))
+    states = vaults.select("vault", F.when(F.col("vault").isin("en", "fr"), "2024-06-01T00:00:00Z").otherwise(" ").alias("last_backfill_at"), F.length("vault").cast("long").alias("copy_failures"))
+    return lifecycle.status(rows, rows.filter("doc_id % 3 = 0"), states)
+
+
+_LINKED = {a: v for a, v in R.ARTIFACTS.items() if v[3]}
+
+
+@_query(f"""WITH a(artifact, file, media_type, label) AS (VALUES {", ".join(f"('{a}', '{v[0]}', '{v[1]}', '{v[2]}')" for a, v in _LINKED.items())}), s AS (
+  SELECT user_id || '_' || floor(date_diff('day', DATE '2024-01-01', ts::date) / 7)::bigint AS session_id, user_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS started, strftime(max(ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS ended, count(*) AS n FROM events GROUP BY ALL)
+SELECT session_id || ':' || artifact AS artifact_id, session_id, artifact AS type, label, media_type, 'sessions/' || session_id || '/' || file AS href, 'sha256:' || sha256(artifact || n) AS digest, CASE user_id % 4 WHEN 0 THEN 'event' WHEN 1 THEN ended WHEN 2 THEN started END AS created_at FROM s, a""")
+def session_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five artifacts of each session that others may see, dated by the first of its times that isn't blank."""
+    from .plans import lifecycle
+
+    rows = written(A.activity(spark, sf_dir).groupBy("session_id", "user_id").agg(F.min("at").alias("started"), F.max("at").alias("ended"), F.count("*").alias("n")))
+    file = F.element_at(F.create_map(*(F.lit(x) for k, v in R.ARTIFACTS.items() for x in (k, v[0]))), F.col("artifact"))
+    body = F.concat("artifact", F.col("n").cast("string"))
+    made = rows.select("session_id", "n", F.explode(F.array(*map(F.lit, R.ARTIFACTS))).alias("artifact")).select("session_id", "artifact", F.concat(F.lit("sessions/"), "session_id", F.lit("/"), file).alias("path"), F.concat(F.lit("sha256:"), F.sha2(body, 256)).alias("digest"))
+    kind = F.col("user_id") % 4
+    at = lifecycle.first_time(F.when(kind == 0, "event").otherwise(" "), F.lit(""), F.when(kind == 1, F.col("ended")), F.lit(None).cast("string"), F.when(kind == 2, F.col("started")))
+    return lifecycle.links(made, rows.select("session_id", at.alias("created_at")))

@@ -13,7 +13,7 @@ from .plans import gates, normalize
 from .plans.redacted import not_redacted, redact_sessions
 from .plans.transcripts import transcripts
 from .registry import _ACT, _query, _table, ORACLES
-from .registry_sessions import _SESSIONS, _records
+from .registry_sessions import _SESSIONS, _records, review_cards
 from .sources.tables import shared_dir, written
 
 
@@ -195,12 +195,12 @@ def artifact_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.completeness(ids, there)
 
 
-@_query(_LOST + """, ends AS (SELECT session_id, user_id, max("at") AS ended FROM act GROUP BY ALL)
+@_query(_ACT + """, ends AS (SELECT session_id, user_id, max("at") AS ended FROM act GROUP BY ALL)
 SELECT e.session_id, CASE user_id % 3 WHEN 1 THEN 'start' ELSE ended END AS latest_at, verdict FROM ends e JOIN cards c ON c.session_id = e.session_id WHERE user_id % 3 <> 0 AND user_id % 7 <> 2""")
 def imported_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Imported sessions that have a review card and evidence; a third is not imported, some lack a card, some an end."""
     ends = A.activity(spark, sf_dir).groupBy("session_id", "user_id").agg(F.max("at").alias("ended"))
-    cards = redacted_review_cards(spark, sf_dir).select("session_id", "verdict")
+    cards = review_cards(spark, sf_dir).select("session_id", "verdict")
     rows = written(ends.join(cards, "session_id"))
     user = F.col("user_id")
     session = F.to_json(F.struct(F.when(user % 3 == 0, "normalized").otherwise(R.IMPORTED).alias("pipeline_status"), F.lit("start").alias("started_at"), F.when(user % 3 == 1, " ").otherwise(F.col("ended")).alias("ended_at")))

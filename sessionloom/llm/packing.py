@@ -43,13 +43,14 @@ MEMO, REMEMBERED = 1_500_000, 64
 ENCODED = 1 << 20
 #: Pieces of one length that one group ranks.
 RANK_ROWS = 20_000
-#: Solutions of the program, each of what the one before left; fewer pieces than ``TAIL`` are packed by best fit at once.
-ROUNDS = 8
-TAIL = 200
+#: Ways of rounding the program, see ``round_configurations``: favour, anchors, share, rate.
+ROUNDINGS = ((0.5, 4, 1.0, 0.0), (0.2, 16, 0.2, 0.3), (0.2, 16, 0.5, 0.0))
+#: Tokens of waste beyond which sequences are dissolved, and the part of all pieces that may then be packed by best fit: one in so many.
+WASTE, REMAINDER = (200, 64, 8, 0), 10
 #: Steps of the weights, and the gap between bound and plan at which they end.
 PASSES, GAP = 300, 0.002
-#: What a configuration may lack of a sequence's worth, doubled with each solution.
-SLACK = 0.002
+
+Plan = list[tuple[list[tuple[int, int]], int]]
 
 
 # -- tokens -----------------------------------------------------------------
@@ -225,74 +226,85 @@ def dual_prices(lengths: np.ndarray, demand: np.ndarray, capacity: int, passes:
     return prices, bound
 
 
-def solve_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, prices: np.ndarray, rate: float = 1.0, passes: int = 8) -> dict[tuple[tuple[int, int], ...], float]:
-    """Fractional counts of configurations ((index, copies), ...) that cover ``demand``.
+def round_configurations(lengths: np.ndarray, demand: np.ndarray, capacity: int, prices: np.ndarray, favour: float, anchors: int, share: float, rate: float) -> Plan:
+    """Configurations with whole numbers of sequences that cover ``demand`` exactly.
 
-    A length's price is that of ``prices`` times a weight that falls
-    exponentially as its demand is covered. One knapsack table prices the
-    best configuration around every length; each is added by as much as its
-    scarcest length allows, and the weights are multiplied anew.
+    The weight of a length falls exponentially, at ``rate``, as its demand is
+    covered; its price is that of ``prices`` times the weight, and long pieces
+    are worth up to ``favour`` more, so that short ones are left to fill gaps.
+    One knapsack table gives the dearest configuration around each of the
+    ``anchors`` longest lengths left; each is taken for the share ``share`` of the
+    sequences that its scarcest length allows, rounded down, one at least. A
+    configuration that lacks a length the table counted on waits for the next
+    table.
     """
-    left = demand.astype(float)
-    found: dict[tuple[tuple[int, int], ...], float] = {}
-    for _ in range(passes):
-        covered = 1 - left / demand
-        if covered.min() > 0.995:
-            break
-        weighed = prices * np.exp(-covered)
-        best, took = _price_table(lengths, weighed, capacity)
-        for j in np.argsort(-(weighed + best[capacity - lengths]), kind="stable").tolist():
-            if left[j] < 0.02 * demand[j]:
+    rest = demand.copy()
+    plan: Plan = []
+    while (live := np.flatnonzero(rest)).size:
+        size, left = lengths[live], rest[live]
+        value = prices[live] * (1 + favour * size / capacity) * np.exp(-rate * (1 - left / demand[live]))
+        best, took = _price_table(size, value, capacity)
+        taken = 0
+        for j in range(len(live) - 1, -1, -1):
+            if left[j] <= 0:
                 continue
-            copies = _configuration(j, lengths, took, demand, capacity)
-            step = min(left[j] * rate / copies[j], *(left[i] / m for i, m in copies.items()))
-            if step > 0:
-                key = tuple(sorted(copies.items(), reverse=True))
-                found[key] = found.get(key, 0.0) + step
-                for i, m in copies.items():
-                    left[i] -= m * step
-    return found
+            copies = _configuration(j, size, took, left, capacity)
+            if taken and sum(value[i] * m for i, m in copies.items()) < value[j] + best[capacity - size[j]] - 1e-9:
+                break
+            n = max(1, int(min(int(left[i]) // m for i, m in copies.items()) * share))
+            plan.append(([(int(size[i]), m) for i, m in copies.items()], n))
+            for i, m in copies.items():
+                left[i] -= m * n
+            taken += 1
+            if taken == anchors:
+                break
+        rest[live] = left
+    return plan
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, passes: int = PASSES) -> tuple[list[tuple[list[tuple[int, int]], int]], float]:
-    """(configuration as (length, copies), number of sequences) for all pieces of ``histogram``, and a number of sequences that no plan can undercut.
+def sequences(plan: Plan) -> int:
+    return sum(n for _, n in plan)
 
-    With ``passes`` 1 prices stay at the lengths' shares of a sequence.
-    """
-    left = {k: v for k, v in histogram.items() if v > 0}
-    whole = [([(capacity, 1)], left.pop(capacity))] if capacity in left else []
-    full = sum(n for _, n in whole)
-    plain = _best_fit(left, capacity)
-    plan: list[tuple[list[tuple[int, int]], int]] = []
-    bound = 0.0
-    for r in range(ROUNDS):
-        before = sum(left.values())
-        if before <= (TAIL if r else 0):
-            break
-        lengths = np.array(sorted(left), np.int64)
-        rest = np.array([left[int(x)] for x in lengths], np.int64)
-        prices, least = dual_prices(lengths, rest, capacity, passes, sum(n for _, n in plain) if r == 0 else np.inf if passes == 1 else float(rest @ lengths) / capacity)
-        bound = bound or least
-        found = solve_configurations(lengths, rest.copy(), capacity, prices)
-        lack = {key: 1 - sum(prices[i] * m for i, m in key) for key in found}
-        for key, x in sorted(found.items(), key=lambda kx: (round(lack[kx[0]], 6), -kx[1])):
-            if lack[key] > SLACK * 2**r:  # pieces of configurations not worth a sequence wait for the next solution
-                break
-            n = min([int(np.ceil(x - 1e-9)), *(int(rest[i]) // m for i, m in key)])  # rounded up, within what is left
-            if n > 0:
-                plan.append(([(int(lengths[i]), m) for i, m in key], n))
-                for i, m in key:
-                    rest[i] -= m * n
-        left = {int(k): int(v) for k, v in zip(lengths, rest, strict=True) if v}
-        if rest.sum() > 0.95 * before:
-            break
-    plan += _best_fit(left, capacity)
-    if sum(n for _, n in plan) > sum(n for _, n in plain):
-        plan = plain
-    return whole + plan, full + bound
+
+def pieces_of(plan: Plan) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for config, n in plan:
+        for size, m in config:
+            out[size] = out.get(size, 0) + m * n
+    return out
 
 
-def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, passes: int = PASSES) -> tuple[Plan, float, int]:
+    """(configuration as (length, copies), number of sequences) for all pieces of ``histogram``, a number of sequences that no plan can undercut, and the pieces of the remainder.
+
+    Every plan that is considered is one of the program: ``ROUNDINGS`` ways of
+    rounding it, and for each the emptiest sequences, with at most a
+    ``REMAINDER``-th of all pieces, dissolved and their pieces packed by best
+    fit. The shortest counts. With ``passes`` 1 prices stay at the lengths'
+    shares of a sequence.
+    """
+    left = {k: v for k, v in histogram.items() if v > 0}
+    whole: Plan = [([(capacity, 1)], left.pop(capacity))] if capacity in left else []
+    if not left:
+        return whole, float(sequences(whole)), 0
+    lengths = np.array(sorted(left), np.int64)
+    demand = np.array([left[int(x)] for x in lengths], np.int64)
+    prices, bound = dual_prices(lengths, demand, capacity, passes, sequences(_best_fit(left, capacity)))
+    found: list[tuple[int, int, Plan]] = []
+    for setting in ROUNDINGS:
+        plan = round_configurations(lengths, demand, capacity, prices, *setting)
+        filled = [sum(size * m for size, m in config) for config, _ in plan]
+        for waste in (capacity, *WASTE):
+            kept = [x for x, size in zip(plan, filled, strict=True) if capacity - size <= waste]
+            loose = pieces_of([x for x, size in zip(plan, filled, strict=True) if capacity - size > waste])
+            if sum(loose.values()) * REMAINDER <= demand.sum():
+                once_more = kept + _best_fit(loose, capacity)
+                found.append((sequences(once_more), sum(loose.values()), once_more))
+    _, remainder, plan = min(found, key=lambda x: x[:2])
+    return whole + plan, sequences(whole) + bound, remainder
+
+
+def _best_fit(left: dict[int, int], capacity: int) -> Plan:
     """Longest first, each into the fullest sequence with room; equal sequences are kept as one with a count."""
     open_: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}  # room: (configuration, count)
     done = []
@@ -315,7 +327,7 @@ def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[list[tuple[int,
     return done
 
 
-def slots(plan: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.ndarray]:
+def slots(plan: Plan) -> dict[str, np.ndarray]:
     """Rows (length, rank of the first piece, copies, first sequence, offset) sorted by length and rank."""
     at: dict[int, int] = {}
     rows, first = [], 0

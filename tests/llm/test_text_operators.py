@@ -425,7 +425,7 @@ def test_packing_plan_is_close_to_the_bound(kind):
 
     rng = random.Random(1)
     lengths = collections.Counter(HISTOGRAMS[kind](rng) for _ in range(20_000))
-    plan, bound = plan_sequences(dict(lengths))
+    plan, bound, _ = plan_sequences(dict(lengths))
     used = collections.Counter()
     for config, n in plan:
         assert sum(a * b for a, b in config) <= 1024
@@ -437,6 +437,22 @@ def test_packing_plan_is_close_to_the_bound(kind):
     assert sum(n for _, n in plan) <= (1.02 if kind in ("coarse", "halves") else 1.005) * bound + 1
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_the_plan_of_the_given_tables_is_the_program_s(spark, sf):
+    """At least nine tenths of the shorter pieces lie in the program's configurations, and no more sequences are needed than by best fit."""
+    import os
+
+    from sessionloom.llm.packing import _best_fit, plan_sequences, sequences, token_pieces
+
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("no test data")
+    pieces = token_pieces(spark.read.parquet(f"/root/testdata/{sf}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    plan, bound, remainder = plan_sequences(histogram)
+    assert remainder * 10 <= sum(n for size, n in histogram.items() if size < 1024)
+    assert bound - 1e-6 <= sequences(plan) <= sequences(_best_fit(histogram, 1024))
+
+
 @pytest.mark.parametrize("kind", ["coarse", "halves"])
 def test_weights_prove_more_than_frozen_prices(kind):
     """Prices at the lengths' shares prove only the total size; the weights' prices prove more, and plan no worse."""
@@ -444,7 +460,7 @@ def test_weights_prove_more_than_frozen_prices(kind):
 
     rng = random.Random(2)
     lengths = collections.Counter(HISTOGRAMS[kind](rng) for _ in range(20_000))
-    (plan, bound), (frozen, low) = plan_sequences(dict(lengths)), plan_sequences(dict(lengths), passes=1)
+    (plan, bound, _), (frozen, low, _) = plan_sequences(dict(lengths)), plan_sequences(dict(lengths), passes=1)
     assert bound > 1.005 * low
     assert sum(n for _, n in plan) <= sum(n for _, n in frozen)
 

@@ -68,7 +68,9 @@ def transcript_bytes(events: DataFrame, live: DataFrame, blobs: DataFrame) -> Da
     df = events.withColumn("bare", bare).join(files, F.col("transcript_path") == F.col("l_path"), "left")
     there = F.col("l_path").isNotNull()
     use_live = there & (F.coalesce(F.col("l_digest") == F.col("bare"), F.lit(False)) | (given == ""))
-    df = df.withColumn("wanted", F.when(~use_live, F.col("bare"))).join(held, F.col("wanted") == F.col("b_digest"), "left")
+    # rows that want no blob get keys of their own, which no digest equals: nulls would meet in one task
+    wanted = F.coalesce(F.when(~use_live, F.col("bare")), F.concat(F.lit("-"), F.xxhash64(*events.columns).cast("string")))
+    df = df.withColumn("wanted", wanted).join(held, F.col("wanted") == F.col("b_digest"), "left")
     problem = (
         F.when(use_live, F.lit(None))
         .when(F.col("bare").isNull() & ~there, F.concat(F.lit("missing transcript "), "transcript_path"))

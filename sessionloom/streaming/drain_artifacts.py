@@ -38,6 +38,10 @@ def drain_artifacts(spark: SparkSession, spool: str, lines_of: Callable[[DataFra
     """
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
+    def stop_at(refused: DataFrame) -> None:
+        if fail_fast and (first := refused.orderBy("session_id", "problem").first()) is not None:
+            raise ValueError(f"{first.session_id}: {first.problem}")
+
     def process(batch: DataFrame, number: int) -> None:
         if is_committed(spark, root, f"{stream}-{number}"):
             return
@@ -47,6 +51,8 @@ def drain_artifacts(spark: SparkSession, spool: str, lines_of: Callable[[DataFra
         missing = events.filter("problem IS NULL AND transcript_path = ''").select("session_id", F.lit("raw_missing").alias("problem"))
         state = written(A.completeness(good, existing(spark, root)))
         partial = state.filter("state = 'error'").select("session_id", F.concat(F.lit("partial artifacts, missing "), "missing").alias("problem"))
+        early = written(bad.unionByName(missing).unionByName(partial))
+        stop_at(early)
         todo = written(good.join(state.filter("state = 'process'").select("session_id"), "session_id", "left_semi"))
         hook_ids = todo.select(F.col("transcript_path").alias("file"), F.col("session_id").alias("hook_session_id"), "event_type", F.col("timestamp").alias("event_at"))
         records, _ = normalize.parse_lines(lines_of(todo))
@@ -54,9 +60,9 @@ def drain_artifacts(spark: SparkSession, spool: str, lines_of: Callable[[DataFra
         made, refused = A.artifacts(sessions, imported)
         made = written(made)
         lost = todo.join(sessions.select("session_id"), "session_id", "left_anti").select("session_id", F.lit("no sound session in transcript").alias("problem"))
-        refused = written(refused.unionByName(bad).unionByName(missing).unionByName(partial).unionByName(lost))
-        if fail_fast and (first := refused.orderBy("session_id", "problem").first()) is not None:
-            raise ValueError(f"{first.session_id}: {first.problem}")
+        refused = written(refused.unionByName(lost))
+        stop_at(refused)
+        refused = refused.unionByName(early)
         commit({**{a: made.filter(F.col("artifact") == a) for a in A.ARTIFACTS}, "refused": refused}, root, f"{stream}-{number}")
 
     files = spark.readStream.option("pathGlobFilter", "*.txt" if line_payloads else "*.json").text(spool, wholetext=not line_payloads).select("value", F.col("_metadata.file_name").alias("file"))

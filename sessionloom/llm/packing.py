@@ -38,7 +38,7 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\
 #: Inside of a character class: ASCII without the separators 1C to 1F, Latin-1 without next line and numbers, Latin, Greek and Cyrillic letters, dashes and quotes, the euro, kana, Han, Hangul.
 SURE = "\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 #: Words a worker remembers, and their greatest length; the memory starts anew beyond.
-MEMO, REMEMBERED = 1_500_000, 64
+MEMO, REMEMBERED = 600_000, 64
 #: Characters of texts that are encoded together.
 ENCODED = 1 << 20
 #: Pieces of one length that one group ranks.

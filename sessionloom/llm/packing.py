@@ -38,13 +38,13 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\
 #: Inside of a character class: ASCII without the separators 1C to 1F, Latin-1 without next line and numbers, Latin, Greek and Cyrillic letters, dashes and quotes, the euro, kana, Han, Hangul.
 SURE = "\x00-\x1b\x20-\x7f\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2010-\u2027\u20ac\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 #: Words a worker remembers, and their greatest length; the memory starts anew beyond.
-MEMO, REMEMBERED = 600_000, 64
+MEMO, REMEMBERED = 1_000_000, 64
 #: Characters of texts that are encoded together.
 ENCODED = 1 << 20
 #: Pieces of one length that one group ranks.
 RANK_ROWS = 20_000
 #: Ways of rounding the program, see ``round_configurations``: favour, anchors, share, rate.
-ROUNDINGS = ((0.5, 4, 1.0, 0.0), (0.2, 16, 0.2, 0.3), (0.2, 16, 0.5, 0.0))
+ROUNDINGS = ((0.5, 4, 1.0, 0.0), (0.2, 64, 0.5, 0.0))
 #: Tokens of waste beyond which sequences are dissolved, and the part of all pieces that may then be packed by best fit: one in so many.
 WASTE, REMAINDER = (200, 64, 8, 0), 10
 #: Steps of the weights, and the gap between bound and plan at which they end.

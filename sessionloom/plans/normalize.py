@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.commands import is_test
 from ..functions.text import trim_space
 from ..functions.timeparse import lenient, seconds_between
-from ..operators.matching import pair_by_id, pair_first_in_first_out
+from ..operators.matching import pair_first_in_first_out
 from ..sources.tables import written
 
 MAX_LINE = 10 << 20
@@ -42,11 +42,11 @@ def _last_key_wins(raw: pd.Series) -> pd.Series:
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records with variant ``v``, quarantine with ``reason``). Blank lines are neither."""
     df = lines.withColumn("raw", trim_space(F.col("raw"))).filter("raw <> ''")
-    df = df.withColumn("too_long", F.octet_length("raw") > MAX_LINE).withColumn("v", F.when(~F.col("too_long"), F.try_parse_json("raw")))
+    df = df.withColumn("too_long", F.octet_length("raw") > MAX_LINE).withColumn("once", F.when(~F.col("too_long"), F.try_parse_json("raw")))
+    df = df.withColumn("again", _last_key_wins(F.when(F.col("once").isNull() & ~F.col("too_long"), F.col("raw"))))
+    df = df.withColumn("v", F.coalesce("once", F.try_parse_json("again"))).drop("once", "again")
     good = df.filter("v IS NOT NULL").drop("too_long")
-    rest = df.filter("v IS NULL").withColumn("again", F.when(~F.col("too_long"), _last_key_wins(F.col("raw"))))
-    good = good.unionByName(rest.filter("again IS NOT NULL").withColumn("v", F.try_parse_json("again")).drop("again", "too_long"))
-    bad = rest.filter("again IS NULL").select("file", "line_no", F.when(F.col("too_long"), "line too long").otherwise("not JSON").alias("reason"))
+    bad = df.filter("v IS NULL").select("file", "line_no", F.when(F.col("too_long"), "line too long").otherwise("not JSON").alias("reason"))
     return good, bad
 
 
@@ -67,9 +67,10 @@ def content_text(v: Column, path: str) -> Column:
     """A string, or the text parts of an array joined by line feeds, or the value as JSON."""
     inner = F.try_variant_get(v, path, "variant")
     kind = F.schema_of_variant(inner)
-    parts = F.transform(F.try_variant_get(v, path, "array<variant>"), lambda x: F.coalesce(text_at(x, "$.text"), F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))))
+    array = F.try_variant_get(v, path, "array<variant>")
+    parts = F.transform(array, lambda x: F.coalesce(text_at(x, "$.text"), F.when(F.schema_of_variant(x) == "STRING", F.try_variant_get(x, "$", "string"))))
     joined = F.array_join(F.filter(parts, lambda x: x.isNotNull()), "\n")
-    return F.when(kind == "STRING", F.try_variant_get(v, path, "string")).when(kind.startswith("ARRAY"), joined).when(inner.isNotNull() & (kind != "VOID"), F.to_json(inner))
+    return F.when(array.isNotNull(), joined).when(kind == "STRING", F.try_variant_get(v, path, "string")).when(inner.isNotNull() & (kind != "VOID"), F.to_json(inner))
 
 
 def sessions(records: DataFrame) -> DataFrame:
@@ -101,15 +102,15 @@ def sessions(records: DataFrame) -> DataFrame:
 
 def blocks(records: DataFrame) -> DataFrame:
     """Turns, tool uses and tool results of all records, in order of (line_no, block_no)."""
-    v = F.col("v")
-    df = records.withColumns({"type": text_at(v, "$.type"), "at": text_at(v, "$.timestamp")})
+    v, kind = F.col("v"), F.col("type")
+    df = records.select("file", "line_no", "v", text_at(v, "$.type").alias("type"), text_at(v, "$.timestamp").alias("at"))
     body = F.coalesce(F.try_variant_get(v, "$.message.content", "variant"), F.try_variant_get(v, "$.content", "variant"))
-    inner = F.when(F.schema_of_variant(body).startswith("ARRAY"), F.try_variant_get(body, "$", "array<variant>"))
-    talk = df.filter(F.col("type").isin("user", "assistant")).withColumns({"inner": inner, "body": body})
-    role = F.when(text_at(v, "$.message.role").isin("user", "assistant"), text_at(v, "$.message.role")).otherwise(F.col("type"))
-    nested = talk.select("file", "line_no", "at", role.alias("role"), F.posexplode("inner").alias("block_no", "b"))
-    direct = df.filter(F.col("type").isin("tool_use", "tool_result")).select("file", "line_no", "at", F.lit("assistant").alias("role"), F.lit(0).alias("block_no"), v.alias("b"))
-    return nested.unionByName(direct).withColumn("kind", text_at(F.col("b"), "$.type"))
+    talk, spoken = kind.isin("user", "assistant"), text_at(v, "$.message.role")
+    role = F.when(talk, F.when(spoken.isin("user", "assistant"), spoken).otherwise(kind)).otherwise("assistant")
+    inner = F.when(talk, F.try_variant_get(body, "$", "array<variant>")).when(kind.isin("tool_use", "tool_result"), F.array(v))
+    # outer: else the optimizer has every array made once more by a filter
+    nested = df.select("file", "line_no", "at", role.alias("role"), F.posexplode_outer(inner).alias("block_no", "b")).filter("b IS NOT NULL")
+    return nested.withColumn("kind", text_at(F.col("b"), "$.type"))
 
 
 def turns(records: DataFrame) -> DataFrame:
@@ -131,29 +132,35 @@ def tool_calls(records: DataFrame) -> DataFrame:
     """
     b = F.col("b")
     w = W.partitionBy("file").orderBy("line_no", "block_no")
-    parts = blocks(records).filter((F.col("kind") == "tool_result") | (F.col("kind") == "tool_use") & (F.col("role") == "assistant"))
-    parts = parts.withColumns({"n": F.row_number().over(w), "call_id": text_at(b, "$.tool_call_id", "$.tool_use_id", "$.id"), "name": text_at(b, "$.name")})
+    is_use, is_result = F.col("kind") == "tool_use", F.col("kind") == "tool_result"
+    parts = blocks(records).filter(F.col("kind").isin("tool_use", "tool_result") & (is_result | (F.col("role") == "assistant")))
     call_input = F.to_json(F.coalesce(F.try_variant_get(b, "$.input", "variant"), F.parse_json(F.lit("{}"))))
-    error = bool_at(b, "$.is_error")
     text = F.coalesce(F.nullif(content_text(b, "$.content"), F.lit("")), content_text(b, "$.output"))
-    parts = written(parts.select("file", "n", "kind", "call_id", "name", call_input.alias("input"), text.alias("result"), F.coalesce(bool_at(b, "$.success"), ~error).alias("success"), "at"))  # read many times below
-    uses = parts.filter("kind = 'tool_use'").select("file", "n", "call_id", F.coalesce("name", F.lit("unknown_tool")).alias("name"), "input", "at")
-    results = parts.filter("kind = 'tool_result'").select("file", "n", "call_id", "name", "result", "success", "at")
-    by_id = pair_by_id(uses.filter("call_id IS NOT NULL"), results.filter("call_id IS NOT NULL"), ["file", "call_id"], ["n"])
-    hit = by_id.filter("use_n IS NOT NULL").select("file", F.col("use_n").alias("use_n"), "n", "result", "success", "at")
-    left_uses = uses.join(hit.select("file", F.col("use_n").alias("n")), ["file", "n"], "left_anti")
-    left_results = by_id.filter("use_n IS NULL").select(*results.columns).unionByName(results.filter("call_id IS NULL"))
-    queue = left_uses.select("file", "name", "n", F.lit(True).alias("is_use")).unionByName(left_results.filter("name IS NOT NULL").select("file", "name", "n", F.lit(False).alias("is_use")))
-    paired = pair_first_in_first_out(queue, ["file", "name"], ["n"], "is_use").filter("pair IS NOT NULL")
-    both = paired.filter("is_use").select("file", "name", "pair", F.col("n").alias("use_n")).join(paired.filter("NOT is_use").select("file", "name", "pair", "n"), ["file", "name", "pair"]).select("file", "use_n", "n")
-    hit = hit.unionByName(left_results.join(both, ["file", "n"]).select("file", "use_n", "n", "result", "success", "at"))
-    answers = hit.select(F.col("file").alias("a_file"), "use_n", "result", "success", F.col("at").alias("result_at"))
-    calls = uses.join(answers, (F.col("file") == F.col("a_file")) & (F.col("n") == F.col("use_n")), "left").select("file", "n", "call_id", "name", "input", "at", "result", "success", "result_at", F.lit(True).alias("matched"))
-    alone = left_results.join(both.select("file", "n"), ["file", "n"], "left_anti")
-    made = alone.select("file", "n", "call_id", F.coalesce("name", F.lit("ToolResult")).alias("name"), F.lit("{}").alias("input"), F.lit(None).cast("string").alias("at"), "result", "success", F.col("at").alias("result_at"), F.lit(False).alias("matched"))
-    placed = calls.unionByName(made).withColumn("position", F.row_number().over(W.partitionBy("file").orderBy("n")))
-    given = F.when(F.col("matched"), F.format_string("tool_%04d", "position")).otherwise(F.format_string("tool_result_%04d", "position"))
-    return placed.select("file", "position", F.coalesce("call_id", given).alias("call_id"), "name", "input", "at", "result", "success", "result_at", "matched")
+    success = F.coalesce(bool_at(b, "$.success"), ~bool_at(b, "$.is_error"))
+    parts = parts.select(
+        "file", "line_no", "block_no", is_use.alias("is_use"), text_at(b, "$.tool_call_id", "$.tool_use_id", "$.id").alias("call_id"), F.coalesce(text_at(b, "$.name"), F.when(is_use, "unknown_tool")).alias("name"),
+        F.when(is_use, call_input).alias("input"), F.when(is_result, text).alias("result"), F.when(is_result, success).alias("success"), "at",
+    )
+    # All keys below begin with the file, so its rows are shuffled once.
+    parts = parts.withColumn("n", F.row_number().over(w)).drop("line_no", "block_no")
+    same_id = W.partitionBy("file", "call_id")
+    parts = parts.withColumns({"use_n": F.max(F.when(F.col("is_use"), F.col("n"))).over(same_id), "result_n": F.min(F.when(~F.col("is_use"), F.col("n"))).over(same_id)})
+    by_id = F.col("call_id").isNotNull() & F.col("use_n").isNotNull() & F.col("result_n").isNotNull() & (F.col("n") == F.when(F.col("is_use"), F.col("use_n")).otherwise(F.col("result_n")))
+    parts = parts.withColumn("by_id", F.coalesce(by_id, F.lit(False))).withColumn("queued", ~F.col("by_id") & F.col("name").isNotNull()).drop("use_n", "result_n")
+    parts = pair_first_in_first_out(parts, ["file", "queued", "name"], ["n"], "is_use")
+    pair = F.when(F.col("queued"), F.col("pair"))
+    mate = {"m_id": F.when(F.col("by_id"), F.col("call_id")), "m_name": F.when(pair.isNotNull(), F.col("name")), "m_pair": pair}
+    parts = parts.withColumns(mate).withColumn("mated", F.col("by_id") | F.col("m_pair").isNotNull()).drop("pair", "queued", "by_id")
+    answer = F.lead(F.struct("result", "success", "at")).over(W.partitionBy("file", *mate).orderBy(F.desc("is_use")))  # a use and at most one result
+    parts = parts.withColumn("answer", F.when(F.col("is_use"), answer)).filter(F.col("is_use") | ~F.col("mated"))
+    placed = parts.withColumn("position", F.row_number().over(W.partitionBy("file").orderBy("n")))
+    use = F.col("is_use")
+    given = F.when(use, F.format_string("tool_%04d", "position")).otherwise(F.format_string("tool_result_%04d", "position"))
+    found = {c: F.when(use, F.col(f"answer.{c}")).otherwise(F.col(c)) for c in ("result", "success", "at")}
+    return placed.select(
+        "file", "position", F.coalesce("call_id", given).alias("call_id"), F.coalesce("name", F.lit("ToolResult")).alias("name"), F.coalesce("input", F.lit("{}")).alias("input"), F.when(use, F.col("at")).alias("at"),
+        found["result"].alias("result"), found["success"].alias("success"), found["at"].alias("result_at"), use.alias("matched"),
+    )
 
 
 def of_repo(rows: DataFrame, value: str) -> DataFrame:

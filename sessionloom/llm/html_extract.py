@@ -22,9 +22,9 @@ from __future__ import annotations
 import html
 import json
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
 import pyarrow as pa
 import xxhash
@@ -55,8 +55,6 @@ CONSTANT_SHARE, CONSTANT_PAGES = 90, 8
 GROUP = 64
 #: Longest period folded into a repeated group.
 PERIOD = 12
-#: Cells of the table of common subsequences; longer streams are matched from left to right.
-CELLS = 1 << 20
 #: Part of a list path's text within links from which the list is a menu, in hundredths.
 LINKED = 90
 #: Bytes of host tables up to which they are broadcast; beyond, an ordinary join.
@@ -265,8 +263,7 @@ def _squares(nodes: list, other: list) -> list:
 def align(a: list, b: list) -> list:
     """Wrapper that matches whatever ``a`` or ``b`` match.
 
-    A common subsequence of nodes (the longest, unless streams are very long)
-    keeps its place; what lies between two matches on one side only becomes
+    A longest common subsequence of nodes keeps its place; what lies between two matches on one side only becomes
     optional, on both sides each an optional group. A group matches the same
     group once; the result repeats. Texts match each other; different ones
     make a slot.
@@ -303,30 +300,46 @@ def align(a: list, b: list) -> list:
 
 
 def _common(x: list, y: list) -> Iterator[tuple[int, int]]:
-    """Index pairs of a common subsequence: the longest by table, or beyond ``CELLS`` each item's next place from left to right."""
-    if len(x) * len(y) > CELLS:
-        places: dict = {}
-        for j, v in enumerate(y):
-            places.setdefault(v, []).append(j)
-        at = -1
-        for i, v in enumerate(x):
-            own = places.get(v, ())
-            k = bisect_right(own, at)
-            if k < len(own) and own[k] - at <= 1 + len(y) // 64:  # a far place would leave out what lies between
-                at = own[k]
-                yield i, at
-        return
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below, v = best[i], best[i + 1], x[i]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if v == y[j] else max(below[j], row[j + 1])
+    """Index pairs of a longest common subsequence of any two lists.
+
+    Row i of the table of suffixes has one bit for each place j of ``y``, from
+    its end on: 0 where the suffixes from (i, j) share one item more than those
+    from (i, j + 1). A row follows from the next one by a few operations on
+    whole numbers. One row in ``step`` is kept, those between are made again.
+    """
+    n, m = len(x), len(y)
+    step, full = isqrt(n) + 1, (1 << m) - 1
+    places: dict = {}
+    for j, v in enumerate(y):
+        places[v] = places.get(v, 0) | 1 << (m - 1 - j)
+
+    def before(row: int, i: int) -> int:
+        met = row & places.get(x[i], 0)
+        return ((row + met) | (row - met)) & full
+
+    row, kept = full, {n: full}
+    for i in range(n - 1, -1, -1):
+        row = before(row, i)
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
+
+    def shared(i: int, j: int) -> int:
+        if i not in rows:
+            rows.clear()
+            end = min(n, (i // step + 1) * step)
+            rows[end] = kept[end]
+            for k in range(end - 1, i - 1, -1):
+                rows[k] = before(rows[k + 1], k)
+        return m - j - (rows[i] & ((1 << (m - j)) - 1)).bit_count()
+
     i = j = 0
-    while i < len(x) and j < len(y):
+    here = shared(0, 0)
+    while i < n and j < m and here:
         if x[i] == y[j]:
             yield i, j
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+            i, j, here = i + 1, j + 1, here - 1
+        elif shared(i + 1, j) == here:
             i += 1
         else:
             j += 1

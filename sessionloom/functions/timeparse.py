@@ -10,7 +10,7 @@ RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?(Z|
 
 def lenient(c: Column) -> Column:
     """Timestamp, null unless the whole string is RFC 3339."""
-    micros = F.regexp_replace(c, r"(\.[0-9]{6})[0-9]+", "$1")
+    micros = F.when(F.length(c) > 27, F.regexp_replace(c, r"(\.[0-9]{6})[0-9]+", "$1")).otherwise(c)  # 27: six digits and Z
     return F.when(c.rlike(RFC3339), F.try_to_timestamp(micros))
 
 

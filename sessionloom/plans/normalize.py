@@ -36,7 +36,7 @@ def _last_key_wins(raw: pd.Series) -> pd.Series:
         except (TypeError, ValueError):
             return None
 
-    return raw.map(one)
+    return raw.map(one, na_action="ignore") if raw.notna().any() else raw
 
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -89,14 +89,14 @@ def sessions(records: DataFrame) -> DataFrame:
     timed = F.when(F.col("at").isNotNull(), F.col("line_no"))
     out = df.groupBy("file").agg(
         F.min_by("sid", F.when(F.col("sid").isNotNull(), F.col("line_no"))).alias("transcript_session_id"),
-        F.count_distinct("sid").alias("n_ids"),
+        (F.min("sid") != F.max("sid")).alias("conflict"),
         F.coalesce(of("session_start", F.max_by), F.min_by("at", timed)).alias("started_at"),
         F.coalesce(of("session_end", F.max_by), F.max_by("at", timed)).alias("ended_at"),
         last("model"), last("workspace_id"), last("repo_id"), first("cwd"), first("git_remote"), first("git_branch"), first("git_head_sha"),
         F.count_if(F.col("type").isNotNull()).alias("n_records"),
     )
     duration = seconds_between(lenient(F.col("started_at")), lenient(F.col("ended_at")))
-    problem = F.when(F.col("n_ids") > 1, "conflicting session ids").when(F.col("n_records") == 0, "empty transcript").when(duration < 0, "ends before it starts")
+    problem = F.when(F.col("conflict"), "conflicting session ids").when(F.col("n_records") == 0, "empty transcript").when(duration < 0, "ends before it starts")
     return out.withColumns({"duration_seconds": duration, "problem": problem})
 
 
@@ -197,7 +197,7 @@ def documents(records: DataFrame, hook_ids: DataFrame | None = None) -> DataFram
     counts = {"turns": turns(records), "tool_calls": calls, "file_changes": file_changes(calls), "commands": commands(calls), "tests": commands(calls).filter(is_test(F.col("command")))}
     for name, rows in counts.items():
         base = base.join(rows.groupBy(F.col("file").alias("n_file")).agg(F.count("*").alias(name)), F.col("file") == F.col("n_file"), "left").drop("n_file").fillna(0, [name])
-    return base.drop("n_ids", "n_records", "problem")
+    return base.drop("conflict", "n_records", "problem")
 
 
 #: What a session document says of itself.

@@ -58,3 +58,11 @@ def test_calls_after_one_shuffle(spark):
         record = json.loads(r.raw)
         want.setdefault(r.file, []).append(record["message"]["content"][0] if record["type"] == "assistant" else record)
     assert found == {f: _plain(b) for f, b in want.items()} and bad.count() == 0
+
+
+def test_sessions_in_one_aggregate(spark):
+    rows = [("a", 0, {"sessionId": "1", "timestamp": "2024-01-01T00:00:00.1234567Z"}), ("a", 1, {"session_id": "1", "timestamp": "2024-01-01T00:00:02Z"}), ("b", 0, {"session_id": "1"}), ("b", 1, {"session_id": "2"})]
+    good, _ = N.parse_lines(spark.createDataFrame([(f, i, json.dumps({"type": "user", **r})) for f, i, r in rows], "file string, line_no int, raw string"))
+    out = N.sessions(good)
+    assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()  # a distinct count has every row aggregated twice
+    assert sorted((r.file, r.duration_seconds, r.problem) for r in out.collect()) == [("a", 1, None), ("b", None, "conflicting session ids")]

@@ -193,10 +193,11 @@ def documents(records: DataFrame, hook_ids: DataFrame | None = None) -> DataFram
     the time of a ``session_end`` event without one is the transcript's end.
     """
     base = _with_ids(sessions(records).filter("problem IS NULL"), hook_ids)
-    calls = tool_calls(records)
-    counts = {"turns": turns(records), "tool_calls": calls, "file_changes": file_changes(calls), "commands": commands(calls), "tests": commands(calls).filter(is_test(F.col("command")))}
-    for name, rows in counts.items():
-        base = base.join(rows.groupBy(F.col("file").alias("n_file")).agg(F.count("*").alias(name)), F.col("file") == F.col("n_file"), "left").drop("n_file").fillna(0, [name])
+    command, (operation, path) = command_of(), change_of()
+    calls = tool_calls(records).select("file", command.alias("command"), (operation.isNotNull() & path.isNotNull()).alias("changes"))
+    counts = {"tool_calls": F.count("*"), "file_changes": F.count_if("changes"), "commands": F.count("command"), "tests": F.count_if(is_test(F.col("command")))}
+    for rows, per in ((turns(records), {"turns": F.count("*")}), (calls, counts)):  # each read once
+        base = base.join(rows.groupBy(F.col("file").alias("n_file")).agg(*(c.alias(name) for name, c in per.items())), F.col("file") == F.col("n_file"), "left").drop("n_file").fillna(0, list(per))
     return base.drop("conflict", "n_records", "problem")
 
 
@@ -229,13 +230,22 @@ def session_rows(records: DataFrame, hook_ids: DataFrame | None = None) -> DataF
     )
 
 
-def commands(calls: DataFrame) -> DataFrame:
-    text = F.nullif(trim_space(F.get_json_object("input", "$.command")), F.lit(""))
-    return calls.filter(F.lower("name") == "bash").withColumn("command", text).filter("command IS NOT NULL").select("file", "position", "at", "command", "success", F.col("result").alias("output"))
+def command_of() -> Column:
+    """The command of a call, null unless it is a shell call with one."""
+    return F.when(F.lower("name") == "bash", F.nullif(trim_space(F.get_json_object("input", "$.command")), F.lit("")))
 
 
-def file_changes(calls: DataFrame) -> DataFrame:
+def change_of() -> tuple[Column, Column]:
+    """Operation and path of a call; only one that has both changes a file."""
     low = F.lower("name")
     operation = F.when(low == "write", "write").when(low.isin("edit", "multiedit", "notebookedit"), "edit")
-    path = F.coalesce(F.nullif(F.get_json_object("input", "$.file_path"), F.lit("")), F.nullif(F.get_json_object("input", "$.path"), F.lit("")))
+    return operation, F.when(operation.isNotNull(), F.coalesce(F.nullif(F.get_json_object("input", "$.file_path"), F.lit("")), F.nullif(F.get_json_object("input", "$.path"), F.lit(""))))
+
+
+def commands(calls: DataFrame) -> DataFrame:
+    return calls.filter(F.lower("name") == "bash").withColumn("command", command_of()).filter("command IS NOT NULL").select("file", "position", "at", "command", "success", F.col("result").alias("output"))
+
+
+def file_changes(calls: DataFrame) -> DataFrame:
+    operation, path = change_of()
     return calls.withColumns({"operation": operation, "path": path}).filter("operation IS NOT NULL AND path IS NOT NULL").select("file", "position", "at", "path", "operation")

@@ -66,3 +66,13 @@ def test_sessions_in_one_aggregate(spark):
     out = N.sessions(good)
     assert "Expand" not in out._jdf.queryExecution().optimizedPlan().toString()  # a distinct count has every row aggregated twice
     assert sorted((r.file, r.duration_seconds, r.problem) for r in out.collect()) == [("a", 1, None), ("b", None, "conflicting session ids")]
+
+
+def test_documents_read_calls_once(spark):
+    rows = [("a", 0, {"type": "session_start", "session_id": "1"})] + [("a", i + 1, {"type": "assistant", "message": {"content": [{"type": "tool_use", "name": n, "input": x}]}}) for i, (n, x) in enumerate((
+        ("Bash", {"command": " go test "}), ("bash", {"command": "ls"}), ("Bash", {"command": " "}), ("Edit", {"file_path": "f"}), ("Write", {"path": "g"}), ("Edit", {}), ("Read", {"path": "h"}),
+    ))] + [("b", 0, {"type": "session_start", "session_id": "2"})]
+    good, _ = N.parse_lines(spark.createDataFrame([(f, i, json.dumps(r)) for f, i, r in rows], "file string, line_no int, raw string"))
+    out = N.documents(good)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # calls are made once for all counts
+    assert sorted((r.session_id, r.turns, r.tool_calls, r.file_changes, r.commands, r.tests) for r in out.collect()) == [("1", 0, 7, 2, 2, 1), ("2", 0, 0, 0, 0, 0)]

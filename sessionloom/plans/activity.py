@@ -9,7 +9,7 @@ every rule both outcomes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,16 +22,24 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumns({"idx": F.row_number().over(W.partitionBy("session_id").orderBy("ts", "event_id")) - 1, "at": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")})
 
 
-def changes(rows: DataFrame) -> DataFrame:
+def changed_path() -> Column:
     k = F.col("k").cast("string")
-    path = F.when(F.col("k") % 4 == 0, F.concat(F.lit("src/f"), k, F.lit(".go"))).when(F.col("k") % 4 == 1, F.concat(F.lit("tests/f"), k, F.lit("_test.py"))).when(F.col("k") % 4 == 2, F.concat(F.lit("docs/f"), k, F.lit(".md"))).otherwise("go.mod")
-    return rows.filter("event_type = 'click'").select("session_id", "idx", "ts", "at", path.alias("path"), F.lit("edit").alias("operation"))
+    return F.when(F.col("k") % 4 == 0, F.concat(F.lit("src/f"), k, F.lit(".go"))).when(F.col("k") % 4 == 1, F.concat(F.lit("tests/f"), k, F.lit("_test.py"))).when(F.col("k") % 4 == 2, F.concat(F.lit("docs/f"), k, F.lit(".md"))).otherwise("go.mod")
 
 
-def commands(rows: DataFrame) -> DataFrame:
+def changes(rows: DataFrame) -> DataFrame:
+    return rows.filter("event_type = 'click'").select("session_id", "idx", "ts", "at", changed_path().alias("path"), F.lit("edit").alias("operation"))
+
+
+def command_run() -> tuple[Column, Column]:
+    """Text and success of an event that is no click."""
     kind, k, fifth = F.col("event_type"), F.col("k").cast("string"), (F.col("k") % 5).cast("string")
     text = F.when(kind == "error", F.concat(F.lit("make build t"), fifth)).when(kind == "purchase", F.concat(F.lit("make verify t"), fifth)).when(kind == "signup", F.concat(F.lit("go test ./p"), k)).otherwise(F.concat(F.lit("curl u"), k))
-    success = F.when(kind == "error", False).when(kind == "signup", F.when(F.col("k") % 10 != 0, False)).otherwise(True)
+    return text, F.when(kind == "error", False).when(kind == "signup", F.when(F.col("k") % 10 != 0, False)).otherwise(True)
+
+
+def commands(rows: DataFrame) -> DataFrame:
+    text, success = command_run()
     return rows.filter("event_type <> 'click'").select("session_id", "idx", "ts", "at", text.alias("command"), success.alias("success"))
 
 

@@ -20,7 +20,7 @@ from ..functions.commands import is_test
 from ..functions.text import trim_space
 from ..functions.timeparse import lenient, seconds_between
 from ..operators.matching import pair_first_in_first_out
-from ..sources.tables import written
+from ..sources.tables import new_table, written
 
 MAX_LINE = 10 << 20
 KNOWN = ("session_start", "session_end", "user", "assistant", "tool_use", "tool_result")
@@ -40,13 +40,19 @@ def _last_key_wins(raw: pd.Series) -> pd.Series:
 
 
 def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(records with variant ``v``, quarantine with ``reason``). Blank lines are neither."""
-    df = lines.withColumn("raw", trim_space(F.col("raw"))).filter("raw <> ''")
-    df = df.withColumn("too_long", F.octet_length("raw") > MAX_LINE).withColumn("once", F.when(~F.col("too_long"), F.try_parse_json("raw")))
-    df = df.withColumn("again", _last_key_wins(F.when(F.col("once").isNull() & ~F.col("too_long"), F.col("raw"))))
-    df = df.withColumn("v", F.coalesce("once", F.try_parse_json("again"))).drop("once", "again")
-    good = df.filter("v IS NOT NULL").drop("too_long")
-    bad = df.filter("v IS NULL").select("file", "line_no", F.when(F.col("too_long"), "line too long").otherwise("not JSON").alias("reason"))
+    """(records with variant ``v``, quarantine with ``reason``), both written. Blank lines are neither.
+
+    Every line is parsed once; only those that don't parse keep their text and
+    are tried again with repeated keys allowed, and lie beside the others.
+    """
+    raw = F.col("raw")
+    df = lines.withColumn("raw", trim_space(raw)).filter("raw <> ''").withColumn("v", F.when(F.octet_length(raw) <= MAX_LINE, F.try_parse_json(raw)))
+    parts = [f"{new_table(lines.sparkSession)}/{part}" for part in ("once", "again")]
+    once = written(df.withColumn("raw", F.when(F.col("v").isNull(), raw)), parts[0])
+    odd = once.filter("raw IS NOT NULL").drop("v").withColumn("too_long", F.octet_length(raw) > MAX_LINE)
+    again = written(odd.withColumn("v", F.try_parse_json(_last_key_wins(F.when(~F.col("too_long"), raw)))), parts[1])
+    good = lines.sparkSession.read.schema(once.drop("raw").schema).parquet(*parts).filter("v IS NOT NULL")
+    bad = again.filter("v IS NULL").select("file", "line_no", F.when(F.col("too_long"), "line too long").otherwise("not JSON").alias("reason"))
     return good, bad
 
 

@@ -11,6 +11,7 @@ that are no JSON.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import activity as A
@@ -21,12 +22,13 @@ def _json(**fields: Column) -> Column:
 
 
 def transcripts(rows: DataFrame) -> DataFrame:
-    """(file, line_no, raw) of ``activity`` rows."""
+    """(file, line_no, raw) of ``activity`` rows, which are read once; lines are made where a session's rows lie."""
     k, idx = F.col("k"), F.col("idx").cast("string")
     text = k.cast("string")
     lit, made = F.lit, lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
-    named = A.changes(rows).select("session_id", "idx", F.col("path").alias("what"), lit(None).cast("boolean").alias("success")).unionByName(A.commands(rows).select("session_id", "idx", F.col("command").alias("what"), "success"))
-    df = rows.join(named.select(F.col("session_id").alias("n_id"), F.col("idx").alias("n_idx"), "what", "success"), (F.col("session_id") == F.col("n_id")) & (F.col("idx") == F.col("n_idx")))
+    command, success = A.command_run()
+    what = F.when(F.col("event_type") == "click", A.changed_path()).otherwise(command)
+    df = rows.withColumns({"what": what, "success": success, "n": F.max("idx").over(W.partitionBy("session_id"))})
     click, view = F.col("event_type") == "click", F.col("event_type") == "view"
     by_name, lost = ~click & (k % 4 == 0), ~click & (k % 4 == 1)
     use_id = F.when(~by_name, F.concat(lit("u"), idx))
@@ -50,9 +52,10 @@ def transcripts(rows: DataFrame) -> DataFrame:
         F.when(k % 4 != 3, ~outcome).alias("is_error"), F.when(k % 4 == 3, outcome).alias("success"),
     )
     third_line = F.when(view, F.to_json(result.withField("timestamp", F.col("at")))).otherwise(_json(type=lit("user"), timestamp=F.col("at"), message=F.struct(lit("user").alias("role"), F.array(result).alias("content"))))
-    lines = df.select("session_id", "idx", F.posexplode(F.array(first_line, second_line, third_line)).alias("part", "raw")).select(F.col("session_id").alias("file"), (3 * F.col("idx") + F.col("part") + 1).alias("line_no"), "raw")
-    ends = rows.groupBy("session_id").agg(F.min_by(F.struct("user_id", "k", "at"), "idx").alias("f"), F.max_by("at", "idx").alias("last_at"), F.max("idx").alias("n"))
-    start = _json(type=lit("session_start"), session_id=F.col("session_id"), timestamp=F.col("f.at"), model=made("m", F.col("f.k") % 3), workspace_id=made("w", F.col("f.user_id") % 7), workspace=F.when(F.col("f.k") % 2 == 0, F.struct(made("/work/", F.col("f.user_id") % 5).alias("cwd"))))
-    end = _json(type=lit("session_end"), sessionId=F.col("session_id"), timestamp=F.col("last_at"))
-    outer = ends.select(F.col("session_id").alias("file"), lit(0).alias("line_no"), start.alias("raw")).unionByName(ends.select(F.col("session_id").alias("file"), (3 * F.col("n") + 4).alias("line_no"), end.alias("raw")))
-    return lines.unionByName(outer)
+    start = _json(type=lit("session_start"), session_id=F.col("session_id"), timestamp=F.col("at"), model=made("m", k % 3), workspace_id=made("w", F.col("user_id") % 7), workspace=F.when(k % 2 == 0, F.struct(made("/work/", F.col("user_id") % 5).alias("cwd"))))
+    end = _json(type=lit("session_end"), sessionId=F.col("session_id"), timestamp=F.col("at"))
+    known = F.col("event_type").isNotNull()
+    parts = (F.when(F.col("idx") == 0, start), F.when(known, first_line), F.when(known, second_line), F.when(known, third_line), F.when(F.col("idx") == F.col("n"), end))
+    # outer: else the optimizer has every array made once more by a filter
+    lines = df.select("session_id", "idx", F.posexplode_outer(F.array(*parts)).alias("part", "raw")).filter("raw IS NOT NULL")
+    return lines.select(F.col("session_id").alias("file"), F.when((F.col("part") == 0), 0).otherwise(3 * F.col("idx") + F.col("part")).alias("line_no"), "raw")

@@ -18,7 +18,7 @@ from .sources.tables import shared_dir, written
 
 
 def _session_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return written(normalize.session_rows(written(_records(spark, sf_dir))))
+    return written(normalize.session_rows(_records(spark, sf_dir)))
 
 
 # -- events -------------------------------------------------------------------

@@ -16,7 +16,7 @@ from .sources.tables import written
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, _ = normalize.parse_lines(written(transcripts(written(A.activity(spark, sf_dir)))))
+    good, _ = normalize.parse_lines(transcripts(A.activity(spark, sf_dir)))
     return good
 
 
@@ -47,7 +47,7 @@ _SAID = _ACT + """, every AS (
 
 @_query(_ACT + """SELECT session_id AS file, (3 * idx + 1)::bigint AS line_no, 'not JSON' AS reason FROM act WHERE event_type <> 'view' AND k % 97 = 0""")
 def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bad = normalize.parse_lines(written(transcripts(written(A.activity(spark, sf_dir)))))[1]
+    bad = normalize.parse_lines(transcripts(A.activity(spark, sf_dir)))[1]
     return bad.select("file", F.col("line_no").cast("long").alias("line_no"), "reason")
 
 
@@ -111,7 +111,7 @@ def session_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole sessions; those of every third user were announced by a hook under another id, without a time."""
     rows = A.activity(spark, sf_dir).select("session_id", "user_id").distinct().filter("user_id % 3 = 0")
     hooks = rows.select(F.col("session_id").alias("file"), F.concat(F.lit("hook_"), "session_id").alias("hook_session_id"), F.lit("session_end").alias("event_type"), F.lit(None).cast("string").alias("event_at"))
-    whole = normalize.documents(written(_records(spark, sf_dir)), hooks)
+    whole = normalize.documents(_records(spark, sf_dir), hooks)
     return whole.select("file", "session_id", "source_transcript_session_id", "event_at", *(F.col(c).cast("long").alias(c) for c in ("turns", "tool_calls", "file_changes", "commands", "tests")))
 
 
@@ -122,7 +122,7 @@ def session_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) SELECT file, row_number() OVER (PARTITION BY file ORDER BY ts NULLS LAST, part, place, step) AS position, class, source, content FROM records""")
 def full_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns, calls with their arguments, results and residual commands in order of time; what has no time comes last."""
-    records = written(_records(spark, sf_dir))
+    records = _records(spark, sf_dir)
     calls = written(normalize.tool_calls(records))
     return export.full_trajectory(normalize.turns(records), calls, normalize.commands(calls)).select("file", F.col("position").cast("long").alias("position"), "class", "source", "content")
 

@@ -19,8 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def new_table(spark: SparkSession) -> str:
+    """A folder of its own for an intermediate table."""
+    return f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: what is used several times is computed once."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = path or new_table(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

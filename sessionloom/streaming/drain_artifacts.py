@@ -56,7 +56,7 @@ def drain_artifacts(spark: SparkSession, spool: str, lines_of: Callable[[DataFra
         todo = written(good.join(state.filter("state = 'process'").select("session_id"), "session_id", "left_semi"))
         hook_ids = todo.select(F.col("transcript_path").alias("file"), F.col("session_id").alias("hook_session_id"), "event_type", F.col("timestamp").alias("event_at"))
         records, _ = normalize.parse_lines(lines_of(todo))
-        sessions = written(normalize.session_rows(written(records), hook_ids))
+        sessions = written(normalize.session_rows(records, hook_ids))
         made, refused = A.artifacts(sessions, imported)
         made = written(made)
         lost = todo.join(sessions.select("session_id"), "session_id", "left_anti").select("session_id", F.lit("no sound session in transcript").alias("problem"))

@@ -16,7 +16,7 @@ def lenient(c: Column) -> Column:
 
 def below_micros(c: Column) -> Column:
     """Nanoseconds below the microsecond, 0 if none are given."""
-    return F.rpad(F.regexp_extract(c, r"\.[0-9]{6}([0-9]{1,3})", 1), 3, "0").cast("int")
+    return F.when(F.length(c) > 27, F.rpad(F.regexp_extract(c, r"\.[0-9]{6}([0-9]{1,3})", 1), 3, "0").cast("int")).otherwise(0)  # as in lenient
 
 
 def order_key(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timeparse import lenient, order_key
+from ..functions.timeparse import order_key
 from ..operators.matching import multiset_minus
 
 # Fixed values.
@@ -44,11 +44,10 @@ def full_trajectory(turns: DataFrame, calls: DataFrame, commands: DataFrame) ->
     """
     shell = F.lower("name") == "bash"
     code = F.nullif(F.trim(F.get_json_object("input", "$.command")), F.lit(""))
-    at = lambda c: lenient(F.col(c))
-    row = lambda df, part, place, step, cls, source, content, time: df.select("file", order_key(F.col(time)).alias("t"), F.lit(part).alias("part"), F.col(place).cast("long").alias("place"), F.lit(step).alias("step"), cls.alias("class"), source.alias("source"), content.alias("content"), at(time).isNull().alias("untimed"))
+    row = lambda df, part, place, step, cls, source, content, time: df.select("file", order_key(F.col(time)).alias("t"), F.lit(part).alias("part"), F.col(place).cast("long").alias("place"), F.lit(step).alias("step"), cls.alias("class"), source.alias("source"), content.alias("content"))
     said = F.lit("TextObservation")
     talk = row(turns, 1, "line_no", 0, said, F.when(F.col("role") == "user", "user").otherwise("agent"), F.col("text"), "at")
-    acts = row(calls.filter(~shell | code.isNotNull()), 2, "position", 0, F.when(shell, "CodeAction").otherwise("ApiAction"), F.when(shell, "shell").otherwise(F.col("name")), F.when(shell, code).otherwise(kwargs(F.col("name"), F.col("input"))), "at")
+    acts = row(calls.filter(~shell | code.isNotNull()), 2, "position", 0, F.when(shell, "CodeAction").otherwise("ApiAction"), F.when(shell, "shell").otherwise(F.col("name")), F.when(shell, code).otherwise(kwargs(F.col("name"), F.when(shell, "{}").otherwise(F.col("input")))), "at")
     seen = calls.filter(F.coalesce("result", F.lit("")).isin("") == F.lit(False)).unionByName(calls.filter((F.coalesce("result", F.lit("")) == "") & (F.col("success").isNotNull() | F.col("result_at").isNotNull())))
     answers = row(seen, 2, "position", 1, said, F.lit("environment"), F.coalesce("result", F.lit("")), "result_at")
     used = calls.filter(shell).select("file", "at", code.alias("command"))
@@ -56,7 +55,7 @@ def full_trajectory(turns: DataFrame, calls: DataFrame, commands: DataFrame) ->
     more = row(rest, 3, "position", 0, F.lit("CodeAction"), F.lit("shell"), F.col("command"), "at")
     out = row(rest.filter("output <> '' OR success IS NOT NULL"), 3, "position", 1, said, F.lit("environment"), F.coalesce("output", F.lit("")), "at")
     whole = talk.unionByName(acts).unionByName(answers).unionByName(more).unionByName(out)
-    place = F.row_number().over(W.partitionBy("file").orderBy("untimed", "t", "part", "place", "step"))
+    place = F.row_number().over(W.partitionBy("file").orderBy(F.col("t.us").isNull(), "t", "part", "place", "step"))
     return whole.select("file", place.alias("position"), "class", "source", "content")
 
 
@@ -79,8 +78,10 @@ def _allow_keys(inputs: pd.Series) -> pd.Series:
     """Objects with only the allowed keys, at every depth; keys sorted. Values that aren't JSON objects become empty ones."""
 
     def one(x: str | None) -> str:
+        if not x or x == "{}":
+            return "{}"
         try:
-            value = json.loads(x or "{}")
+            value = json.loads(x)
         except ValueError:
             value = {}
         return json.dumps(_allowed(value) if isinstance(value, dict) else {}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
@@ -93,4 +94,5 @@ def kwargs(name: Column, call_input: Column) -> Column:
     path = lambda k: F.nullif(F.get_json_object(call_input, f"$.{k}"), F.lit(""))
     file_path, plain = path("file_path"), path("path")
     only = F.when(file_path.isNotNull(), F.to_json(F.struct(file_path.alias("file_path")))).when(plain.isNotNull(), F.to_json(F.struct(plain.alias("path"))))
-    return F.when(F.lower(F.trim(name)).isin(*FILE_TOOLS), only).otherwise(_allow_keys(F.coalesce(call_input, F.lit("{}"))))
+    of_file = F.lower(F.trim(name)).isin(*FILE_TOOLS)
+    return F.when(of_file, only).otherwise(_allow_keys(F.when(F.coalesce(~of_file, F.lit(True)), call_input)))

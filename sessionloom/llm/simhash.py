@@ -325,6 +325,21 @@ def _candidates(max_bits: int, depth: int):
     return run
 
 
+def _beside(pairs: DataFrame, sketches: DataFrame, c: str) -> DataFrame:
+    """``pairs`` (k1, k2) with column ``c`` of either document's sketch as ``v1`` and ``v2``.
+
+    Only sketches that pairs name are shuffled; while those are few, their keys
+    go to where the sketches are, so the others stay where they lie.
+    """
+    named = materialize(pairs.select(F.col("k1").alias("key")).unionAll(pairs.select(F.col("k2").alias("key"))).distinct())
+    if named.count() <= MEMBER_ROWS:
+        named = F.broadcast(named)
+    have = sketches.select("key", c).join(named, "key", "left_semi").dropDuplicates(["key"])
+    for i in (1, 2):
+        pairs = pairs.join(have.select(F.col("key").alias(f"key{i}"), F.col(c).alias(f"v{i}")), F.col(f"k{i}") == F.col(f"key{i}")).drop(f"key{i}")
+    return pairs
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, max_bits: int = 2, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Groups of documents linked by a Jaccard similarity of their shingle sets of at least ``similarity``.
 
@@ -355,18 +370,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, max
     # the long fingerprints leave few false candidates, and only those meet as sets
     whole = -(-bits * tables // BITS) * BITS
     most = whole * share + SPREAD * math.sqrt(whole * share * (1 - share))
-
-    def beside(df: DataFrame, c: str) -> DataFrame:
-        named = df.select(F.col("k1").alias("key")).unionAll(df.select(F.col("k2").alias("key"))).distinct()
-        have = sketches.select("key", c).join(named, "key", "left_semi").dropDuplicates(["key"])  # of the documents that pairs name only
-        for i in (1, 2):
-            df = df.join(have.select(F.col("key").alias(f"key{i}"), F.col(c).alias(f"v{i}")), F.col(f"k{i}") == F.col(f"key{i}")).drop(f"key{i}")
-        return df
-
     apart = F.aggregate(F.zip_with("v1", "v2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = materialize(beside(pairs, "long").filter(apart <= most).select("k1", "k2"))
+    close = materialize(_beside(pairs, sketches, "long").filter(apart <= most).select("k1", "k2"))
     both = F.size(F.array_intersect("v1", "v2"))
-    links = materialize(beside(close, "shingles").select("k1", "k2", (both / (F.size("v1") + F.size("v2") - both)).alias("similarity")).filter(F.col("similarity") >= similarity))
+    links = materialize(_beside(close, sketches, "shingles").select("k1", "k2", (both / (F.size("v1") + F.size("v2") - both)).alias("similarity")).filter(F.col("similarity") >= similarity))
     parts = connected_components(links, "k1", "k2")
     of = classes.join(parts, classes.key == parts.node, "left").select("key", F.coalesce("component", "key").alias("root"), "least", "n")
     named = of.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("rows"))

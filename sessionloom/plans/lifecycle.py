@@ -21,7 +21,8 @@ RAW_ID = "raw_"
 def receipt_problem(text: Column) -> Column:
     """Why a receipt may not be archived, null if it may: it must meet its contract and not be of a forbidden namespace."""
     broken = schema_violations(F.try_parse_json(text), SCHEMAS[RECEIPT_VERSION][1])
-    return F.when(F.size(broken) > 0, F.concat(F.lit("invalid memory import receipt: "), broken[0])).when(F.get_json_object(text, "$.error_class") == "namespace_forbidden", "memory import receipt has namespace_forbidden and is not archived")
+    first = F.concat(F.lit("invalid memory import receipt: "), F.get(broken, F.lit(0)))
+    return F.coalesce(first, F.when(F.get_json_object(text, "$.error_class") == "namespace_forbidden", "memory import receipt has namespace_forbidden and is not archived"))
 
 
 def archived(files: DataFrame, refs: DataFrame, kind: str = METADATA) -> DataFrame:
@@ -42,10 +43,10 @@ def archived(files: DataFrame, refs: DataFrame, kind: str = METADATA) -> DataFra
         "problem": problem, "digest": digest_of(F.col("content")), "size": F.octet_length("content").cast("long"), "source": source_of(F.col("path")), "kind": F.lit(kind),
         "warning": F.when(shaped, f"receipt-shaped input archived as {METADATA}; its kind is not pinned"),
     })
-    good = first_writer(df.filter("problem IS NULL"), "digest", ["path"]).withColumn("outcome", F.when(F.col("outcome") == "copied", "archived").otherwise("deduped"))
+    df = first_writer(df.withColumn("own", F.when(F.col("problem").isNull(), F.col("digest"))), "own", ["path"])  # refused ones have no digest to take
     known = refs.select(F.col("digest").alias("k_digest")).distinct()
-    good = good.join(known, F.col("digest") == F.col("k_digest"), "left").withColumn("outcome", F.when(F.col("k_digest").isNotNull(), "deduped").otherwise(F.col("outcome"))).drop("k_digest")
-    whole = good.unionByName(df.filter("problem IS NOT NULL").withColumn("outcome", F.lit("refused")))
+    outcome = F.when(F.col("problem").isNotNull(), "refused").when((F.col("outcome") == "copied") & F.col("k_digest").isNull(), "archived").otherwise("deduped")
+    whole = df.join(known, F.col("own") == F.col("k_digest"), "left").withColumn("outcome", outcome).drop("k_digest", "own")
     return whole.withColumns({"raw_id": F.concat(F.lit(RAW_ID), "digest"), "blob_path": blob_path(F.col("digest"))})
 
 

@@ -45,9 +45,13 @@ def schema_violations(v: Column, schema: dict, at: str = "$") -> Column:
 
     Each is ``path: rule``; ``[]`` stands for any item of an array. Numbers
     are compared by value and 1.0 is an integer. What a value of another type
-    holds is not looked at.
+    holds is not looked at. Every value is bound once: an expression that is
+    repeated at each use would parse its text anew for each rule.
     """
-    kind = F.schema_of_variant(v)
+    return F.flatten(F.transform(F.array(v), lambda x: F.flatten(F.transform(F.array(F.schema_of_variant(x)), lambda kind: _violations(x, kind, schema, at)))))
+
+
+def _violations(v: Column, kind: Column, schema: dict, at: str) -> Column:
     number = F.try_variant_get(v, "$", "double")
     numeric = F.coalesce(kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), F.lit(False))
     whole = numeric & (number == F.floor(number))
@@ -62,23 +66,27 @@ def schema_violations(v: Column, schema: dict, at: str = "$") -> Column:
             return numeric & (number == F.lit(float(value)))
         return F.coalesce(F.to_json(v) == F.lit(json.dumps(value, separators=(",", ":"), ensure_ascii=False)), F.lit(False))
 
-    parts = []
+    parts, inside = [], []
     if "type" in schema:
         names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
         parts.append(broken(reduce(lambda a, b: a | b, map(is_type, names)), "type"))
     if "const" in schema:
         parts.append(broken(equals(schema["const"]), "const"))
     if "enum" in schema:
-        parts.append(broken(reduce(lambda a, b: a | b, map(equals, schema["enum"])), "enum"))
+        numbers = [x for x in schema["enum"] if isinstance(x, (int, float)) and not isinstance(x, bool)]
+        others = [json.dumps(x, separators=(",", ":"), ensure_ascii=False) for x in schema["enum"] if x not in numbers or isinstance(x, bool)]
+        parts.append(broken(reduce(lambda a, b: a | b, map(equals, numbers), F.coalesce(F.to_json(v).isin(others), F.lit(False)) if others else F.lit(False)), "enum"))
     an_object, an_array = is_type("object"), is_type("array")
     get = lambda k: F.try_variant_get(v, f"$.{k}", "variant")
     for k in schema.get("required", ()):
-        parts.append(F.when(an_object & get(k).isNull(), F.array(F.lit(f"{at}.{k}: required"))).otherwise(none))
+        inside.append(F.when(get(k).isNull(), F.array(F.lit(f"{at}.{k}: required"))).otherwise(none))
     for k, inner in schema.get("properties", {}).items():
-        parts.append(F.when(an_object & get(k).isNotNull(), schema_violations(get(k), inner, f"{at}.{k}")).otherwise(none))
+        inside.append(F.when(get(k).isNotNull(), schema_violations(get(k), inner, f"{at}.{k}")).otherwise(none))
     if schema.get("additionalProperties") is False:
         extra = F.array_except(F.json_object_keys(F.to_json(v)), F.array(*map(F.lit, schema.get("properties", {"": 0}))))
-        parts.append(F.when(an_object, F.transform(extra, lambda k: F.concat(F.lit(f"{at}."), k, F.lit(": additional")))).otherwise(none))
+        inside.append(F.transform(extra, lambda k: F.concat(F.lit(f"{at}."), k, F.lit(": additional"))))
+    if inside:
+        parts.append(F.when(an_object, F.concat(*inside)).otherwise(none))
     if "items" in schema:
         items = F.try_variant_get(v, "$", "array<variant>")
         parts.append(F.when(an_array, F.flatten(F.transform(items, lambda x: schema_violations(x, schema["items"], f"{at}[]")))).otherwise(none))

@@ -52,3 +52,17 @@ def test_backup_and_status(spark):
     blobs = spark.createDataFrame([("a", "1"), ("a", "1"), ("a", "2")], "vault string, digest string")
     states = spark.createDataFrame([("a", "t", 2), ("z", None, None)], "vault string, last_backfill_at string, copy_failures long")
     assert sorted(map(tuple, L.status(blobs, blobs.limit(1), states).collect())) == [("a", "present", 2, 1, "t", 2), ("z", "missing", 0, 0, "-", 0)]
+
+
+def test_receipts_are_parsed_once(spark):
+    """A contract's rules share one reading of the text; refused receipts take no digest from others."""
+    from sessionloom.plans import lifecycle as L
+
+    receipt = {"schema_version": "memory_import_receipt.v1", "data_class": "redacted", "tool": "memory_store", "decision": "allowed", "namespace": "n", "content_class": "note", "memory_ids": ["a"], "supersedes": [], "received_at": "t"}
+    texts = [json.dumps(receipt | {"embedding_dimensions": 1.5, "decision": "x"}), "[1]", "{", json.dumps({"schema_version": receipt["schema_version"]}), json.dumps(receipt), json.dumps(receipt)]
+    files = spark.createDataFrame([(f"/h/{i}", x.encode()) for i, x in enumerate(texts)], "path string, content binary")
+    out = L.archived(files, files.limit(0).selectExpr("path AS digest"), L.RECEIPTS)
+    assert str(L.receipt_problem(files.content.cast("string"))).count("try_parse_json") == 1
+    said = {r.path: (r.outcome, r.problem) for r in out.collect()}
+    broken = "invalid memory import receipt: $"
+    assert said == {"/h/0": ("refused", f"{broken}.decision: enum"), "/h/1": ("refused", f"{broken}: type"), "/h/2": ("refused", f"{broken}: type"), "/h/3": ("refused", f"{broken}.data_class: required"), "/h/4": ("archived", None), "/h/5": ("deduped", None)}

@@ -77,6 +77,17 @@ SHAPE = {
 }
 
 
+#: What any pass needs, in a text or in its JSON form (backslashes doubled, white space escaped): where this isn't found, no pass matches.
+TOUCHES = (
+    r"(?i)key|token|secret|passw|jwt|/(?:users|home|tmp|private|var|opt|volumes)/|sk-|gh[pousr]_|xox|git@|\.env|credential|-----begin |:\\{1,2}(?:users|temp|tmp|windows|programdata)"
+    rf"|://{_NS}\"'<>@]+@|{SHAPE['jwt']}|{SHAPE['high_entropy']}"
+)
+
+
+def may_touch(text: Column) -> Column:
+    return text.rlike(TOUCHES)
+
+
 def may_match(text: Column, low: Column, name: str) -> Column:
     """False only if the pass's pattern can't match: the text, ``low`` in lower case, lacks its key words or shape. Markers hold neither, so the text before all passes tells."""
     words = [low.contains(x) for x in NEEDED.get(name, ())]
@@ -198,15 +209,26 @@ def redact_json(df: DataFrame, key: list[str], json: str, out: str) -> DataFrame
     return joined.withColumn(out, F.when(F.col(json).isNotNull(), whole)).drop("_tokens", *(f"_k_{k}" for k in key))
 
 
-def redact_metadata(df: DataFrame, text: str, out: str, events: str | None = None, where: str | None = None) -> DataFrame:
-    """``redact``; a non-blank value that no pass touches is a secret as a whole (times, revisions, branches of a session), in the rows that ``where`` flags if it is given."""
-    done = redact(df, text, out, events)
+def mark_metadata(df: DataFrame, text: str, out: str, events: str | None = None, where: str | None = None) -> DataFrame:
+    """``redact``'s outcome where a non-blank value that no pass touched is a secret as a whole, in the rows that ``where`` flags if it is given."""
     whole = (F.col(where) if where else F.lit(True)) & (F.col(out) == F.col(text)) & (trim_space(F.col(text)) != "") & ~already_redacted(F.col(text))
     mark = marker("SECRET", F.col(text))
     after = {out: F.when(whole, mark).otherwise(F.col(out))}
     if events:  # after all passes
         after[events] = F.when(whole, F.array(F.struct(F.lit(len(PASSES)).alias("pass"), F.lit(0).alias("pos"), mark.alias("marker")))).otherwise(F.col(events))
-    return done.withColumns(after)
+    return df.withColumns(after)
+
+
+def redact_metadata(df: DataFrame, text: str, out: str, events: str | None = None, where: str | None = None) -> DataFrame:
+    """``redact``, then ``mark_metadata`` (times, revisions, branches of a session)."""
+    return mark_metadata(redact(df, text, out, events), text, out, events, where)
+
+
+def redact_few(df: DataFrame, text: str, out: str, events: str, where: str) -> DataFrame:
+    """``redact_metadata``, with passes over those texts only that one may touch. ``df`` is read twice: write it before."""
+    touched = may_touch(F.col(text))
+    left = df.filter(~touched).withColumns({out: F.col(text), events: F.array().cast("array<struct<pass:int,pos:int,marker:string>>")})
+    return mark_metadata(redact(df.filter(touched), text, out, events).unionByName(left), text, out, events, where)
 
 
 def summary(df: DataFrame, group: str, order: list[str], text: str) -> DataFrame:

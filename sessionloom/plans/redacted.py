@@ -1,10 +1,10 @@
 """Whole sessions redacted: every string of a session in a fixed order, with placeholders numbered over the session.
 
-A session's strings become rows with a sortable place, also those within
-nested values, keys included; the passes work on the rows; numbers follow the
-order in which a reader of the session would come upon the values; and the
-strings go back to where they were. Only a level of nesting at a time is
-unfolded, so depth costs jobs and no Python.
+A session's strings that a pass may touch become rows with a sortable place,
+and all those within nested values that hold one, keys included; the passes
+work on the rows; numbers follow the order in which a reader of the session
+would come upon the values; and the strings go back to where they were. Only a
+level of nesting at a time is unfolded, so depth costs jobs and no Python.
 """
 
 from __future__ import annotations
@@ -76,17 +76,20 @@ def nested_strings(df: DataFrame, keep: list[str], place: str, field: str, json:
 
 
 def session_strings(sessions: DataFrame) -> DataFrame:
-    """(session_id, place, field, value, holder, meta, root): all strings of sessions; ``root`` is the field of the nested value that holds one."""
-    one = lambda place, field, value, meta=False: F.struct(place.alias("place"), field.alias("field"), value.alias("value"), F.lit(meta).alias("meta"))
+    """(session_id, place, field, value, holder, meta, root): the strings of sessions that redaction may change, and all of the nested values that hold one; ``root`` is the field of such a value."""
+    one = lambda place, field, value, meta=False: F.when((value != "") if meta else R.may_touch(value), F.struct(place.alias("place"), field.alias("field"), value.alias("value"), F.lit(meta).alias("meta")))
     flat = [F.array(*(one(_place(i), F.lit(LABELS.get(c, c)), F.col(c)) for i, c in enumerate(BEFORE)), *(one(_place(_COMMANDS + 1 + i), F.lit(LABELS.get(c, c)), F.col(c), True) for i, c in enumerate(AFTER)))]
     flat.append(F.transform("turns", lambda x, i: one(_place(_TURNS, i), _label("turns[", i, "].content"), x["content"])))
     flat.append(F.transform("tool_calls", lambda x, i: one(_place(_CALLS, i, 1), _label("tool_calls[", i, "].result"), x["result"])))
     flat.append(F.transform("file_changes", lambda x, i: one(_place(_CHANGES, i), _label("file_changes[", i, "].path"), x["path"])))
     flat.append(F.transform("commands", lambda x, i: one(_place(_COMMANDS, i, 0), _label("commands[", i, "].command"), x["command"])))
     flat.append(F.transform("commands", lambda x, i: one(_place(_COMMANDS, i, 1), _label("commands[", i, "].output"), x["output"])))
-    plain = sessions.select("session_id", F.explode(F.flatten(F.array(*flat))).alias("s")).select("session_id", "s.*").filter("value <> ''")
-    values = F.concat(F.transform("tool_calls", lambda x, i: F.struct(_place(_CALLS, i, 0).alias("at"), _label("tool_calls[", i, "].input").alias("root"), x["input"].alias("j"))), F.array(F.struct(_place(_PROVENANCE).alias("at"), F.lit("provenance").alias("root"), F.col("provenance").alias("j"))))
-    roots = sessions.select("session_id", F.explode(values).alias("x")).select("session_id", "x.*").withColumn("label", F.col("root"))
+    plain = sessions.select("session_id", F.explode(F.array_compact(F.flatten(F.array(*flat)))).alias("s")).select("session_id", "s.*")
+    # JSON texts that escape more than they must are looked at in their plain form
+    held = lambda j: R.may_touch(F.when(j.contains("\\u") | j.contains("\\/"), F.to_json(F.try_parse_json(j))).otherwise(j))
+    value = lambda place, root, j: F.when(held(j), F.struct(place.alias("at"), root.alias("root"), j.alias("j")))
+    values = F.concat(F.transform("tool_calls", lambda x, i: value(_place(_CALLS, i, 0), _label("tool_calls[", i, "].input"), x["input"])), F.array(value(_place(_PROVENANCE), F.lit("provenance"), F.col("provenance"))))
+    roots = sessions.select("session_id", F.explode(F.array_compact(values)).alias("x")).select("session_id", "x.*").withColumn("label", F.col("root"))
     nested = nested_strings(roots, ["session_id", "root"], "at", "label", "j")
     return plain.select("*", F.lit(None).cast("array<int>").alias("holder"), F.lit(None).cast("string").alias("root")).unionByName(nested.withColumn("meta", F.lit(False)))
 
@@ -100,6 +103,37 @@ def _rebuilt(json: Column, tokens: Column) -> Column:
     return F.to_json(F.try_parse_json(R.swap(whole, True)))
 
 
+def _replacements(per: DataFrame) -> DataFrame:
+    """(n_id, findings, secrets, paths, new, problem) of sessions' changed strings, ``s``, in the order of their places.
+
+    ``new`` has what becomes of a field, for nested values all strings in order
+    as a JSON array; ``problem`` says which key comes to be the same as an
+    earlier one of its object.
+    """
+    of_kind = lambda array, kind: F.filter(array, lambda m: m.startswith(f"[REDACTED_{kind}_"))
+    marks = per.withColumn("marks", F.array_distinct(F.flatten(F.transform("s", lambda x: x["marks"]))))
+    marks = marks.withColumns({"secret": of_kind("marks", "SECRET"), "path": of_kind("marks", "PATH")})
+    names = lambda kind: F.transform(kind.lower(), lambda m, i: F.format_string(f"[REDACTED_{kind}_%03d]", i + 1))
+    df = marks.select("n_id", "s", F.size("secret").cast("long").alias("secrets"), F.size("path").cast("long").alias("paths"), F.map_from_arrays(F.concat("secret", "path"), F.concat(names("SECRET"), names("PATH"))).alias("names"))
+    told = lambda m: F.element_at("names", m)
+    shown = lambda x: F.array_join(F.zip_with(F.split(x["text"], R.MARK, -1), F.regexp_extract_all(x["text"], F.lit(R.MARK), F.lit(0)), lambda g, m: F.concat(g, F.coalesce(told(m), m, F.lit("")))), "")
+    row = lambda x: F.struct(x["field"].alias("field"), x["root"].alias("root"), x["holder"].alias("holder"), F.when(F.size(x["marks"]) > 0, shown(x)).otherwise(x["text"]).alias("shown"), F.transform(x["marks"], told).alias("made"))
+    df = df.withColumn("s", F.transform("s", row)).drop("names")
+    side = lambda x, kind, name: F.when(F.size(of_kind(x["made"], kind)) > 0, F.struct(F.lit(name).alias("type"), x["field"].alias("field"), F.size(of_kind(x["made"], kind)).cast("long").alias("n"), F.array_sort(F.array_distinct(of_kind(x["made"], kind))).alias("p")))
+    found = F.flatten(F.transform("s", lambda x: F.array_compact(F.array(side(x, "SECRET", "redaction.secret_detected"), side(x, "PATH", "redaction.path_redacted")))))
+    listed = F.transform(found, lambda x, i: F.struct(F.format_string("%s.%04d", x["type"], i + 1).alias("id"), x["type"].alias("type"), x["field"].alias("field"), x["n"].alias("replacement_count"), x["p"].alias("placeholders")))
+    changed = F.filter("s", lambda x: F.size(x["made"]) > 0)
+    flat = F.transform(F.filter(changed, lambda x: x["root"].isNull()), lambda x: F.struct(x["field"].alias("field"), x["shown"].alias("shown")))
+    roots = F.array_distinct(F.transform(F.filter(changed, lambda x: x["root"].isNotNull()), lambda x: x["root"]))
+    nested = F.transform(roots, lambda r: F.struct(r.alias("field"), F.to_json(F.transform(F.filter("s", lambda x: x["root"] == r), lambda x: x["shown"])).alias("shown")))
+    df = df.withColumn("keys", F.filter("s", lambda x: x["holder"].isNotNull()))
+    df = df.withColumn("own", F.transform("keys", lambda x: F.concat(F.concat_ws(",", x["holder"].cast("array<string>")), F.lit(" "), x["shown"])))
+    met = F.filter(F.transform("keys", lambda x, i: F.when(F.array_position("own", F.get("own", i)) <= i, x)), lambda x: x.isNotNull())
+    first = F.when(F.size("own") > F.size(F.array_distinct("own")), F.get(met, F.lit(0)))
+    problem = F.concat(first["field"], F.lit(" redacts to duplicate key "), quoted(first["shown"]))
+    return df.select("n_id", listed.alias("findings"), "secrets", "paths", F.map_from_entries(F.concat(flat, nested)).alias("new"), problem.alias("problem"))
+
+
 def redact_sessions(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(redacted sessions, refused ones with ``problem``).
 
@@ -113,39 +147,24 @@ def redact_sessions(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     judged = sessions.withColumn("problem", session_problem(SESSION_VERSION, SOURCE))
     sound = judged.filter("problem IS NULL").drop("problem")
-    touched_at_all = F.size("events") > 0
-    done = R.redact_metadata(session_strings(sound), "value", "marked", "events", "meta")
-    done = written(done.withColumn("marked", F.when(touched_at_all, F.col("marked"))))  # each text once
-    shown = R.numbered(done, "session_id", ["place"], "marked", "events", "shown", "made").filter(touched_at_all | F.col("root").isNotNull())
-    shown = written(shown.withColumn("shown", F.coalesce("shown", "value")).drop("value", "marked", "meta", "events"))  # what changes, and nested values, which are put together anew
-    # keys that meet
-    met = shown.filter("holder IS NOT NULL").groupBy("session_id", "holder", "shown").agg(F.array_sort(F.collect_list(F.struct("place", "field"))).alias("keys")).filter("size(keys) > 1").withColumn("second", F.col("keys")[1])
-    clashes = met.groupBy("session_id").agg(F.min(F.struct("second.place", F.concat("second.field", F.lit(" redacts to duplicate key "), quoted(F.col("shown"))).alias("problem"))).alias("c")).select(F.col("session_id").alias("c_id"), "c.problem")
-    # findings
-    of_kind = lambda kind: F.filter("made", lambda x: x.startswith(f"[REDACTED_{kind}"))
-    sides = F.filter(F.array(*(F.struct(F.lit(i).alias("side"), F.lit(name).alias("type"), of_kind(kind).alias("p")) for i, (kind, name) in enumerate((("SECRET", "redaction.secret_detected"), ("PATH", "redaction.path_redacted"))))), lambda x: F.size(x["p"]) > 0)
-    changed = shown.filter("size(made) > 0")
-    rows = changed.select("session_id", "place", "field", F.explode(sides).alias("s"))
-    row = F.struct("place", "s.side", F.col("s.type").alias("type"), "field", F.size("s.p").cast("long").alias("n"), F.array_sort(F.array_distinct("s.p")).alias("p"))
-    found = rows.groupBy(F.col("session_id").alias("f_id")).agg(F.array_sort(F.collect_list(row)).alias("f"))
-    distinct = lambda kind: F.size(F.array_distinct(F.filter(F.flatten(F.transform("f", lambda x: x["p"])), lambda x: x.startswith(f"[REDACTED_{kind}")))).cast("long")
-    listed = F.transform("f", lambda x, i: F.struct(F.format_string("%s.%04d", x["type"], i + 1).alias("id"), x["type"].alias("type"), x["field"].alias("field"), x["n"].alias("replacement_count"), x["p"].alias("placeholders")))
-    found = found.select("f_id", listed.alias("findings"), distinct("SECRET").alias("secrets"), distinct("PATH").alias("paths"))
-    # back to their places
-    flat = changed.filter("root IS NULL").select("session_id", "field", "shown")
-    touched = changed.filter("root IS NOT NULL").select("session_id", "root").distinct()
-    tokens = shown.filter("root IS NOT NULL").join(touched, ["session_id", "root"]).groupBy("session_id", "root").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("place", "shown"))), lambda x: x["shown"])).alias("shown"))
-    new = flat.unionByName(tokens.withColumnRenamed("root", "field")).groupBy(F.col("session_id").alias("n_id")).agg(F.map_from_entries(F.collect_list(F.struct("field", "shown"))).alias("new"))
-    joined = sound.join(clashes, F.col("session_id") == F.col("c_id"), "left").join(found, F.col("session_id") == F.col("f_id"), "left").join(new, F.col("session_id") == F.col("n_id"), "left").drop("c_id", "f_id", "n_id")
+    done = written(R.redact_few(written(session_strings(sound)), "value", "marked", "events", "meta"))  # each text once
+    row = F.struct("place", "field", "root", "holder", F.col("marked").alias("text"), F.col("events.marker").alias("marks"))
+    per = done.filter((F.size("events") > 0) | F.col("root").isNotNull()).groupBy(F.col("session_id").alias("n_id")).agg(F.array_sort(F.collect_list(row)).alias("s"))  # nested values are put together anew
+    new = written(_replacements(per))  # a row of arrays for each session that changes
+    joined = sound.join(new, F.col("session_id") == F.col("n_id"), "left").drop("n_id")
+    has = lambda part: F.coalesce(F.exists(F.map_keys("new"), lambda k: k.startswith(part + "[")), F.lit(False))
+    each = lambda part, change: F.when(has(part), F.transform(part, change)).otherwise(F.col(part))
     told = lambda label, old: F.coalesce(F.element_at("new", label), old)
-    inner = lambda label, old: F.coalesce(_rebuilt(old, F.from_json(F.element_at("new", label), "array<string>")), F.to_json(F.try_parse_json(old)), old)
-    summary = F.struct(F.lit(SUMMARY_VERSION).alias("schema_version"), F.lit(REDACTED).alias("data_class"), F.lit(REDACTED).alias("status"), F.coalesce("findings", F.array().cast(found.schema["findings"].dataType.simpleString())).alias("findings"), F.coalesce("secrets", F.lit(0)).alias("secret_placeholders"), F.coalesce("paths", F.lit(0)).alias("path_placeholders"))
+    plain = lambda old: F.coalesce(F.to_json(F.try_parse_json(old)), old)
+    inner = lambda label, old: F.coalesce(F.when(F.element_at("new", label).isNotNull(), _rebuilt(old, F.from_json(F.element_at("new", label), "array<string>"))), plain(old))
+    call = lambda x, i: x.withField("input", inner(_label("tool_calls[", i, "].input"), x["input"])).withField("result", told(_label("tool_calls[", i, "].result"), x["result"]))
+    summary = F.struct(F.lit(SUMMARY_VERSION).alias("schema_version"), F.lit(REDACTED).alias("data_class"), F.lit(REDACTED).alias("status"), F.coalesce("findings", F.array().cast(new.schema["findings"].dataType.simpleString())).alias("findings"), F.coalesce("secrets", F.lit(0)).alias("secret_placeholders"), F.coalesce("paths", F.lit(0)).alias("path_placeholders"))
     whole = joined.withColumns({
         **{c: told(F.lit(LABELS.get(c, c)), F.col(c)) for c in (*BEFORE, *AFTER)},
-        "turns": F.transform("turns", lambda x, i: x.withField("content", told(_label("turns[", i, "].content"), x["content"]))),
-        "tool_calls": F.transform("tool_calls", lambda x, i: x.withField("input", inner(_label("tool_calls[", i, "].input"), x["input"])).withField("result", told(_label("tool_calls[", i, "].result"), x["result"]))),
-        "file_changes": F.transform("file_changes", lambda x, i: x.withField("path", told(_label("file_changes[", i, "].path"), x["path"]))),
-        "commands": F.transform("commands", lambda x, i: x.withField("command", told(_label("commands[", i, "].command"), x["command"])).withField("output", told(_label("commands[", i, "].output"), x["output"]))),
+        "turns": each("turns", lambda x, i: x.withField("content", told(_label("turns[", i, "].content"), x["content"]))),
+        "tool_calls": F.when(has("tool_calls"), F.transform("tool_calls", call)).otherwise(F.transform("tool_calls", lambda x: x.withField("input", plain(x["input"])))),
+        "file_changes": each("file_changes", lambda x, i: x.withField("path", told(_label("file_changes[", i, "].path"), x["path"]))),
+        "commands": each("commands", lambda x, i: x.withField("command", told(_label("commands[", i, "].command"), x["command"])).withField("output", told(_label("commands[", i, "].output"), x["output"]))),
         "provenance": inner(F.lit("provenance"), F.col("provenance")),
         "data_class": F.lit(REDACTED), "pipeline_status": F.lit(REDACTED), "redaction": summary,
     }).select(*sound.columns, "data_class", "pipeline_status", "redaction", "problem")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import base_name, collapse_space, trim_space
+from .text import SPACE, base_name, trim_space
 
 # Fixed values.
 VERIFICATION = ("test", "make build", "make demo", "make verify", "make lint", "make vet", "go vet", "go build", "golangci-lint")
@@ -37,12 +37,9 @@ SOURCE = (
 REDACTED_PATH = "[REDACTED_PATH_"
 
 
-def _any(tests: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, tests)
-
-
-def _lower(command: Column) -> Column:
-    return F.lower(trim_space(command))
+def _holds(words: tuple[str, ...]) -> str:
+    """A pattern for any of the words; they don't begin or end with white space, so texts need not be trimmed."""
+    return "|".join(map(re.escape, words))
 
 
 def is_test(command: Column) -> Column:
@@ -50,20 +47,20 @@ def is_test(command: Column) -> Column:
 
 
 def is_verification(command: Column) -> Column:
-    return _any([_lower(command).contains(x) for x in VERIFICATION])
+    return F.lower(command).rlike(_holds(VERIFICATION))
 
 
 def is_destructive(command: Column) -> Column:
-    return _any([_lower(command).contains(x) for x in DESTRUCTIVE])
+    return F.lower(command).rlike(_holds(DESTRUCTIVE))
 
 
-_INSTALL = "|".join(f"{k} (?:{'|'.join(v)})" for k, v in INSTALLERS.items())
-_NETWORK = f"^(?:sudo )?(?:{'|'.join(NETWORK_HEADS)}|{_INSTALL})(?: |$)"
+_INSTALL = "|".join(f"{k}{SPACE}+(?:{'|'.join(v)})" for k, v in INSTALLERS.items())
+_NETWORK = f"^{SPACE}*(?:sudo{SPACE}+)?(?:{'|'.join(NETWORK_HEADS)}|{_INSTALL})(?:{SPACE}|$)"
 
 
 def is_network(command: Column) -> Column:
     """The first word, or the one after ``sudo``, downloads or installs."""
-    return collapse_space(F.lower(command)).rlike(_NETWORK)
+    return F.lower(command).rlike(_NETWORK)
 
 
 def is_manifest(path: Column) -> Column:

@@ -147,9 +147,10 @@ def redact_sessions(sessions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     judged = sessions.withColumn("problem", session_problem(SESSION_VERSION, SOURCE))
     sound = judged.filter("problem IS NULL").drop("problem")
-    done = written(R.redact_few(written(session_strings(sound)), "value", "marked", "events", "meta"))  # each text once
+    done = R.redact_few(written(session_strings(sound)), "value", "marked", "events", "meta")
     row = F.struct("place", "field", "root", "holder", F.col("marked").alias("text"), F.col("events.marker").alias("marks"))
-    per = done.filter((F.size("events") > 0) | F.col("root").isNotNull()).groupBy(F.col("session_id").alias("n_id")).agg(F.array_sort(F.collect_list(row)).alias("s"))  # nested values are put together anew
+    kept = F.when((F.size("events") > 0) | F.col("root").isNotNull(), row)  # nested values are put together anew; a filter would be pushed below the passes and repeat them
+    per = done.groupBy(F.col("session_id").alias("n_id")).agg(F.array_sort(F.collect_list(kept)).alias("s"))
     new = written(_replacements(per))  # a row of arrays for each session that changes
     joined = sound.join(new, F.col("session_id") == F.col("n_id"), "left").drop("n_id")
     has = lambda part: F.coalesce(F.exists(F.map_keys("new"), lambda k: k.startswith(part + "[")), F.lit(False))
